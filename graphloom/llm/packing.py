@@ -10,6 +10,9 @@ piece finds its slot from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,71 +27,56 @@ from .common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Encoded words that a worker keeps at most; the memory is emptied when full.
-REMEMBERED = 400_000
-#: Long texts are split into so many characters at a time.
-SPAN = 1 << 20
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them for the file.
 
-    Byte-level BPE never merges across the pieces of its split pattern, so pieces are encoded once and
-    remembered.  Texts beyond Latin and general punctuation, with information separators (that regular
-    expression libraries class differently) or with an added token's string go to the library whole.
+    Where the file is a byte-level BPE without normalizer whose ids follow the order of its merges, the same
+    vocabulary runs in ``tiktoken``, four times as fast.  Texts beyond Latin letters and general punctuation, with
+    separators that regular-expression libraries class differently or with an added token's string go to
+    ``tokenizers`` itself, as do all texts for other files.
     """
 
+    # Fixed value: the split pattern of the byte-level pre-tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    UNUSUAL = re.compile("[\x1c-\x1f\x85\u0250-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]")
 
     def __init__(self, path: str) -> None:
-        import os
-
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.split = regex.compile(self.PATTERN).finditer
-        self.findall = regex.compile(self.PATTERN).findall
-        self.unusual = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]").search
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.fast = self._fast(json.loads(self.tokenizer.to_str()))
+
+    def _fast(self, spec: dict):
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        vocab, merges = model.get("vocab"), [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        # the printable stand-ins of byte-level BPE: bytes that print stand for themselves, others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(of[c] for c in w): i for w, i in vocab.items() if w not in self.added}
+        ids = [vocab[a + b] for a, b in merges]
+        if ids != sorted(ids) or len(ranks) != 256 + len(ids) or any(vocab[c] > ids[0] for c in of):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("same", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.unusual(text) or any(a in text for a in self.added):
-            return self._whole(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join([known[w] for w in self.findall(text)]) if len(text) <= SPAN else self._long(text)
-        except KeyError:
-            pass
-        words = self.findall(text)
-        for w in {*words} - known.keys():
-            known[w] = self._whole(w)
-        return b"".join([known[w] for w in words])
-
-    def _long(self, text: str) -> bytes:
-        out, part = [], []
-        for m in self.split(text):
-            part.append(m.group())
-            if len(part) >= SPAN // 8:
-                out.append(self._words(part))
-                part = []
-        return b"".join([*out, self._words(part)])
-
-    def _words(self, words: list[str]) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w in {*words} - self.known.keys():
-            self.known[w] = self._whole(w)
-        return b"".join([self.known[w] for w in words])
+        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)) and not any(a in text for a in self.added):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
+UNPRINTED = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
