@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, repeats, secrets, simhash
+from . import decontam, langid, packing, pii, repeats, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,50 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")
+
+
+#: The pairs that pass the overlap check, by joins of all word shingles: what retrieval must not lose.
+SQL_DECONTAMINATION = r"""
+WITH split AS (
+  SELECT item_id, text,
+         regexp_extract_all(lower(CASE WHEN regexp_matches(text, '(?s)^.*[.?!]\s+\S.*$') THEN regexp_extract(text, '(?s)^(.*[.?!])\s+(\S.*)$', 1) ELSE text END), '[\p{L}\p{N}]+') AS q,
+         regexp_extract_all(lower(CASE WHEN regexp_matches(text, '(?s)^.*[.?!]\s+\S.*$') THEN regexp_extract(text, '(?s)^(.*[.?!])\s+(\S.*)$', 2) ELSE '' END), '[\p{L}\p{N}]+') AS a
+  FROM benchmark),
+items AS (
+  SELECT item_id, CASE WHEN len(q) > 0 THEN q ELSE a END AS q, CASE WHEN len(q) > 0 THEN a ELSE [] END AS a,
+         greatest(32, CAST(pow(2, ceil(log2(len(q) + len(a)))) AS BIGINT)) AS stride
+  FROM split WHERE len(q) + len(a) > 0),
+item_shingles AS (
+  SELECT DISTINCT item_id, stride, least(5, len(q)) AS n, array_to_string(q[k:k + least(5, len(q)) - 1], ' ') AS s
+  FROM items, LATERAL (SELECT unnest(range(1, len(q) - least(5, len(q)) + 2)) AS k)),
+item_answers AS (SELECT DISTINCT item_id, stride, unnest(a) AS s FROM items),
+item_sizes AS (
+  SELECT items.item_id, (SELECT count(*) FROM item_shingles x WHERE x.item_id = items.item_id) AS n_q, len(list_distinct(a)) AS n_a FROM items),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM doc_words),
+hits AS (
+  SELECT doc_id, item_id, s, p // stride AS k, k > 0 AND p + i.n <= (p // stride + 1) * stride AS also
+  FROM (SELECT doc_id, n, p, array_to_string(w[p + 1:p + n], ' ') AS s FROM places, (SELECT DISTINCT n FROM item_shingles) WHERE p + n <= len(w)) d
+  JOIN item_shingles i USING (n, s)),
+questions AS (
+  SELECT doc_id, item_id, k, count(DISTINCT s) AS got
+  FROM (SELECT doc_id, item_id, s, k FROM hits UNION ALL SELECT doc_id, item_id, s, k - 1 FROM hits WHERE also) GROUP BY ALL),
+asked AS (SELECT doc_id, item_id, k, got / n_q AS question_overlap, n_a FROM questions JOIN item_sizes USING (item_id) WHERE got / n_q >= 0.8),
+answers AS (
+  SELECT c.doc_id, c.item_id, c.k, count(DISTINCT i.s) AS got
+  FROM asked c JOIN item_answers i ON i.item_id = c.item_id JOIN places d ON d.doc_id = c.doc_id AND d.w[d.p + 1] = i.s
+  WHERE d.p >= c.k * i.stride AND d.p < (c.k + 2) * i.stride GROUP BY ALL),
+pairs AS (
+  SELECT doc_id, item_id, question_overlap, CASE WHEN n_a = 0 THEN 1.0 ELSE coalesce(got, 0) / n_a END AS answer_overlap
+  FROM asked LEFT JOIN answers USING (doc_id, item_id, k))
+SELECT doc_id, item_id, question_overlap, answer_overlap FROM pairs WHERE answer_overlap >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY question_overlap DESC, answer_overlap DESC) = 1
+"""
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary that the packing contract names."""
     import public_tokenizers
@@ -47,9 +91,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_bestfit_packing": op4_bestfit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_repeat_removal": op9_repeat_removal,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": SQL_DECONTAMINATION,
+}
