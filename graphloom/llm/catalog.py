@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, packing, pii, repeats, secrets, simhash
+from . import ann, decontam, langid, packing, pii, repeats, secrets, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +81,61 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def _draw(key: Column, salt: str, n: int) -> Column:
+    """A number below ``n`` from a hash that other engines have as well."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no lists and no fetch dates: both are drawn from hashes of hosts and page ids."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), _draw(F.col("page_id"), "f", 366).cast("int")))
+    hosts = pages.select(F.explode(urls.suffixes(urls.host(F.col("url")))).alias("pattern")).distinct().where(F.contains("pattern", F.lit(".")) & (_draw(F.col("pattern"), "p", 4) == 0))
+    listed = hosts.select("pattern", F.explode(F.expr("sequence(0, 2)")).alias("k"))
+    salt = F.col("k").cast("string")
+    events = listed.select(
+        "pattern",
+        F.when(_draw(F.concat("pattern", salt), "c", 3) == 0, "adult").otherwise("spam").alias("category"),
+        F.date_add(F.lit("2023-10-01").cast("date"), _draw(F.concat("pattern", salt), "d", 400).cast("int")).alias("day"),
+        F.when(_draw(F.concat("pattern", salt), "a", 3) == 0, "remove").otherwise("add").alias("action"),
+    )
+    return urls.evaluate(captures, events)
+
+
+SQL_URL_FILTER = r"""
+WITH draw AS (
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '\.$', ''), '') AS host,
+         DATE '2024-01-01' + CAST(('0x' || md5(CAST(page_id AS VARCHAR) || 'f')[1:8])::BIGINT % 366 AS INTEGER) AS fetched
+  FROM pages),
+captures AS (SELECT page_id, CASE WHEN length(host) <= 253 THEN host END AS host, fetched FROM draw),
+keyed AS (
+  SELECT page_id, fetched, k AS depth, array_to_string(string_split(host, '.')[k + 1:], '.') AS pattern
+  FROM captures, LATERAL (SELECT unnest(range(0, len(string_split(host, '.')))) AS k)),
+listed AS (SELECT pattern, k, pattern || k AS s FROM (SELECT DISTINCT pattern FROM keyed WHERE contains(pattern, '.') AND ('0x' || md5(pattern || 'p')[1:8])::BIGINT % 4 = 0), range(3) t(k)),
+events AS (
+  SELECT DISTINCT pattern, CASE WHEN ('0x' || md5(s || 'c')[1:8])::BIGINT % 3 = 0 THEN 'adult' ELSE 'spam' END AS category,
+         DATE '2023-10-01' + CAST(('0x' || md5(s || 'd')[1:8])::BIGINT % 400 AS INTEGER) AS day,
+         CASE WHEN ('0x' || md5(s || 'a')[1:8])::BIGINT % 3 = 0 THEN 'remove' ELSE 'add' END AS action
+  FROM listed),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY pattern, category ORDER BY day, action) AS until FROM events),
+hits AS (
+  SELECT k.page_id, k.depth, s.category, s.day AS since, s.pattern FROM keyed k JOIN spans s USING (pattern)
+  WHERE action = 'add' AND (until IS NULL OR until > day) AND day <= fetched AND (until IS NULL OR fetched < until)
+  QUALIFY row_number() OVER (PARTITION BY k.page_id ORDER BY depth, category, day, pattern) = 1)
+SELECT page_id, host, fetched, hits.page_id IS NOT NULL AS blocked, hits.pattern, hits.category, hits.since
+FROM captures LEFT JOIN hits USING (page_id)
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return sharding.place(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
+
+
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -98,10 +150,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_bestfit_packing": op4_bestfit_packing,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sharding": op8_sharding,
     "op9_repeat_removal": op9_repeat_removal,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": SQL_DECONTAMINATION,
+    "op6_url_filter": SQL_URL_FILTER,
 }
