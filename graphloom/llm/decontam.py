@@ -30,9 +30,11 @@ SHINGLE = 5
 LEAST_OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Items of a block share their bounds.
-BLOCK_ITEMS = 32
+BLOCK_ITEMS = 8
 #: Bytes of benchmark text in one broadcast index.
 INDEX_BYTES = 32 << 20
+#: Scores (passages times items) that are held at a time.
+CELLS = 1 << 21
 #: Words of a shortest passage's stride.
 LEAST_STRIDE = 32
 
@@ -106,40 +108,53 @@ class Index:
         self.most = np.array([max(x for _, x in ps) for ps in postings])
 
     @staticmethod
-    def _postings(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    def _postings(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all postings of ``terms``, and whose they are."""
         n = start[terms + 1] - start[terms]
-        return np.repeat(start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        owner = np.repeat(np.arange(len(terms)), n)
+        return np.arange(n.sum()) + (start[terms] - np.cumsum(n) + n)[owner], owner
 
-    def passages(self, ids: np.ndarray) -> np.ndarray:
-        """Passages (window k holds words k * stride up to (k + 2) * stride) whose bound reaches the least threshold."""
+    def search(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, item by position, score) wherever a passage scores at or above the item's threshold.
+
+        ``ids`` are a text's terms, -1 for words of no item; passage k holds words k * stride up to (k + 2) * stride.
+        """
         at = np.flatnonzero(ids >= 0)
         t = ids[at]
         before = np.full(len(at), -1, np.int64)
         order = np.argsort(t, kind="stable")
         same = t[order][1:] == t[order][:-1]
         before[order[1:][same]] = at[order[:-1][same]]
-        k, n = at // self.stride, max(1, -(-len(ids) // self.stride))
-        weight = self.most[t]
+        k = at // self.stride
         # a term counts where it is new to the passage that begins with its stride, and to the one before
-        bound = np.zeros(n)
-        if len(at):
-            first = before < k * self.stride
-            bound += np.bincount(k[first], weight[first], minlength=n)
-            second = (k > 0) & (before < (k - 1) * self.stride)
-            bound += np.bincount(k[second] - 1, weight[second], minlength=n)
-        return np.flatnonzero(bound >= self.block_least[0])
-
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items (by position) and scores at or above their thresholds, for the distinct terms of a passage."""
-        p = self._postings(self.block_start, terms)
-        bound = np.bincount(self.block[p], self.block_impact[p], len(self.block_least))
+        first, second = before < k * self.stride, (k > 0) & (before < (k - 1) * self.stride)
+        passage, term = np.concatenate([k[first], k[second] - 1]), np.concatenate([t[first], t[second]])
+        n = -(-len(ids) // self.stride)
+        kept = np.bincount(passage, self.most[term], n) >= self.block_least[0]
+        passage, term = self._of(kept, passage), term[kept[passage]]
+        if not len(term):
+            return []
+        numbers, blocks = np.flatnonzero(kept), len(self.block_least)
+        p, owner = self._postings(self.block_start, term)
+        bound = np.bincount(passage[owner] * blocks + self.block[p], self.block_impact[p], len(numbers) * blocks).reshape(-1, blocks)
         alive = bound >= self.block_least
-        if not alive.any():
+        kept = alive.any(1)
+        if not kept.any():
             return []
-        p = self._postings(self.start, terms)
-        p = p[alive[self.item[p] // BLOCK_ITEMS]]
-        score = np.bincount(self.item[p], self.impact[p], len(self.items))
-        return [(int(k), float(score[k])) for k in np.flatnonzero(score >= self.least)]
+        numbers, alive = numbers[kept], alive[kept]
+        passage, term = self._of(kept, passage), term[kept[passage]]
+        p, owner = self._postings(self.start, term)
+        owner = passage[owner]
+        here = alive[owner, self.item[p] // BLOCK_ITEMS]
+        p, owner, items = p[here], owner[here], len(self.items)
+        score = np.bincount(owner * items + self.item[p], self.impact[p], len(numbers) * items).reshape(-1, items)
+        rows, cols = np.nonzero(score >= self.least)
+        return list(zip(numbers[rows].tolist(), cols.tolist(), score[rows, cols].tolist()))
+
+    @staticmethod
+    def _of(kept: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Passages that are kept, numbered anew."""
+        return (np.cumsum(kept) - 1)[passage[kept[passage]]]
 
 
 def indexes(rows: list[tuple[int, str | None]]) -> list[Index]:
@@ -151,12 +166,14 @@ def leaks(text: str | None, found: list[Index]) -> list[tuple[int, float, float,
     """(item_id, BM25 score, question overlap, answer overlap) of each item that a passage of the text holds: its best passage."""
     w, best = words(text), {}
     for index in found:
-        ids = np.fromiter(map(index.terms.get, w, repeat(-1)), np.int64, len(w)) if len(w) else np.empty(0, np.int64)
-        for k in index.passages(ids).tolist():
-            span = slice(k * index.stride, (k + 2) * index.stride)
-            here = ids[span]
-            for item, score in index.search(np.unique(here[here >= 0])):
-                q, a = index.items[item].overlap(w[span])
+        ids = np.fromiter(map(index.terms.get, w, repeat(-1)), np.int64, len(w))
+        step = max(1, CELLS // len(index.items))  # passages at a time
+        for start in range(0, len(w), step * index.stride):
+            for k, item, score in index.search(ids[start : start + (step + 1) * index.stride]):
+                at = start + k * index.stride
+                if k == step:
+                    continue  # comes whole with the next passages
+                q, a = index.items[item].overlap(w[at : at + 2 * index.stride])
                 if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP:
                     key = index.items[item].item_id
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (q, a, score))
