@@ -21,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,15 @@ def leaks(text: str | None, found: list[Index]) -> list[tuple[int, float, float,
     return [(i, s, q, a) for i, (q, a, s) in sorted(best.items())]
 
 
+def _blocks(benchmark: DataFrame, index_bytes: int) -> Iterator[Broadcast]:
+    """Broadcast indexes of all items, each of ``index_bytes`` of text or so."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    blocks = max(1, -(-planned_bytes(benchmark) // index_bytes))
+    for k in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # index_bytes, about
+        yield benchmark.sparkSession.sparkContext.broadcast(indexes([(r.item_id, r.text) for r in mine]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of the documents that hold a test item.
 
@@ -188,22 +198,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX
     Null and wordless texts hold nothing; items without words or without item_id are not looked for; repeated
     documents give their rows each, repeated items one row with the best overlap.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-
-    def searched(block: int, blocks: int) -> DataFrame:
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # index_bytes, about
-        shared = spark.sparkContext.broadcast(indexes([(r.item_id, r.text) for r in mine]))
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
+    def searched(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for x in leaks(t.as_py(), shared.value)]
                 cols = list(zip(*found)) or [[]] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3))], names=names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
-    blocks = max(1, -(-planned_bytes(benchmark) // index_bytes))
-    return reduce(DataFrame.unionByName, [searched(k, blocks) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, map(searched, _blocks(benchmark, index_bytes)))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, all columns unchanged; see ``contaminated``."""
+
+    def clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not leaks(t.as_py(), shared.value) for t in b.column("text")], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(clean, _blocks(benchmark, index_bytes), docs)

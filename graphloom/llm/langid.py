@@ -174,8 +174,11 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     if not df[DIM]:
         return Model((), np.zeros((DIM + 1, 0), np.float32), 1.0)
     idf = np.append(np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1, 1.0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("lang", "doc_id", F.row_number().over(order).alias("pick")).where(F.col("pick") <= sample_per_lang)
+    # the first of each language in hash order; a common language's rows meet in several tasks first
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    salted = train.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, task_count(train) // 8))).alias("salt"))
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= sample_per_lang)
+    ids = few.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("pick")).where(F.col("pick") <= sample_per_lang)
     ids = materialize(ids, "langid-sample").select("doc_id", F.col("lang").alias("sample_lang"), "pick")
     sample = train.join(ids, "doc_id").where("lang = sample_lang").select("lang", "pick", "text")
     found = sample.mapInArrow(_features, "lang string, pick int, at array<int>, tf array<float>").toArrow()  # bounded by the sample
@@ -218,6 +221,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with ``least_score`` or more, all columns unchanged.
+
+    The model is fitted on ``docs`` itself.  Null texts and texts without letters go; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shared.value.predict(t.as_py()) for t in b.column("text")]
+            yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the training rows of ``docs`` (doc_id, text, lang; other columns are ignored) and predict all rows."""
     return predict(docs, fit(docs))

@@ -132,7 +132,10 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     random = each.join(discoveries(each.select("token").distinct()), "token", "left_semi")
     one = F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.lit("random").alias("kind"))
     by_row = random.groupBy("__row").agg(F.collect_list(one).cast(S.KINDED).alias("__random"))  # one document's tokens
-    return base.drop("__tokens").join(by_row, "__row", "left").withColumn("__random", F.coalesce("__random", F.array().cast(S.KINDED)))
+    none = F.array().cast(S.KINDED)
+    # only rows with tokens, a small part, are shuffled for their decisions
+    held = base.where(F.size("__tokens") > 0).join(by_row, "__row", "left").withColumn("__random", F.coalesce("__random", none))
+    return base.where(F.size("__tokens") == 0).withColumn("__random", none).unionByName(held).drop("__tokens")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
@@ -196,3 +196,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = linked.join(first, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the near-duplicates of a document with a smaller doc_id, all columns unchanged.
+
+    Of rows that share a doc_id one stays.  Rows without doc_id stay: nothing tells them apart.
+    """
+    found = materialize(near_duplicates(docs), "simhash-classes")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    again = found.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col("again_id")
+    first = kept.join(again, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return kept.join(again, same, "left_anti").unionByName(first.where("__n = 1").drop("__n"))
