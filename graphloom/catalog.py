@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.queries import ORACLES, QUERIES, flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
