@@ -22,9 +22,9 @@ EDGE_TABLES = ("princeton_thresholded", "princeton_no_threshold", "buhmann_no_th
 EDGES = "pre_root_id long, post_root_id long, neuropil string, syn_count long, nt_type string"
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file (gzip too) with a header, by column name; empty cells are null."""
-    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+def csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    """A CSV file (gzip too) with a header, whose names must be those of the schema; empty cells are null."""
+    return spark.read.options(header=True, enforceSchema=False, **options).schema(schema).csv(path)
 
 
 def node_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def edge_table(spark: SparkSession, folder: str, dataset: str = EDGE_TABLES[0])
     """A connection table; text cells lose blanks and carriage returns."""
     if dataset not in EDGE_TABLES:
         raise KeyError(f"unknown dataset {dataset!r}; known: {EDGE_TABLES}")
-    e = csv(spark, f"{folder}/connections_{dataset}.csv.gz", EDGES)
+    e = csv(spark, f"{folder}/connections_{dataset}.csv.gz", EDGES, lineSep="\n")
     return e.select(F.col("pre_root_id").alias("pre"), F.col("post_root_id").alias("post"), clean(F.col("neuropil")).alias("neuropil"), "syn_count", clean(F.col("nt_type")).alias("nt_type"))
 
 
