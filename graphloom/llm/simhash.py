@@ -205,7 +205,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = materialize(near_duplicates(docs), "simhash-classes")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    # always by shuffle: the list of what goes grows with the documents
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
     again = found.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
     if again.isEmpty():
         return kept
