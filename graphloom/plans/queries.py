@@ -299,7 +299,7 @@ def _rounded_cis(df: DataFrame) -> DataFrame:
 
 
 _EXACT = chain("small", recursive=True) + """, ids AS (SELECT pre AS node FROM small UNION SELECT post FROM small), targets AS (SELECT node AS t FROM ids WHERE node % 15 = 0 UNION ALL SELECT -1),
- bfs(t, s, node, d) AS (SELECT t, node, node, 0 FROM targets, ids WHERE node <> t UNION SELECT b.t, b.s, e.post, b.d + 1 FROM bfs b JOIN small e ON e.pre = b.node WHERE e.post <> b.t AND b.d < 14),
+ bfs(t, s, node, d) AS (SELECT t, node, node, 0 FROM targets, ids WHERE node <> t UNION SELECT b.t, b.s, e.post, b.d + 1 FROM bfs b JOIN small e ON e.pre = b.node WHERE e.post <> b.t AND b.d < 40),
  dist AS (SELECT t, s, node, min(d) AS d FROM bfs GROUP BY ALL), sr AS (SELECT t AS target, sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS S, count(*) FILTER (d > 0) AS R FROM dist GROUP BY t),
  base AS (SELECT S AS s0, R AS r0 FROM sr WHERE target = -1), n AS (SELECT count(*) AS n FROM ids)"""
 
