@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of input that one task should hold.
-TASK_BYTES = 8 << 20
-
+from ..storage import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/graphloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+__all__ = ["connected_components", "materialize", "planned_bytes", "shared_dir", "task_count", "unsigned_crc"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of input that one task should hold.
+TASK_BYTES = 8 << 20
+#: Estimates from here on mean that Catalyst knows nothing.
+UNKNOWN_BYTES = 1 << 55
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; file sizes for a plain scan. No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate (file sizes for a plain scan, no job); where it has none, the measured size of texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return int(df.agg(F.coalesce(F.sum(sum(texts, F.lit(64))), F.lit(0))).first()[0])
 
 
 def task_count(df: DataFrame, per_task: int = TASK_BYTES) -> int:
