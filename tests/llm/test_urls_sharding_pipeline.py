@@ -74,7 +74,7 @@ def test_pipeline_against_its_parts(spark, docs):
     """The kept documents are those that brute force over each stage's own input keeps; all their tokens are packed."""
     import corpus_pipeline as P
 
-    from graphloom.llm import common, decontam, simhash
+    from graphloom.llm import common, decontam, secrets, simhash
 
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     found, now = decontam.indexes(bench), docs
@@ -90,7 +90,9 @@ def test_pipeline_against_its_parts(spark, docs):
         elif name == "decontamination":
             assert {*after} == {d for d, t in before.items() if not decontam.leaks(t, found)} and len(after) < len(before)
         else:
-            assert {*after} == {*before} and any(after[d] != before[d] for d in after) and not any('token = "' in t for t in after.values())
+            found_in = {r.doc_id for r in secrets.find_secrets(now).collect() if r.spans}
+            assert {*after} == {*before} and {d for d in after if after[d] != before[d]} == found_in
+            assert not any('token = "' in t for t in after.values())
         now = out
     packed = P.STAGES[-1][1](spark, now, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {*after}
