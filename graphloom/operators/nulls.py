@@ -85,6 +85,62 @@ def replicates(pairs: DataFrame, seeds: DataFrame, how: Callable[[np.ndarray, np
     return seeds.select("null_id", "seed").repartition(n, "null_id").mapInPandas(run, "null_id long, seed long, pre long, post long")
 
 
+RECORD = """null_id long, seed long, code_version string, n_nodes long, n_edges_null long, n_pair_nodes long, n_gaba int, n_ctrl int, gaba_cis array<double>, ctrl_cis array<double>,
+ no_self_loops boolean, no_duplicate_edges boolean, out_degree_exact_match boolean, in_degree_exact_match boolean, median_gaba double, median_ctrl double, median_diff double, cliffs_delta double, status string"""
+
+
+def _delta(a: np.ndarray, b: np.ndarray) -> float:
+    """Cliff's delta of two samples: pairs where a is larger less those where b is, over all pairs."""
+    s = np.sort(b)
+    more, less = np.searchsorted(s, a, "left").sum(), (len(s) - np.searchsorted(s, a, "right")).sum()
+    return float(more - less) / (len(a) * len(b)) if len(a) and len(b) else 0.0
+
+
+def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls: list[int], sources: list[int], version: str, how: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = configuration) -> DataFrame:
+    """A RECORD for each row of ``seeds`` (null_id, seed): draw a graph, verify it, and score cases and controls on it.
+
+    Impact comes from the panel ``sources`` (62 nodes at most).  A graph that can't be drawn or isn't faithful gives
+    a record with status "failed" and no scores; others are unaffected.
+    """
+    from .traverse import BITS, levels_from
+
+    if len(sources) > BITS:
+        raise ValueError(f"more than {BITS} sources")
+    e = pairs.select("pre", "post").orderBy("pre", "post").limit(TASK_EDGES + 1).toArrow()
+    if e.num_rows > TASK_EDGES:
+        raise ValueError(f"more than {TASK_EDGES} edges: use stub_matching")
+    shared = pairs.sparkSession.sparkContext.broadcast((e.column("pre").to_numpy(), e.column("post").to_numpy()))
+
+    def one(null_id: int, seed: int) -> tuple:
+        pre, post = shared.value
+        names = np.unique(np.concatenate([pre, post]))
+        head = (null_id, seed, version, len(names), len(pre), len({*cases, *controls}), len(cases), len(controls))
+        try:
+            new = how(pre, post, seed)
+        except RuntimeError:
+            return (*head, None, None, *[None] * 8, "failed")
+        src, dst = np.searchsorted(names, pre), np.searchsorted(names, new)
+        flags = (bool((src != dst).all()), len(np.unique(src * len(names) + dst)) == len(src), True, bool((np.bincount(dst) == np.bincount(np.searchsorted(names, post))).all()))
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        heads = np.flatnonzero(np.diff(dst, prepend=-1))
+        place = {int(n): k for k, n in enumerate(names)}
+        first = np.zeros(len(names), np.int64)
+        for bit, node in enumerate(sources):
+            first[place[node]] |= 1 << bit
+        base = levels_from(first, src, dst[heads], heads, None)[0]
+        cis = [np.array([1 - levels_from(first, src, dst[heads], heads, place.get(t))[0] / base if base else 0.0 for t in ts]) for ts in (cases, controls)]
+        medians = [float(np.median(c)) if len(c) else 0.0 for c in cis]
+        return (*head, cis[0].tolist(), cis[1].tolist(), *flags, *medians, medians[0] - medians[1], _delta(*cis), "done" if all(flags) else "failed")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in RECORD.split(",")]
+        for frame in frames:
+            yield pd.DataFrame([one(int(n), int(s)) for n, s in frame[["null_id", "seed"]].itertuples(index=False, name=None)], columns=names)
+
+    return seeds.select("null_id", "seed").repartition(max(1, seeds.count()), "null_id").mapInPandas(run, RECORD)
+
+
 def stub_matching(pairs: DataFrame, seed: int, rounds: int = 60) -> DataFrame:
     """``pre, post`` of one configuration-model graph of any size, as joins: stubs meet by rank in hash order, and
     self-loops and repeated edges swap targets with hash-ranked good edges until none is left."""

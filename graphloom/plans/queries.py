@@ -729,6 +729,39 @@ def null_degree_differences(s, d):
     return real.agg(F.count("*").alias("n_edges")).crossJoin(nulls.degree_differences(real, null.where("null_id = 0")).agg(F.count("*").alias("n_differences")))
 
 
+@query("SELECT CAST(i AS BIGINT) AS null_id, CAST(100 + i AS BIGINT) AS seed, true AS ok, 'done' AS status FROM range(4) t(i)")
+def null_worker_contract(s, d):
+    p, targets, panel, n = _panel(s, d)
+    ids = sorted(r.node for r in targets.collect())
+    records = nulls.null_records(p, s.range(4).select(F.col("id").alias("null_id"), (F.col("id") + 100).alias("seed")), ids[::2], ids[1::2], [r.node for r in panel.collect()], "v1")
+    checked = jobs.record_checks(records, 100, "v1", n, p.count(), len(ids), len(ids[::2]), len(ids[1::2]))
+    return checked.select("null_id", "seed", "ok", "status")
+
+
+_LADDER = _POP + """, score AS (SELECT id, degree, value AS k8, round(value + in_degree / 10.0, 6) AS k16, round(value + out_degree / 10.0, 6) AS k32 FROM population),
+ ranks AS (SELECT rank() OVER (ORDER BY k8) + (count(*) OVER (PARTITION BY k8) - 1) / 2 AS a, rank() OVER (ORDER BY k16) + (count(*) OVER (PARTITION BY k16) - 1) / 2 AS b, rank() OVER (ORDER BY k32) + (count(*) OVER (PARTITION BY k32) - 1) / 2 AS c FROM score),
+ top AS (SELECT id, 'k8' AS tag FROM (SELECT id FROM score ORDER BY k8 DESC, id LIMIT 50) UNION ALL SELECT id, 'k16' FROM (SELECT id FROM score ORDER BY k16 DESC, id LIMIT 50) UNION ALL SELECT id, 'k32' FROM (SELECT id FROM score ORDER BY k32 DESC, id LIMIT 50))"""
+
+
+@query(_LADDER + """ SELECT round(corr(a, b), 9) AS rho_8_16, round(corr(a, c), 9) AS rho_8_32, (SELECT count(*) FILTER (n = 2) / count(*) FROM (SELECT count(*) AS n FROM top WHERE tag <> 'k16' GROUP BY id)) AS jaccard_8_32,
+ (SELECT count(*) FILTER (n = 3) / count(*) FROM (SELECT count(*) AS n FROM top GROUP BY id)) AS jaccard_all FROM ranks""")
+def seed_and_k_stability(s, d):
+    score = _population(s, d).select("id", F.col("value").alias("k8"), F.round(F.col("value") + F.col("in_degree") / 10.0, 6).alias("k16"), F.round(F.col("value") + F.col("out_degree") / 10.0, 6).alias("k32"))
+    score = selection.materialize(score, "ladder")
+    top = lambda c: stats.top_k(score, 50, c, "id").select("id", F.lit(c).alias("tag"))
+    rho = lambda c: stats.spearman(score, "k8", c).select(_r("rho").alias(f"rho_8_{c[1:]}"))
+    two, three = stats.jaccard(top("k8").unionByName(top("k32"))), stats.jaccard(top("k8").unionByName(top("k16")).unionByName(top("k32")))
+    return rho("k16").crossJoin(rho("k32")).crossJoin(two.select(F.col("jaccard").alias("jaccard_8_32"))).crossJoin(three.select(F.col("jaccard").alias("jaccard_all")))
+
+
+@query(_POP + """, v AS (SELECT value AS v FROM population WHERE value > 0), r AS (SELECT log10(min(v)) AS lo, log10(max(v)) AS hi FROM v)
+ SELECT CAST(t.bin AS INTEGER) AS bin, count(b.bin) AS n FROM range(39) t(bin) LEFT JOIN (SELECT CAST(least(floor((log10(v) - lo) / ((hi - lo) / 39)), 38) AS INTEGER) AS bin FROM v, r) b ON b.bin = t.bin GROUP BY 1""")
+def hist_log_spaced(s, d):
+    p = selection.materialize(_population(s, d).where("value > 0"), "population")
+    lo, hi = p.agg(F.log10(F.min("value")), F.log10(F.max("value"))).first()
+    return catalogue.log_histogram(p, F.log10("value"), lo, hi, 39)
+
+
 # --- records and manifests
 
 def _records(s: SparkSession, d: str) -> DataFrame:
