@@ -3,7 +3,7 @@
 List events (a pattern is added to or removed from a category on a date) become intervals; a capture is evaluated
 against the entries that were active when it was fetched.  A pattern is a host and stands for its subdomains: a
 host's suffixes are the join keys, so the join is an equi-join with a bounded range test behind it, and a host
-with very many captures is split by the engine's skewed-join handling or meets a broadcast list.
+with very many captures is split by the engine's skewed-join handling.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     c = captures.select(F.col("page_id"), host(F.col("url").cast("string")).alias("host"), F.col("fetched").cast("date").alias("fetched"))
     c = materialize(c.withColumn("row", F.monotonically_increasing_id()), "url-captures")
     keyed = c.select("row", "fetched", F.posexplode(suffixes(F.col("host"))).alias("depth", "pattern"))
-    active = keyed.join(intervals(events), "pattern").where("since <= fetched and (until is null or fetched < until)")
+    # by shuffle: both sides can be large, and neither's size on disk tells that of its rows
+    active = keyed.join(intervals(events).hint("merge"), "pattern").where("since <= fetched and (until is null or fetched < until)")
     best = active.groupBy("row").agg(F.min(F.struct("depth", "category", "since", "pattern")).alias("best"))
-    return c.join(best, "row", "left").select("page_id", "host", "fetched", F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.category", "best.since")
+    return c.join(best.hint("merge"), "row", "left").select("page_id", "host", "fetched", F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.category", "best.since")
