@@ -37,7 +37,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that occur at least twice: a sparse graph of many components."""
+    """Pairs that occur at least twice: a sparse graph of many components, 0.05 to 4 % of all pairs, for SQL to follow."""
     return raw_edges(spark, sf_dir).groupBy("pre", "post").agg(F.count("*").alias("n")).where("n >= 2").select("pre", "post")
 
 

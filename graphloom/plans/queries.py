@@ -240,6 +240,31 @@ def k_ring_2(s, d):
     return graph.k_ring(e, e.where("pre % 10 = 0").select(F.col("pre").alias("node")), 2)
 
 
+# The SQL of weak_components, pagerank_dangling and k_ring_2 is that of the pairs that occur twice; these take the whole pair graph.
+
+@query(chain("pairs", recursive=True) + """, both_ways AS (SELECT pre AS a, post AS b FROM pairs UNION SELECT post, pre FROM pairs),
+ least_of(it, node, c, moved) AS (
+   SELECT 0, a, a, true FROM (SELECT DISTINCT a FROM both_ways)
+   UNION ALL
+   (WITH prev AS (SELECT * FROM least_of), got AS (SELECT e.a AS node, min(p.c) AS g FROM prev p JOIN both_ways e ON e.b = p.node GROUP BY e.a)
+    SELECT p.it + 1, p.node, least(p.c, g), g < p.c FROM prev p JOIN got USING (node) WHERE (SELECT bool_or(moved) FROM prev)))
+ SELECT node, min(c) AS component FROM least_of GROUP BY node""")
+def weak_components_whole(s, d):
+    return graph.weak_components(_pairs(s, d))
+
+
+@query(_pagerank_sql("pairs", "SELECT pre AS node FROM pairs UNION SELECT post FROM pairs", 5))
+def pagerank_dangling_whole(s, d):
+    e = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
+    return graph.pagerank(e, e.select(F.explode(F.array("pre", "post")).alias("node")), iterations=5, tolerance=0).withColumn("pagerank", _r("pagerank"))
+
+
+@query()
+def k_ring_2_whole(s, d):
+    """Two rings around the candidates: the union of the top 1 % by degree, strength and PageRank."""
+    return graph.k_ring(selection.materialize(_pairs(s, d).select("pre", "post"), "pairs"), selection.candidates(_central(s, d)), 2)
+
+
 @query(chain("pairs", "nodes") + """, near AS (SELECT pre AS t, post AS u FROM pairs WHERE pre % 40 = 0 UNION SELECT post, pre FROM pairs WHERE post % 40 = 0),
  kinds AS (SELECT CASE WHEN nt_type IS NULL THEN 'unknown' WHEN nt_type IN ('GABA', 'ACH', 'GLUT') THEN nt_type ELSE 'other' END AS kind FROM near LEFT JOIN (SELECT node AS u, nt_type FROM nodes WHERE node % 11 <> 0) USING (u))
  SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM kinds), 12) AS share FROM kinds GROUP BY kind""")
@@ -336,6 +361,11 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
     return deg.withColumn("strength", F.col("in_strength") + F.col("out_strength"))
 
 
+def _central(s: SparkSession, d: str) -> DataFrame:
+    """The metrics with PageRank."""
+    return selection.materialize(_metrics(s, d).join(graph.pagerank(_pairs(s, d), derive.nodes(s, d)), "node"), "central")
+
+
 _SELECT = chain("degree", "nodes") + """, metrics AS (SELECT node, total_degree, in_strength + out_strength AS strength, nt_type FROM degree JOIN nodes USING (node)), k AS (SELECT greatest(1, CAST(floor(0.01 * count(*)) AS BIGINT)) AS k FROM metrics),
  top AS (SELECT node FROM metrics, k QUALIFY row_number() OVER (ORDER BY total_degree DESC, node) <= k UNION SELECT node FROM metrics, k QUALIFY row_number() OVER (ORDER BY strength DESC, node) <= k),
  hot AS (SELECT node FROM metrics WHERE nt_type = 'GABA' AND total_degree >= (SELECT quantile_cont(total_degree, 0.9) FROM metrics WHERE nt_type = 'GABA')),
