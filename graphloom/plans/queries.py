@@ -411,6 +411,22 @@ def annotate_screen(s, d):
     return out.select("node", "cis", "nt_type", "total_degree", "cis_mean", "is_finalist", "in_background")
 
 
+# The SQL of candidate_union and target_manifest has no PageRank, that of the traversals a few targets and sources; these take the whole sets.
+
+@query()
+def candidate_union_whole(s, d):
+    return selection.candidates(_central(s, d))
+
+
+_BACKGROUND = 500
+
+
+@query()
+def target_manifest_whole(s, d):
+    m = _central(s, d)
+    return selection.target_manifest(selection.candidates(m), selection.hot_by_label(m, "GABA"), selection.background_portable(m, _BACKGROUND, "bg"))
+
+
 # --- range joins, matching, peers
 
 _POP = chain("population")

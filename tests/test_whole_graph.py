@@ -65,3 +65,9 @@ def test_rings_around_the_candidates(spark, edges):
             for m in near[n]:
                 want.setdefault(m, step)
     assert {r.node: r.ring for r in catalog.QUERIES["k_ring_2_whole"](spark, SF).collect()} == want
+
+
+def test_candidates_by_pagerank_too(spark, edges):
+    want = top_union(spark, edges)
+    assert {r.node for r in catalog.QUERIES["candidate_union_whole"](spark, SF).collect()} == want
+    assert catalog.QUERIES["target_manifest_whole"](spark, SF).first().n_union == len(want)
