@@ -42,7 +42,7 @@ def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_pairs(spark: SparkSession, sf_dir: str, n: int = 120) -> DataFrame:
-    """The subgraph of pairs whose ends both have an id below ``n``, thickened by nearby parts' pairs (ids modulo n)."""
+    """A graph of at most ``n`` nodes for SQL to follow: ids modulo ``n``, rows of 49 or more.  Its nodes aren't parts."""
     e = raw_edges(spark, sf_dir).select((F.col("pre") % n).alias("pre"), (F.col("post") % n).alias("post"), "syn_count")
     return e.where((F.col("pre") != F.col("post")) & (F.col("syn_count") >= 49)).select("pre", "post").distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.ordered import average_rank, portable_draw
+from ..functions.ordered import average_rank, draw, global_rank, portable_draw
 from ..operators import catalogue, enrichment, graph, jobs, matching, nulls, selection, stats, traverse
 from ..sources import tables
 from ..streaming import events as streams
@@ -427,6 +427,59 @@ def target_manifest_whole(s, d):
     return selection.target_manifest(selection.candidates(m), selection.hot_by_label(m, "GABA"), selection.background_portable(m, _BACKGROUND, "bg"))
 
 
+_PANEL = 32
+
+
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Pairs; all targets (candidates, hot ones, background); all nodes (pos, node) in a drawn order, of which the first _PANEL are the panel; how many."""
+    m = _central(s, d)
+    p = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
+    targets = selection.candidates(m).unionByName(selection.hot_by_label(m, "GABA")).unionByName(selection.background_portable(m, _BACKGROUND, "bg")).distinct()
+    every = graph.degrees(p).select("node", draw(F.col("node"), 0).alias("drawn"))
+    every = selection.materialize(global_rank(every, [F.col("drawn"), F.col("node")], "pos").select((F.col("pos") - 1).alias("pos"), "node"), "every")
+    return p, selection.materialize(targets, "targets"), every, every.count()
+
+
+@query()
+def bfs_distances_whole(s, d):
+    p, _, every, _ = _whole(s, d)
+    sources = traverse.panel(every.where(F.col("pos") < _PANEL))
+    base = s.range(1).select(F.lit(traverse.BASELINE).cast("long").alias("target"))
+    found = traverse.distances(traverse.bfs_levels(p, sources, base))
+    return found.join(sources.withColumnRenamed("node", "source"), ["batch", "bit"]).select("source", "node", "d")
+
+
+@query()
+def panel_reach_whole(s, d):
+    p, targets, every, _ = _whole(s, d)
+    return traverse.panel_reach(p, targets, traverse.panel(every.where(F.col("pos") < _PANEL))).withColumn("S", _r("S", 6))
+
+
+@query()
+def panel_cis_whole(s, d):
+    p, targets, every, n = _whole(s, d)
+    return _rounded_cis(traverse.panel_cis(p, targets, every.where(F.col("pos") < _PANEL), n))
+
+
+@query()
+def exact_cis_whole(s, d):
+    p, targets, every, n = _whole(s, d)
+    return _rounded_cis(traverse.panel_cis(p, targets, every, n))
+
+
+@query()
+def free_n_diagnostic_whole(s, d):
+    p, targets, every, n = _whole(s, d)
+    return traverse.free_n_cis(traverse.panel_cis(p, targets, every, n), n).withColumn("cis_free", _r("cis_free"))
+
+
+@query()
+def global_efficiency_whole(s, d):
+    p, targets, every, n = _whole(s, d)
+    found = selection.materialize(traverse.panel_reach(p, targets.limit(0), traverse.panel(every)), "reach")
+    return traverse.global_efficiency(found, n).select(_r("efficiency").alias("exact")).crossJoin(traverse.sampled_efficiency(found).select(_r("efficiency").alias("sampled_reachable")))
+
+
 # --- range joins, matching, peers
 
 _POP = chain("population")

@@ -71,3 +71,50 @@ def test_candidates_by_pagerank_too(spark, edges):
     want = top_union(spark, edges)
     assert {r.node for r in catalog.QUERIES["candidate_union_whole"](spark, SF).collect()} == want
     assert catalog.QUERIES["target_manifest_whole"](spark, SF).first().n_union == len(want)
+
+
+def reach(edges, sources, gone=None):
+    near = {}
+    for a, b in edges:
+        if gone not in (a, b):
+            near.setdefault(a, []).append(b)
+    s = r = 0
+    for x in sources:
+        seen, front, level = {x}, [x] if x != gone else [], 0
+        while front:
+            level, front = level + 1, list({b for a in front for b in near.get(a, []) if b not in seen})
+            seen.update(front)
+            s, r = s + len(front) / level, r + len(front)
+    return s, r
+
+
+def test_impact_of_real_targets_on_all_nodes(spark, edges):
+    every = {n for e in edges for n in e}
+    s0, r0 = reach(edges, every)
+    n = len(every)
+    got = {r.target: r for r in catalog.QUERIES["exact_cis_whole"](spark, SF).collect()}
+    # fewer parts than a background: all of them are targets
+    assert got.keys() == every
+    for t in sorted(top_union(spark, edges)) + sorted(every)[:5]:
+        s, r = reach(edges, every, t)
+        assert abs(got[t].cis - (1 - s / s0)) < 1e-8 and abs(got[t].reach_drop - (r0 - r) / (n * (n - 1))) < 1e-11
+    e = catalog.QUERIES["global_efficiency_whole"](spark, SF).first()
+    assert abs(e.exact - s0 / (n * (n - 1))) < 1e-8 and abs(e.sampled_reachable - s0 / r0) < 1e-8
+    free = {r.target: r.cis_free for r in catalog.QUERIES["free_n_diagnostic_whole"](spark, SF).collect()}
+    t = min(every)
+    s = reach(edges, every, t)[0]
+    assert abs(free[t] - (1 - s / ((n - 1) * (n - 2)) / (s0 / (n * (n - 1))))) < 1e-8
+
+
+def test_panel_is_drawn_and_targets_are_whole(spark, edges):
+    every = {n for e in edges for n in e}
+    far = catalog.QUERIES["bfs_distances_whole"](spark, SF).collect()
+    sources = {r.source for r in far}
+    assert len(sources) == 32 and sources != set(sorted(every)[:32])
+    s0, r0 = reach(edges, sources)
+    assert sum(r.d > 0 for r in far) == r0 and abs(sum(1 / r.d for r in far if r.d) - s0) < 1e-6
+    got = {r.target: r for r in catalog.QUERIES["panel_reach_whole"](spark, SF).collect()}
+    assert got.keys() == every | {-1} and (got[-1].R, got[-1].S) == (r0, round(s0, 6))
+    cis = {r.target: r.cis for r in catalog.QUERIES["panel_cis_whole"](spark, SF).collect()}
+    t = min(every - sources)
+    assert cis.keys() == every and abs(cis[t] - (1 - reach(edges, sources, t)[0] / s0)) < 1e-8
