@@ -130,7 +130,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = NEIGHBOURS) -> Data
 
     ``vectors`` has vec_id and embedding; other columns are ignored.  Vectors that are null, zero or of another length
     than most, or hold null or non-finite components, take no part, nor do null ids.  Ties go to the smaller vec_id.
-    Rows with a query's own vec_id aren't its neighbours; fewer than ``k`` candidates are all returned.
+    Rows with a query's own vec_id aren't its neighbours, repeated rows are one neighbour and ask each; fewer than ``k`` candidates are all returned.
     """
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
@@ -142,10 +142,15 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = NEIGHBOURS) -> Data
         return spark.createDataFrame([], out)
     rows = rows.where(F.size("embedding") == size.d)
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
-    asked = rows.where(F.col("vec_id") % every == 0).select("embedding").distinct().withColumn("asked", F.lit(True))
-    classes = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).join(asked, "embedding", "left")
-    classes = materialize(classes.select(F.col("ids")[0].alias("class"), "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-classes")
+    distinct = rows.distinct()  # a row that is there several times is one candidate
+    few = distinct.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
+    classes = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    classes = materialize(classes.select(F.col("ids")[0].alias("class"), "ids", "embedding"), "ann-classes")
+    asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "embedding").agg(F.count("*").cast("int").alias("times"))
+    # an id with several vectors asks for itself: any number of its own may be nearest
+    several = asks.groupBy("vec_id").count().where("count > 1").select("vec_id", F.col("vec_id").alias("own"))
+    asks = asks.join(several, "vec_id", "left").withColumnRenamed("vec_id", "query_id")
+    asks = materialize(asks.join(classes.select("class", "embedding"), "embedding"), "ann-asks")
     total = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toArrow()
     model = spark.sparkContext.broadcast(fit(unit(_matrix(sample.column("embedding"))), max(1, min(MOST_CELLS, int(total**0.5))), total, k))  # of a bounded size
@@ -163,35 +168,38 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = NEIGHBOURS) -> Data
             if b.num_rows:
                 cells = model.value.cells(unit(_matrix(b.column("embedding"))), model.value.probes)
                 at = np.repeat(np.arange(b.num_rows), cells.shape[1])
-                yield pa.record_batch([pa.array(cells.ravel().astype(np.int32)), b.column("class").take(pa.array(at)), b.column("embedding").take(pa.array(at))], names=["cell", "query", "embedding"])
+                yield pa.record_batch([pa.array(cells.ravel().astype(np.int32)), b.column("class").take(pa.array(at)), b.column("own").take(pa.array(at)), b.column("embedding").take(pa.array(at))], names=["cell", "query", "own", "embedding"])
 
     index = materialize(classes.mapInArrow(encode, "cell int, class long, ids array<long>, embedding array<double>, codes binary"), "ann-index")
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))  # a row for each centroid
     salted = index.join(F.broadcast(parts), "cell").withColumn("part", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
-    queries = classes.where("asked").select("class", "embedding").mapInArrow(probe, "cell int, query long, embedding array<double>")
+    queries = asks.select("class", "own", "embedding").distinct().mapInArrow(probe, "cell int, query long, own long, embedding array<double>")
     queries = queries.join(F.broadcast(parts.select(F.col("cell").alias("cell"), F.col("parts").alias("all_parts"))), "cell").withColumn("part", F.explode(F.expr("sequence(0, all_parts - 1)")))
 
     def search(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int | None, int, float]] = []
         if q.num_rows and v.num_rows:
             cell, m = key[0].as_py(), model.value
             codes = np.frombuffer(b"".join(v.column("codes").to_pylist()), np.uint8).reshape(v.num_rows, -1)
             vectors, ids = _matrix(v.column("embedding")), v.column("ids").to_pylist()
-            for query, one in zip(q.column("query").to_pylist(), _matrix(q.column("embedding"))):
+            for query, own, one in zip(q.column("query").to_pylist(), q.column("own").to_pylist(), _matrix(q.column("embedding"))):
                 near = np.arange(len(codes))
-                if len(codes) > m.depth:
-                    near = np.argpartition(m.distances(unit(one[None])[0], cell, codes), m.depth)[: m.depth]
+                if own is not None:
+                    near = np.array([j for j in near.tolist() if ids[j] != [own]], np.int64)
+                if len(near) > m.depth:
+                    near = near[np.argpartition(m.distances(unit(one[None])[0], cell, codes[near]), m.depth)[: m.depth]]
                 score = cosines(vectors[near], one)
                 least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else -np.inf  # ties at the end stay in
-                best = sorted((-s, i) for s, j in zip(score[score >= least].tolist(), near[score >= least].tolist()) for i in ids[j])[: k + 1]
-                found += [(query, i, -s) for s, i in best]
-        cols = list(zip(*found)) or [[]] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["class", "near", "score"])
+                best = sorted((-s, i) for s, j in zip(score[score >= least].tolist(), near[score >= least].tolist()) for i in ids[j] if i != own)[: k + 1]
+                found += [(query, own, i, -s) for s, i in best]
+        cols = list(zip(*found)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["class", "own", "near", "score"])
 
-    best = queries.groupBy("cell", "part").cogroup(salted.groupBy("cell", "part")).applyInArrow(search, "class long, near long, score double")
-    order = Window.partitionBy("class").orderBy(F.desc("score"), "near")
+    best = queries.groupBy("cell", "part").cogroup(salted.groupBy("cell", "part")).applyInArrow(search, "class long, own long, near long, score double")
+    order = Window.partitionBy("class", "own").orderBy(F.desc("score"), "near")
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = best.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "near", "score"))).alias("best"))  # k + 1 each
-    asking = rows.where(F.col("vec_id") % every == 0).join(classes.where("asked").select("class", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "class")
+    lists = best.groupBy(F.col("class").alias("of"), F.col("own").alias("by")).agg(F.array_sort(F.collect_list(F.struct("n", "near", "score"))).alias("best"))  # k + 1 each
     mine = F.slice(F.filter("best", lambda b: b["near"] != F.col("query_id")), 1, k)
-    return asking.join(lists, "class").select("query_id", F.posexplode(mine).alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.near").alias("vec_id"), F.col("b.score").alias("score"))
+    asking = asks.select("query_id", "class", "own", F.explode(F.array_repeat(F.lit(0), F.col("times"))))  # each row asks
+    asking = asking.join(lists, (F.col("class") == F.col("of")) & F.col("own").eqNullSafe(F.col("by")))
+    return asking.select("query_id", F.posexplode(mine).alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.near").alias("vec_id"), F.col("b.score").alias("score"))

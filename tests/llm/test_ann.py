@@ -61,3 +61,20 @@ def test_split_cells_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(A, "PART_ROWS", 5)
     split = sorted(map(tuple, A.neighbours(df).collect()))
     assert sum(a == b for a, b in zip(whole, split)) >= 0.95 * len(whole) and len(whole) == len(split)
+
+
+def test_repeated_queries_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(1, 50)]
+    once = [(0, rng.normal(size=6).tolist()), (50, rng.normal(size=6).tolist())]
+    close = [(100, (np.array(rows[0][1]) + 1e-4 * j).tolist()) for j in range(12)]
+    want = {(q, tuple(ids)) for q, ids, _ in brute(rows + once + close)}
+    times = {0: 7, 50: 1, 100: 1}
+    # a row that is there seven times, an id with twelve vectors, and a neighbour that is there three times
+    df = spark.createDataFrame(rows + rows[3:4] * 2 + [r for r in once for _ in range(times[r[0]])] + close, "vec_id long, embedding array<double>")
+    got = A.neighbours(df).collect()
+    for q, ids in want:
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 5 * (12 if q == 100 else times[q]) and all(r.vec_id != q for r in mine)
+        if q != 100:
+            assert [r.vec_id for r in sorted(mine, key=lambda r: r["rank"])][:: times[q]] == list(ids)
