@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import connected_components, materialize
 
 SEED = 42
@@ -47,6 +48,12 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits((2 * counts > len(h)).ravel(), bitorder="little").view("<u8")[0])
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
+        yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp.view(np.int64)), "node": b.column("node")})
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
@@ -183,27 +190,36 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, resembling: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (columns doc_id, text; others are ignored).
 
     Null, empty and blank texts have fingerprint zero and link like any other.  Repeated rows come back as
     often as they went in.  component_id is the smallest doc_id reachable over links (nulls don't count).
+    With ``resembling``, texts whose five-word shingles have a Jaccard similarity of 0.8 or more link as well.
     """
-    fps = materialize(fingerprints(docs), "simhash")
+    if resembling:
+        # the fingerprint of each text, by a hash of the text
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("node"))
+        every = materialize(texts.mapInArrow(_named, "doc_id long, fp long, node long"), "simhash")
+        fps = every.select("doc_id", "fp")
+        more = resemblance.links(docs, every.select("node", "fp").dropDuplicates(["node"]))
+    else:
+        fps, more = materialize(fingerprints(docs), "simhash"), None
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = connected_components(fingerprint_links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    near = fingerprint_links(nodes.select("fp"))
+    labels = connected_components(near if more is None else near.unionByName(more)).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = linked.join(first, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, resembling: bool = False) -> DataFrame:
     """``docs`` without the near-duplicates of a document with a smaller doc_id, all columns unchanged.
 
     Of rows that share a doc_id one stays.  Rows without doc_id stay: nothing tells them apart.
     """
-    found = materialize(near_duplicates(docs), "simhash-classes")
+    found = materialize(near_duplicates(docs, resembling), "simhash-classes")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     # always by shuffle: the list of what goes grows with the documents
     kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
