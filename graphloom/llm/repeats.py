@@ -1,30 +1,31 @@
 """Removal of long repeated substrings by prefix-free parsing.
 
-A rolling hash over 16 bytes triggers phrase boundaries, so equal text is cut alike wherever it stands.  In
-prefix-free parsing the suffix array of the phrase dictionary and that of the parse together order all suffixes
-of the corpus, and a string repeats where neighbours in that order share a prefix that long.  Only whether
-contexts of ``LENGTH`` bytes are equal matters here, not which is smaller, so ranks are replaced by fingerprints,
-which every document computes by itself; only fingerprints travel, and no order of the corpus is sorted:
-
-1. dictionary: of each phrase boundary, the fingerprint of the next ``BLOCK`` bytes.  A window of ``LENGTH`` bytes
-   that holds a block which occurs once occurs once.
-2. parse: of each boundary, the fingerprint of the phrases that reach ``LENGTH`` bytes beyond the next boundary.
-   Where that repeats, all windows that start in its first phrase repeat.
-3. The windows that neither settles (at the ends of repeats, and where triggers are rare) are compared each.  The
-   twin of an open window may be a settled one elsewhere, so shards first ask for the settled windows whose first
-   block is that of an open one; windows without a block are always compared.
-
-Documents are dealt over shards by hash; a shard sends each distinct fingerprint once, with "twice or more" as its
-only count, and gets back those that repeat: a string that a third of all documents hold costs a row per shard.
+A hash of 16 rolling bytes triggers phrase boundaries, so equal text is cut alike wherever it stands.  A phrase runs
+from one trigger to the end of the next.  In prefix-free parsing the suffixes of the corpus are ordered by the suffix
+arrays of the phrase dictionary and of the parse, and a string repeats where neighbours in that order share a prefix
+that long.  The order is needed only among suffixes that can be neighbours, so it is built by phrase:
+
+1. dictionary: how often each phrase occurs in the corpus.  A window of ``length`` bytes that holds a phrase which
+   occurs once occurs once; all others are candidates.
+2. parse: candidates that have the same first phrase meet in one task, as pieces of text (the end of the phrase
+   before, a suffix in the dictionary, and what follows in the parse).  Their suffixes are sorted; neighbours that
+   share ``length`` bytes repeat.  Equal pieces are sent once by each shard and need no sorting.
+   Windows without a whole phrase, and those that begin in a phrase which is very frequent, would be too many for
+   one task: they are sent one by one, as 128-bit cryptographic digests.
+
+Phrases are counted by 64-bit hashes: a collision makes candidates, it decides nothing.  Documents are dealt over
+shards by hash.  A passage that a third of all documents hold costs a shard as much as one that it holds once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,183 +33,252 @@ from pyspark.sql import functions as F
 from .common import materialize, task_count
 
 LENGTH = 400
+#: Words of a passage that ``n_passages`` counts, at least.
+WORDS = 51
 GRAM = 16
-#: Bytes between triggers on average, and of a dictionary block.
+#: Bytes between triggers on average.
 GAP = 48
-BLOCK = 64
+#: A phrase that shards report so often in all is very frequent.
+FREQUENT = 64
 #: Bytes of (compressed) input in a shard.
 SHARD_BYTES = 8 << 20
+#: Bytes whose triggers are looked for at a time.
+SPAN = 1 << 22
+DIGEST = 16
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(1)) * _ODD
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def triggers(text: bytes, gap: int) -> np.ndarray:
+    """Places of the 16-byte strings whose hash falls below a limit: one in ``gap``."""
+    found, limit, last = [np.empty(0, np.int64)], np.uint64((1 << 64) // gap), len(text) - GRAM + 1
+    for k in range(0, last, SPAN):
+        halves = np.ndarray((min(SPAN, last - k) + 8,), "<u8", text, k, (1,))
+        found.append(k + np.flatnonzero(halves[:-8] * _FIRST + halves[8:] * _SECOND < limit))
+    return np.concatenate(found)
 
 
-_BYTES = _splitmix(np.arange(256, dtype=np.uint64))
+def digest(data: bytes, kind: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST, person=kind).digest()
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as far as the longest text so far needs."""
+class Parse:
+    """The phrases of one text, and its windows of ``length`` bytes by their first whole phrase."""
+
+    def __init__(self, text: bytes, length: int, gap: int) -> None:
+        at = triggers(text, gap)
+        self.text, self.length, self.last = text, length, len(text) - length
+        self.at, self.ends = at[:-1], at[1:] + GRAM
+        self.keys = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(self.at.tolist(), self.ends.tolist())), np.uint64, len(self.ends))
+        self.low = np.maximum(np.maximum(np.concatenate([[0], self.at[:-1] + 1])[: len(self.at)], self.ends - length), 0)
+        self.high = np.minimum(self.at, self.last)
+
+    def bare(self) -> Iterator[int]:
+        """Starts of the windows that hold no whole phrase."""
+        whole = self.low <= self.high
+        for a, b in zip(np.append(0, self.high[whole] + 1).tolist(), np.append(self.low[whole], self.last + 1).tolist()):
+            yield from range(a, b)
+
+    def pieces(self, once: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the phrases ``mine``: those that are first in candidates, with the first and last starts of these.
+
+        ``once`` marks the phrases that occur once: a candidate holds none.
+        """
+        limit = np.where(once, self.ends - self.length - 1, np.iinfo(np.int64).max)
+        high = np.minimum(self.high, np.minimum.accumulate(limit[::-1])[::-1])
+        k = np.flatnonzero(mine & ~once & (self.low <= high))
+        return k, self.low[k], high[k]
+
+    def passages(self, once: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of ``words`` words that hold no phrase which occurs once: number of the first word, start and end."""
+        x = np.frombuffer(self.text, np.uint8)
+        space = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
+        at, ends = self.at[once], np.append(self.ends[once], np.iinfo(np.int64).max)
+        k = np.flatnonzero(ends[np.searchsorted(at, start)] > end)
+        return k, start[k], end[k]
+
+
+def _piece_kind(text: bytes) -> bytes:
+    return digest(text, b"piece")
+
+
+class _Sent:
+    """What a shard sends to the parts: phrases, digests and pieces, each distinct one once, with its count."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.digests: Counter[bytes] = Counter()
+        self.pieces: dict[bytes, list[int]] = {}
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _INVERSE))
-        return self.up, self.down
+    def piece(self, key: int, text: bytes) -> None:
+        self.pieces.setdefault(text, [key, 0])[1] += 1
 
 
-_POWERS = _Powers()
+_KEY = np.dtype([("key", "<u8"), ("n", "u1")])
+_ONE = np.dtype([("digest", "<u8", 2), ("n", "u1")])
+_HEAD = np.dtype([("key", "<u8"), ("size", "<u4"), ("n", "u1")])
 
 
-class Parse:
-    """Fingerprints of any substrings of one text, and its phrase boundaries."""
-
-    def __init__(self, text: bytes, length: int, block: int, gap: int) -> None:
-        n = len(text)
-        up, self.down = _POWERS.of(n + 1)
-        x = np.frombuffer(text, np.uint8)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[x] * up[:n], out=self.sums[1:])
-        self.n, self.length, self.block = n, length, block
-        grams = self.prints(np.arange(n - GRAM + 1), GRAM) * _ODD
-        self.real = np.flatnonzero(grams < np.uint64((1 << 64) // gap))
-        self.at = self.real if len(self.real) and self.real[0] == 0 else np.concatenate([[0], self.real])
-        self.next = np.append(self.at[1:], n)
-
-    def prints(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return (self.sums[at + size] - self.sums[at]) * self.down[at]
-
-    def records(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each boundary: the fingerprint of its block, and that joined with the fingerprint of its phrases."""
-        ends = np.append(self.real + GRAM, self.n)
-        ends = ends[np.minimum(np.searchsorted(ends, self.next + self.length), len(ends) - 1)]
-        keys = self.prints(self.at, np.minimum(self.block, self.n - self.at))
-        spans = _splitmix(self.prints(self.at, ends - self.at) + (ends - self.at).astype(np.uint64))
-        # phrases that don't reach LENGTH bytes prove nothing: joined with 0
-        return keys, _splitmix(keys) * _ODD + np.where(ends - self.at >= self.length, spans, np.uint64(0))
-
-    def _covered(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of all windows, by their starts: those in any of the given ranges."""
-        n = self.n - self.length + 1
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.clip(starts, 0, n), 1)
-        np.add.at(edge, np.clip(np.maximum(starts, ends), 0, n), -1)
-        return np.cumsum(edge[:-1]) > 0
-
-    def windows(self, once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Masks of the windows that certainly repeat and of the open ones, given the boundaries whose blocks occur once and whose phrases repeat."""
-        sure = self._covered(self.at[twice], self.next[twice])
-        unique = once & (self.at + self.block <= self.n)
-        unique[0] &= len(self.real) > 0 and self.real[0] == 0
-        at = self.at[unique]
-        return sure, ~(sure | self._covered(at + self.block - self.length, at + 1))
-
-    def first_blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each block: its fingerprint, and the range of windows of which it is the first block."""
-        at = self.real[self.real + self.block <= self.n]
-        n = self.n - self.length + 1
-        start = np.clip(np.maximum(np.concatenate([[0], at[:-1] + 1]), at + self.block - self.length), 0, n) if len(at) else at
-        return self.prints(at, self.block), start, np.maximum(start, np.minimum(at + 1, n))
-
-    def compared(self, sure: np.ndarray, open_: np.ndarray, asked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Starts of the windows to compare: open ones, those without a block, and sure ones whose first block is asked for."""
-        keys, start, end = self.first_blocks()
-        want = asked(keys)
-        return np.flatnonzero(open_ | sure & (self._covered(start[want], end[want]) | ~self._covered(start, end)))
-
-    def window_keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = self.length // 2
-        first = self.prints(starts, half)
-        return first, _splitmix(first) * _ODD + _splitmix(self.prints(starts + half, self.length - half))
-
-
-_ROW = np.dtype([("key", "<u8"), ("joined", "<u8"), ("n", "u1")])
-
-
-def _digest(keys: list[np.ndarray], joined: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
-    """Distinct (key, joined) rows with how often they occur, or the sum of their weights: 2 for more."""
-    k, j = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.uint64), *joined])
-    w = np.ones(len(j), np.int64) if weights is None else np.concatenate([np.empty(0, np.int64), *weights])
-    order = np.argsort(j, kind="stable")
-    k, j, w = k[order], j[order], w[order]
-    first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else np.empty(0, np.int64)
-    out = np.empty(len(first), _ROW)
-    out["key"], out["joined"] = k[first], j[first]
-    out["n"] = np.minimum(np.add.reduceat(w, first), 2) if len(first) else 0
-    return out
-
-
-def _dealt(shard: int, rows: np.ndarray, parts: int) -> pa.Table:
-    part = (_splitmix(rows["key"]) % np.uint64(parts)).astype(np.int64)
+def _by_part(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    """Places of ``keys`` by the part that they go to."""
+    mixed = keys * _FIRST
+    part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    groups = [g for g in np.split(order, cuts) if len(g)]
-    return pa.table({"part": pa.array([int(part[g[0]]) for g in groups], pa.int32()), "shard": pa.array([shard] * len(groups), pa.int32()), "rows": pa.array([rows[g].tobytes() for g in groups], pa.binary())})
+    groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+    return {int(part[g[0]]): g for g in groups if len(g)}
+
+
+def _capped(counts: Iterable[int]) -> np.ndarray:
+    return np.minimum(np.fromiter(counts, np.int64), 255).astype("u1")
+
+
+_DEALT = "part int, shard int, keys binary, ones binary, heads binary, blob binary"
 
 
-_DEALT = "part int, shard int, rows binary"
+def _dealt(shard: int, parts: int, keys: np.ndarray, sent: _Sent) -> pa.Table:
+    ones = np.empty(len(sent.digests), _ONE)
+    ones["digest"] = np.frombuffer(b"".join(sent.digests), "<u8").reshape(-1, 2)
+    ones["n"] = _capped(sent.digests.values())
+    texts = list(sent.pieces)
+    heads = np.empty(len(texts), _HEAD)
+    heads["key"], heads["size"] = np.fromiter((k for k, _ in sent.pieces.values()), np.uint64, len(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+    heads["n"] = _capped(n for _, n in sent.pieces.values())
+    dealt = [_by_part(keys["key"], parts), _by_part(ones["digest"][:, 0], parts), _by_part(heads["key"], parts)]
+    press, none = zstandard.ZstdCompressor(level=1).compress, np.empty(0, np.int64)
+    rows = []
+    for part in sorted({*dealt[0], *dealt[1], *dealt[2]}):
+        k, o, h = (d.get(part, none) for d in dealt)
+        rows.append((part, shard, keys[k].tobytes(), ones[o].tobytes(), heads[h].tobytes(), press(b"".join(texts[i] for i in h.tolist()))))
+    return _table(rows, ("part", "shard", "keys", "ones", "heads", "blob"))
 
 
-def _repeated(phase: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one part's rows of all shards: to each shard its rows whose key (phase 1) or joined repeats, marked where joined does."""
+def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * len(names)
+    return pa.table([pa.array(c, pa.int32() if n in ("part", "shard") else pa.binary()) for c, n in zip(cols, names)], names=list(names))
 
+
+#: What a shard is told: phrases that occur more than once and which of them are very frequent; digests that repeat;
+#: digests of pieces with windows that repeat, and a bit for each window.
+_TOLD = "shard int, keys binary, often binary, ones binary, pieces binary, masks binary"
+_TOLD_NAMES = ("shard", "keys", "often", "ones", "pieces", "masks")
+
+
+def _often(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of ``n`` over equal values, for each."""
+    _, inverse = np.unique(values, return_inverse=True)
+    return np.bincount(inverse, n)[inverse] if len(values) else np.empty(0)
+
+
+def _counted(frequent: int):
     def run(table: pa.Table) -> pa.Table:
-        shards = table.column("shard").to_pylist()
-        rows = [np.frombuffer(r.as_py(), _ROW) for r in table.column("rows")]
-        ends = np.cumsum([len(r) for r in rows])
-        rows = np.concatenate([np.empty(0, _ROW), *rows])
-
-        def often(values: np.ndarray) -> np.ndarray:
-            _, inverse = np.unique(values, return_inverse=True)
-            return (np.bincount(inverse, rows["n"]) >= 2)[inverse] if len(values) else np.empty(0, bool)
-
-        twice = often(rows["joined"])
-        told = often(rows["key"]) if phase == BLOCKS else twice
-        out = []
-        for shard, end, start in zip(shards, ends, [0, *ends]):
-            mine = np.arange(start, end)[told[start:end]]
-            if len(mine):
-                out.append((shard, rows["joined"][mine].tobytes(), np.packbits(twice[mine]).tobytes()))
-        cols = list(zip(*out)) or [[]] * 3
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "phase": pa.array([phase] * len(out), pa.int32()), "joined": pa.array(cols[1], pa.binary()), "twice": pa.array(cols[2], pa.binary())})
+        """Of one part's phrases of all shards: to each shard those of its that occur more than once."""
+        rows = [np.frombuffer(r.as_py(), _KEY) for r in table.column("keys")]
+        n = _often(np.concatenate([np.empty(0, np.uint64), *(r["key"] for r in rows)]), np.concatenate([np.empty(0), *(r["n"] for r in rows)]))
+        out, start = [], 0
+        for shard, r in zip(table.column("shard").to_pylist(), rows):
+            mine = n[start : start + len(r)]
+            start += len(r)
+            if (mine > 1).any():
+                out.append((shard, r["key"][mine > 1].tobytes(), np.packbits(mine[mine > 1] >= frequent).tobytes(), b"", b"", b""))
+        return _table(out, _TOLD_NAMES)
 
     return run
 
 
-BLOCKS, ASKED, WINDOWS = 1, 2, 3
-_TOLD = "shard int, phase int, joined binary, twice binary"
+def _sorted_windows(group: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
+    """Which windows of each piece repeat: neighbours among the group's sorted suffixes that share ``length`` bytes."""
+    masks = {t: np.full(len(t) - length + 1, n > 1) for t, n in group.items()}
+    if len(group) > 1:
+        suffixes = sorted((t[k : k + length], i, k) for i, t in enumerate(group) for k in range(len(t) - length + 1))
+        texts = list(group)
+        for (a, i, k), (b, j, m) in zip(suffixes, suffixes[1:]):
+            if a == b:
+                masks[texts[i]][k] = masks[texts[j]][m] = True
+    return masks
+
+
+def _compared(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one part's windows of all shards: to each shard those of its that repeat."""
+        expand = zstandard.ZstdDecompressor().decompress
+        shards = table.column("shard").to_pylist()
+        ones = [np.frombuffer(r.as_py(), _ONE) for r in table.column("ones")]
+        pairs = np.concatenate([np.empty((0, 2), np.uint64), *(r["digest"] for r in ones)])
+        n = np.concatenate([np.empty(0), *(r["n"] for r in ones)])
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        first = np.append(True, (pairs[order][1:] != pairs[order][:-1]).any(1))[: len(order)]
+        twice = np.empty(len(order), bool)
+        if len(order):
+            twice[order] = (np.add.reduceat(n[order], np.flatnonzero(first)) > 1)[np.cumsum(first) - 1]
+        groups: dict[int, dict[bytes, int]] = {}
+        held: list[list[tuple[int, bytes]]] = []
+        for heads, blob in zip(table.column("heads"), table.column("blob")):
+            at, mine, blob = 0, [], expand(blob.as_py())
+            for key, size, count in np.frombuffer(heads.as_py(), _HEAD).tolist():
+                text = blob[at : at + size]
+                at += size
+                group = groups.setdefault(key, {})
+                group[text] = group.get(text, 0) + count
+                mine.append((key, text))
+            held.append(mine)
+        masks = {key: _sorted_windows(group, length) for key, group in groups.items()}
+        out, start = [], 0
+        for shard, r, mine in zip(shards, ones, held):
+            repeated = r["digest"][twice[start : start + len(r)]].tobytes()
+            start += len(r)
+            found = [(_piece_kind(t), np.packbits(m).tobytes()) for key, t in mine if (m := masks[key][t]).any()]
+            if repeated or found:
+                sizes = np.array([len(m) for _, m in found], "<u4").tobytes()
+                out.append((shard, sizes, b"", repeated, b"".join(d for d, _ in found), b"".join(m for _, m in found)))
+        return _table(out, _TOLD_NAMES)
+
+    return run
 
 
 class _Told:
-    """What a shard was told: which fingerprints repeat."""
-
-    def __init__(self, table: pa.Table, phase: int) -> None:
-        joined, twice = [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        for p, j, t in zip(*(table.column(c).to_pylist() for c in ("phase", "joined", "twice"))):
-            if p == phase:
-                joined.append(np.frombuffer(j, "<u8"))
-                twice.append(np.unpackbits(np.frombuffer(t, np.uint8), count=len(joined[-1])).astype(bool))
-        j, t = np.concatenate(joined), np.concatenate(twice)
-        order = np.argsort(j)
-        self.joined, self.twice = j[order], t[order]
-
-    def of(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which are known, and which of them are marked."""
-        if not len(self.joined):
-            return np.zeros(len(joined), bool), np.zeros(len(joined), bool)
-        k = np.minimum(np.searchsorted(self.joined, joined), len(self.joined) - 1)
-        known = self.joined[k] == joined
-        return known, known & self.twice[k]
+    """What a shard was told about its phrases."""
+
+    def __init__(self, table: pa.Table) -> None:
+        keys, often = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for k, o in zip(*(table.column(c).to_pylist() for c in ("keys", "often"))):
+            if o:  # in the answers about windows this column has the sizes of masks
+                keys.append(np.frombuffer(k, "<u8"))
+                often.append(np.unpackbits(np.frombuffer(o, np.uint8), count=len(keys[-1])).astype(bool))
+        k, o = np.concatenate(keys), np.concatenate(often)
+        order = np.argsort(k)
+        self.keys, self.often = k[order], o[order]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases occur once, and which are very frequent."""
+        if not len(self.keys):
+            return np.ones(len(keys), bool), np.zeros(len(keys), bool)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[k] == keys
+        return ~known, known & self.often[k]
+
+
+class _Decided:
+    """What a shard was told about its windows."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ones: set[bytes] = set()
+        self.masks: dict[bytes, bytes] = {}
+        for sizes, often, ones, pieces, masks in zip(*(table.column(c).to_pylist() for c in _TOLD_NAMES[1:])):
+            if not often:
+                self.ones.update(ones[k : k + DIGEST] for k in range(0, len(ones), DIGEST))
+                at = 0
+                for k, size in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+                    self.masks[pieces[k * DIGEST : (k + 1) * DIGEST]] = masks[at : at + size]
+                    at += size
+
+
+def _single(p: Parse, once: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Start and digest of each window that is compared by itself."""
+    yield from ((s, digest(p.text[s : s + p.length], b"window")) for s in p.bare())
+    _, low, high = p.pieces(once, common)
+    for a, b in zip(low.tolist(), high.tolist()):
+        yield from ((s, digest(p.text[s : s + p.length], b"window")) for s in range(a, b + 1))
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,86 +287,76 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"shard": b.column("shard"), "doc_id": b.column("doc_id"), "z": pa.array([press(t.as_py() or b"") for t in b.column("text")], pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, gap: int = GAP, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, gap: int = GAP, frequent: int = FREQUENT, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts anywhere else in the texts of ``docs``.
 
-    Returns for each row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining bytes,
-    with ``with_text``).  A null text is an empty one; shorter texts than ``length`` are kept; repeated rows are
-    copies of one another.  A worker needs some 60 bytes for each byte of its longest text.
+    Returns for each row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages`` (and ``kept``, the remaining
+    bytes, with ``with_text``).  ``n_passages`` counts the maximal stretches of words that are covered by strings of
+    ``words`` words (by white space, as they stand) which another row holds too, whether or not they have ``length``
+    bytes and are removed.
+
+    A null text is an empty one; shorter texts than ``length`` are kept; repeated rows are copies of one another; null
+    ids and ties need no care.  A worker needs some 40 bytes for each byte of its longest text.
     """
     shards = task_count(docs, SHARD_BYTES)
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     packed = rows.mapInArrow(_compressed, "shard int, doc_id long, z binary")
+    none = np.empty(0, _KEY)
 
     def texts(table: pa.Table) -> Iterator[bytes]:
         expand = zstandard.ZstdDecompressor().decompress
         for z in table.column("z"):
             yield expand(z.as_py())
 
-    def parse(text: bytes) -> Parse:
-        return Parse(text, length, block, gap)
-
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        found = [parse(t).records() for t in texts(table) if len(t) >= length]
-        return _dealt(key[0].as_py(), _digest([k for k, _ in found], [j for _, j in found]), shards)
+        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(Parse(t, length, gap).keys for t in texts(table))]), return_counts=True)
+        keys = np.empty(len(found), _KEY)
+        keys["key"], keys["n"] = found, np.minimum(n, 255)
+        return _dealt(key[0].as_py(), shards, keys, _Sent())
 
-    def settled(p: Parse, told: _Told) -> tuple[np.ndarray, np.ndarray]:
-        known, twice = told.of(p.records()[1])
-        return p.windows(~known, twice)
-
-    def ask(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        known, keys, weights = _Told(told, BLOCKS), [], []
-        for t in texts(table):
-            if len(t) >= length:
-                p = parse(t)
-                sure, open_ = settled(p, known)
-                block, start, end = p.first_blocks()
-                n_sure, n_open = (np.concatenate([[0], np.cumsum(m)]) for m in (sure, open_))
-                is_open, is_sure = (n[end] > n[start] for n in (n_open, n_sure))
-                keys.append(block[is_open | is_sure])
-                weights.append(np.where(is_open, 2, 0)[is_open | is_sure])
-        return _dealt(key[0].as_py(), _digest(keys, keys, weights), shards)
-
-    def compare(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        known, asked, found = _Told(told, BLOCKS), _Told(told, ASKED), []
+    def second(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        known, sent = _Told(told), _Sent()
         for t in texts(table):
-            if len(t) >= length:
-                p = parse(t)
-                found.append(p.window_keys(p.compared(*settled(p, known), lambda k: asked.of(k)[0])))
-        return _dealt(key[0].as_py(), _digest([k for k, _ in found], [j for _, j in found]), shards)
+            p = Parse(t, length, gap)
+            once, common = known.of(p.keys)
+            sent.digests.update(d for _, d in _single(p, once, common))
+            for k, a, b in zip(*(x.tolist() for x in p.pieces(once, ~common))):
+                sent.piece(int(p.keys[k]), t[a : b + length])
+            _, start, end = p.passages(once, words)
+            sent.digests.update({digest(t[a:b], b"passage") for a, b in zip(start.tolist(), end.tolist())})
+        return _dealt(key[0].as_py(), shards, none, sent)
 
     def third(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        known, pairs, out = _Told(told, BLOCKS), _Told(told, WINDOWS), []
+        known, decided, out = _Told(told), _Decided(told), []
         for doc_id, t in zip(table.column("doc_id").to_pylist(), texts(table)):
-            n, kept, spans, removed = len(t), t, 0, 0
-            if n >= length:
-                p = parse(t)
-                sure, open_ = settled(p, known)
-                left = np.flatnonzero(open_)
-                sure[left[pairs.of(p.window_keys(left)[1])[0]]] = True
-                if sure.any():
-                    edge = np.zeros(n + 1, np.int64)
-                    starts = np.flatnonzero(sure)
-                    edge[starts] += 1
-                    edge[starts + length] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                    spans, removed = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), int(gone.sum())
-                    kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            out.append((doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*out)) or [[]] * 6
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)][: 5 + with_text], names=names[: 5 + with_text])
+            p = Parse(t, length, gap)
+            once, common = known.of(p.keys)
+            starts = [np.array([s for s, d in _single(p, once, common) if d in decided.ones], np.int64)]
+            for _, a, b in zip(*(x.tolist() for x in p.pieces(once, ~common))):
+                if mask := decided.masks.get(_piece_kind(t[a : b + length])):
+                    starts.append(a + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a + 1)))
+            starts, kept, spans, removed = np.concatenate(starts), t, 0, 0
+            if len(starts):
+                edge = np.zeros(len(t) + 1, np.int32)
+                edge[starts] += 1
+                edge[starts + length] -= 1
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                spans, removed = int((gone & ~np.append(False, gone[:-1])).sum()), int(gone.sum())
+                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+            word = np.array([k for k, a, b in zip(*(x.tolist() for x in p.passages(once, words))) if digest(t[a:b], b"passage") in decided.ones], np.int64)
+            passages = int((np.diff(word) > words).sum()) + 1 if len(word) else 0
+            out.append((doc_id, len(t), removed, spans, hashlib.sha256(kept).hexdigest(), passages, kept))
+        cols = list(zip(*out)) or [[]] * 7
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)][: 6 + with_text], names=names[: 6 + with_text])
 
     def by(df: DataFrame):
         return df.groupBy("shard")
 
-    def answers(sent: DataFrame, phase: int) -> DataFrame:
-        return materialize(sent.groupBy("part").applyInArrow(_repeated(phase), _TOLD), f"repeats-{phase}")
-
-    told = answers(packed.groupBy("shard").applyInArrow(first, _DEALT), BLOCKS)
-    told = told.unionByName(answers(by(packed).cogroup(by(told)).applyInArrow(ask, _DEALT), ASKED))
-    told = told.unionByName(answers(by(packed).cogroup(by(told)).applyInArrow(compare, _DEALT), WINDOWS))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    told = materialize(by(packed).applyInArrow(first, _DEALT).groupBy("part").applyInArrow(_counted(frequent), _TOLD), "repeats-phrases")
+    sent = by(packed).cogroup(by(told)).applyInArrow(second, _DEALT)
+    told = told.unionByName(materialize(sent.groupBy("part").applyInArrow(_compared(length), _TOLD), "repeats-windows"))
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + (", kept binary" if with_text else "")
     return by(packed).cogroup(by(told)).applyInArrow(third, out)
