@@ -7,11 +7,11 @@ that long.  The order is needed only among suffixes that can be neighbours, so i
 
 1. dictionary: how often each phrase occurs in the corpus.  A window of ``length`` bytes that holds a phrase which
    occurs once occurs once; all others are candidates.
-2. parse: candidates that have the same first phrase meet in one task, as pieces of text (the end of the phrase
-   before, a suffix in the dictionary, and what follows in the parse).  Their suffixes are sorted; neighbours that
-   share ``length`` bytes repeat.  Equal pieces are sent once by each shard and need no sorting.
-   Windows without a whole phrase, and those that begin in a phrase which is very frequent, would be too many for
-   one task: they are sent one by one, as 128-bit cryptographic digests.
+2. parse: candidates whose least phrase (by hash; rare before frequent ones) is the same meet in one task, as pieces
+   of text: around that phrase the end of the phrase before, a suffix in the dictionary, and what follows in the
+   parse.  Their suffixes are sorted; neighbours that share ``length`` bytes repeat.  Equal pieces are sent once by
+   each shard and need no sorting.  Windows without a whole phrase, and those that hold only very frequent ones,
+   would be too many for one task: they are sent one by one, as 128-bit cryptographic digests.
 
 Phrases are counted by 64-bit hashes: a collision makes candidates, it decides nothing.  Documents are dealt over
 shards by hash.  A passage that a third of all documents hold costs a shard as much as one that it holds once.
@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ GRAM = 16
 #: Bytes between triggers on average.
 GAP = 48
 #: A phrase that shards report so often in all is very frequent.
-FREQUENT = 64
+FREQUENT = 256
 #: Bytes of (compressed) input in a shard.
 SHARD_BYTES = 8 << 20
 #: Bytes whose triggers are looked for at a time.
@@ -63,61 +65,104 @@ def digest(data: bytes, kind: bytes) -> bytes:
 
 
 class Parse:
-    """The phrases of one text, and its windows of ``length`` bytes by their first whole phrase."""
+    """The phrases of one text, and its windows of ``length`` bytes and of ``words`` words by their least phrase."""
 
-    def __init__(self, text: bytes, length: int, gap: int) -> None:
+    def __init__(self, text: bytes, length: int, words: int, gap: int) -> None:
         at = triggers(text, gap)
-        self.text, self.length, self.last = text, length, len(text) - length
+        self.text, self.length, self.words, self.last = text, length, words, len(text) - length
         self.at, self.ends = at[:-1], at[1:] + GRAM
         self.keys = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(self.at.tolist(), self.ends.tolist())), np.uint64, len(self.ends))
-        self.low = np.maximum(np.maximum(np.concatenate([[0], self.at[:-1] + 1])[: len(self.at)], self.ends - length), 0)
-        self.high = np.minimum(self.at, self.last)
 
-    def bare(self) -> Iterator[int]:
-        """Starts of the windows that hold no whole phrase."""
-        whole = self.low <= self.high
-        for a, b in zip(np.append(0, self.high[whole] + 1).tolist(), np.append(self.low[whole], self.last + 1).tolist()):
-            yield from range(a, b)
-
-    def pieces(self, once: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the phrases ``mine``: those that are first in candidates, with the first and last starts of these.
-
-        ``once`` marks the phrases that occur once: a candidate holds none.
-        """
-        limit = np.where(once, self.ends - self.length - 1, np.iinfo(np.int64).max)
-        high = np.minimum(self.high, np.minimum.accumulate(limit[::-1])[::-1])
-        k = np.flatnonzero(mine & ~once & (self.low <= high))
-        return k, self.low[k], high[k]
-
-    def passages(self, once: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Strings of ``words`` words that hold no phrase which occurs once: number of the first word, start and end."""
-        x = np.frombuffer(self.text, np.uint8)
-        space = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
-        at, ends = self.at[once], np.append(self.ends[once], np.iinfo(np.int64).max)
-        k = np.flatnonzero(ends[np.searchsorted(at, start)] > end)
-        return k, start[k], end[k]
-
-
-def _piece_kind(text: bytes) -> bytes:
-    return digest(text, b"piece")
+    def told(self, once: np.ndarray, common: np.ndarray) -> None:
+        """Which phrases occur once, and which are very frequent."""
+        self.common, self.n_once = common, np.concatenate([[0], np.cumsum(once)])
+        self.order = np.lexsort((self.keys, common))  # of equal phrases the first is least
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(rank))
+        self.least = [rank]  # of 1, 2, 4, ... phrases
+
+    def leading(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of the least whole phrase in each window; BARE if there is none, UNIQUE if one occurs once."""
+        first, last = np.searchsorted(self.at, start), np.searchsorted(self.ends, end, "right") - 1
+        out = np.where(last < first, BARE, UNIQUE)
+        ask = np.flatnonzero((last >= first) & (self.n_once[np.maximum(last, -1) + 1] == self.n_once[first]))
+        if len(ask):
+            first, last = first[ask], last[ask]
+            level = np.frexp(last - first + 1)[1] - 1
+            while len(self.least) <= level.max():
+                half = 1 << (len(self.least) - 1)
+                self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+            for k in np.unique(level).tolist():
+                m = level == k
+                out[ask[m]] = self.order[np.minimum(self.least[k][first[m]], self.least[k][last[m] - (1 << k) + 1])]
+        return out
+
+    def _split(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of one leading phrase: their first and last numbers, and whether they are compared one by one."""
+        cut = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])) if len(lead) else np.empty(0, np.int64)
+        last = np.append(cut[1:], len(lead)) - 1
+        cut, last = cut[keep := lead[cut] != UNIQUE], last[keep]
+        single = lead[cut] == BARE
+        single[~single] = self.common[lead[cut][~single]]
+        return cut, last, single
+
+    def windows(self) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Candidates by their first and last starts: those to compare one by one, and pieces with their leading phrases."""
+        if self.last < 0:
+            return [], []
+        # what a window holds changes behind the start of a phrase and where one's end comes in
+        change = np.unique(np.concatenate([[0], self.at + 1, self.ends - self.length]))
+        change = change[(change >= 0) & (change <= self.last)]
+        lead = self.leading(change, change + self.length)
+        a, b, single = self._split(lead)
+        low, high = change[a], np.append(change[1:], self.last + 1)[b] - 1
+        return list(zip(low[single].tolist(), high[single].tolist())), list(zip(low[~single].tolist(), high[~single].tolist(), lead[a][~single].tolist()))
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Starts and ends of all strings of ``words`` words, and the candidates by number, as in ``windows``."""
+        start, end = word_windows(self.text, self.words)
+        lead = self.leading(start, end)
+        a, b, single = self._split(lead)
+        return start, end, list(zip(a[single].tolist(), b[single].tolist())), list(zip(a[~single].tolist(), b[~single].tolist(), lead[a][~single].tolist()))
+
+
+BARE, UNIQUE = -1, -2
+
+
+def word_windows(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all strings of so many words."""
+    x = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
+
+
+#: Kinds of pieces.
+WINDOWS, PASSAGES = 0, 1
+SEVERAL = -1
+
+
+def _piece(kind: int, text: bytes) -> bytes:
+    return digest(text, b"passages" if kind else b"windows")
 
 
 class _Sent:
-    """What a shard sends to the parts: phrases, digests and pieces, each distinct one once, with its count."""
+    """What a shard sends to the parts: digests and pieces, each distinct one once, with its count and its document."""
 
     def __init__(self) -> None:
         self.digests: Counter[bytes] = Counter()
-        self.pieces: dict[bytes, list[int]] = {}
+        self.pieces: dict[tuple[int, bytes], list[int]] = {}
 
-    def piece(self, key: int, text: bytes) -> None:
-        self.pieces.setdefault(text, [key, 0])[1] += 1
+    def piece(self, kind: int, key: int, doc: int, text: bytes) -> None:
+        known = self.pieces.setdefault((kind, text), [key, 0, doc])
+        known[1] += 1
+        if known[2] != doc:
+            known[2] = SEVERAL
 
 
 _KEY = np.dtype([("key", "<u8"), ("n", "u1")])
 _ONE = np.dtype([("digest", "<u8", 2), ("n", "u1")])
-_HEAD = np.dtype([("key", "<u8"), ("size", "<u4"), ("n", "u1")])
+_HEAD = np.dtype([("kind", "u1"), ("key", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("n", "u1")])
 
 
 def _by_part(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
@@ -140,10 +185,8 @@ def _dealt(shard: int, parts: int, keys: np.ndarray, sent: _Sent) -> pa.Table:
     ones = np.empty(len(sent.digests), _ONE)
     ones["digest"] = np.frombuffer(b"".join(sent.digests), "<u8").reshape(-1, 2)
     ones["n"] = _capped(sent.digests.values())
-    texts = list(sent.pieces)
-    heads = np.empty(len(texts), _HEAD)
-    heads["key"], heads["size"] = np.fromiter((k for k, _ in sent.pieces.values()), np.uint64, len(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
-    heads["n"] = _capped(n for _, n in sent.pieces.values())
+    texts = [t for _, t in sent.pieces]
+    heads = np.array([(kind, key, doc, len(t), min(n, 255)) for (kind, t), (key, n, doc) in sent.pieces.items()], _HEAD)
     dealt = [_by_part(keys["key"], parts), _by_part(ones["digest"][:, 0], parts), _by_part(heads["key"], parts)]
     press, none = zstandard.ZstdCompressor(level=1).compress, np.empty(0, np.int64)
     rows = []
@@ -186,19 +229,26 @@ def _counted(frequent: int):
     return run
 
 
-def _sorted_windows(group: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
-    """Which windows of each piece repeat: neighbours among the group's sorted suffixes that share ``length`` bytes."""
-    masks = {t: np.full(len(t) - length + 1, n > 1) for t, n in group.items()}
+def _sorted_windows(kind: int, group: dict[bytes, list[int]], length: int, words: int) -> dict[bytes, np.ndarray]:
+    """Which windows of each piece repeat (in another document, for passages): equal neighbours among the sorted suffixes."""
+
+    def windows(t: bytes) -> list[tuple[int, int]]:
+        return list(zip(*(x.tolist() for x in word_windows(t, words)))) if kind == PASSAGES else [(k, k + length) for k in range(len(t) - length + 1)]
+
+    places = {t: windows(t) for t in group}
+    masks = {t: np.full(len(places[t]), doc == SEVERAL if kind == PASSAGES else n > 1) for t, (n, doc) in group.items()}
     if len(group) > 1:
-        suffixes = sorted((t[k : k + length], i, k) for i, t in enumerate(group) for k in range(len(t) - length + 1))
-        texts = list(group)
-        for (a, i, k), (b, j, m) in zip(suffixes, suffixes[1:]):
-            if a == b:
-                masks[texts[i]][k] = masks[texts[j]][m] = True
+        suffixes = sorted((t[a:b], k, t) for t, at in places.items() for k, (a, b) in enumerate(at))
+        for _, same in groupby(suffixes, itemgetter(0)):
+            found = list(same)
+            docs = {group[t][1] for *_, t in found}
+            if len(found) > 1 and (kind == WINDOWS or len(docs) > 1 or SEVERAL in docs):
+                for _, k, t in found:
+                    masks[t][k] = True
     return masks
 
 
-def _compared(length: int):
+def _compared(length: int, words: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one part's windows of all shards: to each shard those of its that repeat."""
         expand = zstandard.ZstdDecompressor().decompress
@@ -211,23 +261,25 @@ def _compared(length: int):
         twice = np.empty(len(order), bool)
         if len(order):
             twice[order] = (np.add.reduceat(n[order], np.flatnonzero(first)) > 1)[np.cumsum(first) - 1]
-        groups: dict[int, dict[bytes, int]] = {}
-        held: list[list[tuple[int, bytes]]] = []
+        groups: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        held: list[list[tuple[tuple[int, int], bytes]]] = []
         for heads, blob in zip(table.column("heads"), table.column("blob")):
             at, mine, blob = 0, [], expand(blob.as_py())
-            for key, size, count in np.frombuffer(heads.as_py(), _HEAD).tolist():
+            for kind, key, doc, size, count in np.frombuffer(heads.as_py(), _HEAD).tolist():
                 text = blob[at : at + size]
                 at += size
-                group = groups.setdefault(key, {})
-                group[text] = group.get(text, 0) + count
-                mine.append((key, text))
+                known = groups.setdefault((kind, key), {}).setdefault(text, [0, doc])
+                known[0] += count
+                if known[1] != doc:
+                    known[1] = SEVERAL
+                mine.append(((kind, key), text))
             held.append(mine)
-        masks = {key: _sorted_windows(group, length) for key, group in groups.items()}
+        masks = {key: _sorted_windows(key[0], group, length, words) for key, group in groups.items()}
         out, start = [], 0
         for shard, r, mine in zip(shards, ones, held):
             repeated = r["digest"][twice[start : start + len(r)]].tobytes()
             start += len(r)
-            found = [(_piece_kind(t), np.packbits(m).tobytes()) for key, t in mine if (m := masks[key][t]).any()]
+            found = [(_piece(key[0], t), np.packbits(m).tobytes()) for key, t in mine if (m := masks[key][t]).any()]
             if repeated or found:
                 sizes = np.array([len(m) for _, m in found], "<u4").tobytes()
                 out.append((shard, sizes, b"", repeated, b"".join(d for d, _ in found), b"".join(m for _, m in found)))
@@ -273,12 +325,10 @@ class _Decided:
                     at += size
 
 
-def _single(p: Parse, once: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Start and digest of each window that is compared by itself."""
-    yield from ((s, digest(p.text[s : s + p.length], b"window")) for s in p.bare())
-    _, low, high = p.pieces(once, common)
-    for a, b in zip(low.tolist(), high.tolist()):
-        yield from ((s, digest(p.text[s : s + p.length], b"window")) for s in range(a, b + 1))
+    def starts(self, kind: int, text: bytes, n: int) -> np.ndarray:
+        """Which of a piece's windows repeat, by number."""
+        mask = self.masks.get(_piece(kind, text))
+        return np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n)) if mask else np.empty(0, np.int64)
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,32 +360,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, ga
             yield expand(z.as_py())
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(Parse(t, length, gap).keys for t in texts(table))]), return_counts=True)
+        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(Parse(t, length, words, gap).keys for t in texts(table))]), return_counts=True)
         keys = np.empty(len(found), _KEY)
         keys["key"], keys["n"] = found, np.minimum(n, 255)
         return _dealt(key[0].as_py(), shards, keys, _Sent())
 
     def second(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        known, sent = _Told(told), _Sent()
-        for t in texts(table):
-            p = Parse(t, length, gap)
-            once, common = known.of(p.keys)
-            sent.digests.update(d for _, d in _single(p, once, common))
-            for k, a, b in zip(*(x.tolist() for x in p.pieces(once, ~common))):
-                sent.piece(int(p.keys[k]), t[a : b + length])
-            _, start, end = p.passages(once, words)
-            sent.digests.update({digest(t[a:b], b"passage") for a, b in zip(start.tolist(), end.tolist())})
-        return _dealt(key[0].as_py(), shards, none, sent)
+        known, sent, shard = _Told(told), _Sent(), key[0].as_py()
+        for doc, t in enumerate(texts(table), shard << 32):
+            p = Parse(t, length, words, gap)
+            p.told(*known.of(p.keys))
+            single, pieces = p.windows()
+            sent.digests.update(digest(t[s : s + length], b"window") for a, b in single for s in range(a, b + 1))
+            for a, b, k in pieces:
+                sent.piece(WINDOWS, int(p.keys[k]), doc, t[a : b + length])
+            start, end, single, pieces = p.passages()
+            sent.digests.update({digest(t[start[i] : end[i]], b"passage") for a, b in single for i in range(a, b + 1)})
+            for a, b, k in pieces:
+                sent.piece(PASSAGES, int(p.keys[k]), doc, t[start[a] : end[b]])
+        return _dealt(shard, shards, none, sent)
 
     def third(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         known, decided, out = _Told(told), _Decided(told), []
         for doc_id, t in zip(table.column("doc_id").to_pylist(), texts(table)):
-            p = Parse(t, length, gap)
-            once, common = known.of(p.keys)
-            starts = [np.array([s for s, d in _single(p, once, common) if d in decided.ones], np.int64)]
-            for _, a, b in zip(*(x.tolist() for x in p.pieces(once, ~common))):
-                if mask := decided.masks.get(_piece_kind(t[a : b + length])):
-                    starts.append(a + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a + 1)))
+            p = Parse(t, length, words, gap)
+            p.told(*known.of(p.keys))
+            single, pieces = p.windows()
+            starts = [np.array([s for a, b in single for s in range(a, b + 1) if digest(t[s : s + length], b"window") in decided.ones], np.int64)]
+            starts += [a + decided.starts(WINDOWS, t[a : b + length], b - a + 1) for a, b, _ in pieces]
             starts, kept, spans, removed = np.concatenate(starts), t, 0, 0
             if len(starts):
                 edge = np.zeros(len(t) + 1, np.int32)
@@ -344,7 +396,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, ga
                 gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 spans, removed = int((gone & ~np.append(False, gone[:-1])).sum()), int(gone.sum())
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            word = np.array([k for k, a, b in zip(*(x.tolist() for x in p.passages(once, words))) if digest(t[a:b], b"passage") in decided.ones], np.int64)
+            start, end, single, pieces = p.passages()
+            word = [np.array([i for a, b in single for i in range(a, b + 1) if digest(t[start[i] : end[i]], b"passage") in decided.ones], np.int64)]
+            word = np.sort(np.concatenate(word + [a + decided.starts(PASSAGES, t[start[a] : end[b]], b - a + 1) for a, b, _ in pieces]))
             passages = int((np.diff(word) > words).sum()) + 1 if len(word) else 0
             out.append((doc_id, len(t), removed, spans, hashlib.sha256(kept).hexdigest(), passages, kept))
         cols = list(zip(*out)) or [[]] * 7
@@ -357,6 +411,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, ga
 
     told = materialize(by(packed).applyInArrow(first, _DEALT).groupBy("part").applyInArrow(_counted(frequent), _TOLD), "repeats-phrases")
     sent = by(packed).cogroup(by(told)).applyInArrow(second, _DEALT)
-    told = told.unionByName(materialize(sent.groupBy("part").applyInArrow(_compared(length), _TOLD), "repeats-windows"))
+    told = told.unionByName(materialize(sent.groupBy("part").applyInArrow(_compared(length, words), _TOLD), "repeats-windows"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + (", kept binary" if with_text else "")
     return by(packed).cogroup(by(told)).applyInArrow(third, out)
