@@ -27,7 +27,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Identifier-like tokens: whole runs, with a digit.
 TOKEN = r"(?<![A-Za-z0-9._+@-])(?=[A-Za-z._+@-]*+[0-9])[A-Za-z0-9._+@-]{6,}+"
+KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+#: Characters of text on either side that patterns are taken from: what is left of longer words stands for them.
+CONTEXT = 512
 #: Instances that a pattern counts besides its own, with score 0.
 SMOOTHING = 2.0
 #: Seeds that a pattern needs, its least confidence, and the least score of a discovered instance.
@@ -64,29 +67,43 @@ def _guarded(text: Column, holds: str, spans: Column) -> Column:
     return F.when(F.contains(text, F.lit(holds)), spans).otherwise(F.array().cast(S.SPAN))
 
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """For each row: the columns ``keep``, ``__row``, spans of each base kind and identifier-like tokens, with contexts."""
+def scan(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): ``doc_id, row``, spans of each base kind, and identifier-like tokens clear of them.
+
+    All spans have the text around them, ``before`` and ``after``.  Null and empty texts have no spans.
+    """
     text = F.col("text").cast("string")
-    email = _guarded(text, "@", S.located(text, EMAIL, context=True))
-    ip = F.filter(_guarded(text, ".", S.located(text, IP, context=True)), lambda s: _in_range(s["match"]))
-    card = F.filter(S.located(text, CARD_SIZED, context=True), lambda s: _luhn(s["match"]))
-    phone = F.filter(_guarded(text, "+", S.located(text, PHONE, context=True)), lambda s: F.length(_digits(s["match"])).between(10, 15))
-    token = S.located(text, TOKEN, context=True)
-    return docs.select(
-        *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("__row"),
-        *[c.alias(n) for n, c in (("__email", email), ("__ip", ip), ("__card", card), ("__phone", phone), ("__token", token))],
-    )
+    email = _guarded(text, "@", S.located(text, EMAIL))
+    ip = F.filter(_guarded(text, ".", S.located(text, IP)), lambda s: _in_range(s["match"]))
+    card = F.filter(S.located(text, CARD_SIZED), lambda s: _luhn(s["match"]))
+    phone = F.filter(_guarded(text, "+", S.located(text, PHONE)), lambda s: F.length(_digits(s["match"])).between(10, 15))
+    token = S.located(text, TOKEN)
+    found = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"), token.alias("token"))
+    found = found.withColumn("token", S.clear_of(F.col("token"), F.concat(*KINDS)))
+    some = F.size(F.concat(*KINDS, "token")) > 0
+    text = F.col("text").cast("string")
+    found = found.withColumn("parts", F.when(some, S.chunks(text))).withColumn("size", F.length(text))
 
+    def around(s: Column) -> Column:
+        before = S.between(F.col("parts"), F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+        after = S.between(F.col("parts"), s["end"], F.least(s["end"] + CONTEXT, F.col("size")))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("instance"), _patterns(before, after).alias("patterns"))
 
-def _patterns() -> Column:
+    return found.select("doc_id", "row", *[F.transform(c, around).alias(c) for c in (*KINDS, "token")])
+
+
+def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns around an occurrence: two words before it, the word after it."""
-    left = F.regexp_extract(F.lower("before"), r"(\S+\s+\S+)\s*$", 1)
-    right = F.regexp_extract(F.lower("after"), r"^\s*(\S+)\s", 1)
+    left = F.regexp_extract(F.lower(before), r"(?<!\S)(\S++\s++\S++)\s*+$", 1)
+    right = F.regexp_extract(F.lower(after), r"^\s*+(\S++)", 1)
     return F.filter(F.array(F.when(left != "", F.concat(F.lit("L "), F.regexp_replace(left, r"\s+", " "))), F.when(right != "", F.concat(F.lit("R "), right))), lambda p: p.isNotNull())
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
-    """``instance, pattern`` pairs that are discovered, from ``instance, seed, pattern`` (one row per pattern and occurrence)."""
+    """``instance, pattern`` pairs that are discovered, from ``instance, seed, pattern`` (one row per pattern and occurrence).
+
+    Without seeds, or without instances beside them, nothing is discovered.  Repeated rows count once.
+    """
     edges = materialize(occurrences.groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("int")).cast("double").alias("first"))
     scores = seeds.withColumn("score", F.col("first"))
@@ -100,26 +117,23 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context`` for each row of ``docs`` (doc_id, text).
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context, n_spans`` for each row of ``docs`` (doc_id, text).
 
     A null text is an empty one: no spans, the digest of the empty string.  Repeated rows are scanned each.
-    Discovered spans are of kind ``context`` and never overlap base ones.
+    Discovered spans are of kind ``context`` and never overlap base ones.  ``n_spans`` counts spans of all kinds.
     """
-    kinds = ("email", "ip", "card", "phone")
-    found = materialize(scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "pii-spans")
-    all_base = F.concat(*[F.col(f"__{k}") for k in kinds])
-    fresh = S.let(all_base, lambda base: F.filter("__token", lambda t: ~S.overlaps(t, base)))
-    tagged = F.concat(F.transform(all_base, lambda s: F.struct(s.alias("s"), F.lit(True).alias("seed"))), F.transform(fresh, lambda s: F.struct(s.alias("s"), F.lit(False).alias("seed"))))
-    each = found.select("__row", F.explode(tagged).alias("o")).select("__row", "o.seed", "o.s.*")
-    each = each.select("__row", "start", "end", "seed", F.lower("match").alias("instance"), F.explode(_patterns()).alias("pattern"))
+    found = materialize(scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "pii-spans")
+    tagged = F.concat(F.transform(F.concat(*KINDS), lambda s: F.struct(s.alias("s"), F.lit(True).alias("seed"))), F.transform("token", lambda s: F.struct(s.alias("s"), F.lit(False).alias("seed"))))
+    each = found.select("row", F.explode(tagged).alias("o")).select("row", "o.seed", "o.s.start", "o.s.end", "o.s.instance", F.explode("o.s.patterns").alias("pattern"))
     new = bootstrap(each.select("instance", "seed", "pattern"))
     one = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"), F.lit("context").alias("kind"))
     spans = each.where("not seed").join(new, ["instance", "pattern"], "left_semi")
-    by_row = spans.groupBy("__row").agg(F.collect_set(one).cast(S.KINDED).alias("__context"))  # one document's tokens
-    out = found.join(by_row, "__row", "left").withColumn("__context", F.coalesce("__context", F.array().cast(S.KINDED)))
-    base = [S.kinded(F.col(f"__{k}"), k, i) for i, k in enumerate(kinds)]
+    by_row = spans.groupBy("row").agg(F.collect_set(one).cast(S.KINDED).alias("context"))  # one document's tokens
+    out = found.join(by_row, "row", "left").withColumn("context", F.coalesce("context", F.array().cast(S.KINDED)))
+    base = [S.kinded(F.col(k), k, i) for i, k in enumerate(KINDS)]
+    every = S.merged([*base, F.col("context")])
     return out.select(
-        "doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in kinds],
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(S.told(S.merged(base)).cast("binary"), 256).alias("base_sha256"),
-        S.told(S.merged([*base, F.col("__context")])).alias("spans"), F.size("__context").cast("long").alias("n_context"),
+        S.told(every).alias("spans"), F.size("context").cast("long").alias("n_context"), F.size(every).cast("long").alias("n_spans"),
     )

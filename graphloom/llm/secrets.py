@@ -2,12 +2,13 @@
 
 Tokens of 20 characters or more get an inferred encoding (the smallest alphabet that holds them) and, over
 its symbols, three tests of H0 "uniformly random": chi-squared uniformity, runs above and below the middle,
-and lag-one serial correlation; Bonferroni joins their p-values.  A token that the battery doesn't reject is
-random-looking, yet short or lucky words are too.  So the evidence that it isn't ordinary text is weighed as
-well: L = log2 of its likelihood as a random string over its likelihood under the characters of the corpus's
-ordinary long tokens (those the battery rejects, all counted).  By Markov's inequality 2^-L is a p-value of
-"ordinary text".  Benjamini-Hochberg holds the false-discovery rate within each class of lengths, over bins
-of L, so that nothing is ranked in one task.
+and lag-one serial correlation; Bonferroni joins their p-values.  Benjamini-Hochberg holds the false-discovery rate
+of rejections within each class of lengths: what it rejects is ordinary text.  That controls random strings that are
+taken for text; a token that isn't rejected is random-looking, yet short or lucky words are too.  So the other error
+is controlled as well: L = log2 of a token's likelihood as a random string over its likelihood under the characters of
+the corpus's ordinary long tokens (those rejected, all counted).  By Markov's inequality 2^-L is a p-value of "ordinary
+text", and Benjamini-Hochberg holds the false-discovery rate of secrets within each class of lengths.  Both run over
+bins, so that nothing is ranked in one task.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ ENCODINGS = {
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 SYMBOLS = ENCODINGS["mixed"]
-#: The battery rejects randomness below this.
-RANDOM_ALPHA = 0.001
-#: False-discovery rate within a class of lengths.
+#: False-discovery rates within a class of lengths: of tokens that aren't random, and of secrets.
+RANDOM_FDR = 0.001
 FDR = 0.001
+#: Bins are whole bits; evidence beyond counts as so many.
 MOST_BITS = 256
 MASK = "[SECRET]"
 
@@ -65,7 +66,10 @@ def _encoding(token: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Of distinct ``token``: encoding, size k of its alphabet, length n and the joined p-value ``p_random``."""
+    """Of distinct ``token``: its body without padding, encoding, size k of its alphabet, length n and the joined p-value ``p_random``.
+
+    Tokens match TOKEN (no null or empty ones).  The cost is linear in a token's length, whatever that is.
+    """
     body = F.rtrim(F.translate("token", "=", " "))
     alphabet, size = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, symbols in ENCODINGS.items():
@@ -77,15 +81,16 @@ def battery(tokens: DataFrame) -> DataFrame:
     df = df.withColumn(
         "sums",
         F.expr(
-            """aggregate(sequence(0, size(x) - 1), named_struct('sq', 0d, 'lag', 0d, 'high', 0d, 'runs', 1d, 'same', 0d), (a, i) -> named_struct(
+            """aggregate(sequence(0, size(x) - 1), named_struct('sq', 0d, 'lag', 0d, 'high', 0d, 'runs', 1d), (a, i) -> named_struct(
                  'sq', a.sq + (x[i] - mean) * (x[i] - mean),
                  'lag', a.lag + if(i > 0, (x[i] - mean) * (get(x, i - 1) - mean), 0d),
                  'high', a.high + if(x[i] >= k / 2, 1d, 0d),
-                 'runs', a.runs + if(i > 0 and (x[i] >= k / 2) <> (get(x, i - 1) >= k / 2), 1d, 0d),
-                 'same', a.same + length(body) - length(replace(body, substring(body, i + 1, 1), ''))))"""
+                 'runs', a.runs + if(i > 0 and (x[i] >= k / 2) <> (get(x, i - 1) >= k / 2), 1d, 0d)))"""
         ),
     )
-    chi2, freedom = F.col("k") / F.col("n") * F.col("sums.same") - F.col("n"), F.col("k") - 1
+    # the squared counts of the alphabet's symbols
+    df = df.withColumn("same", F.expr("aggregate(split(alphabet, ''), 0d, (a, c) -> a + if(c = '', 0d, pow(n - length(replace(body, c, '')), 2)))"))
+    chi2, freedom = F.col("k") / F.col("n") * F.col("same") - F.col("n"), F.col("k") - 1
     # Wilson and Hilferty's normal form of chi-squared; too even counts are as odd as uneven ones
     z_chi = (F.pow(F.greatest(chi2, F.lit(0.0)) / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
     high, low = F.col("sums.high"), F.col("n") - F.col("sums.high")
@@ -98,44 +103,56 @@ def battery(tokens: DataFrame) -> DataFrame:
     return df.select("token", "body", "encoding", "k", "n", F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", "p_lag")).alias("p_random"))
 
 
+def _least_bits(tested: DataFrame, rate: float) -> DataFrame:
+    """``class, least`` of ``class, bits`` (p = 2^-bits): the fewest bits that Benjamini-Hochberg rejects in a class, if any."""
+    bins = tested.groupBy("class", "bits").agg(F.count("*").alias("m"))  # MOST_BITS rows for each class of lengths at most
+    by_class = Window.partitionBy("class")
+    at_least = F.sum("m").over(by_class.orderBy(F.desc("bits")))
+    passed = bins.withColumn("ok", F.pow(F.lit(2.0), -F.col("bits")) * F.sum("m").over(by_class) <= rate * at_least)
+    return passed.where("ok").groupBy("class").agg(F.min("bits").alias("least"))
+
+
+def _binned(bits: Column) -> Column:
+    return F.least(F.greatest(F.floor(bits), F.lit(0)), F.lit(MOST_BITS)).cast("int").alias("bits")
+
+
 def discoveries(tokens: DataFrame) -> DataFrame:
-    """Which of the distinct ``token`` are random strings and not ordinary text."""
-    tested = materialize(battery(tokens), "secret-tests")
-    plain = tested.where(F.col("p_random") < RANDOM_ALPHA)
-    counts = plain.select(F.explode(F.split("body", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
+    """Which of the distinct ``token`` are random strings and not ordinary text; none of no tokens."""
+    # p-values that underflow have all the bits there are
+    against = F.when(F.col("p_random") > 0, -F.log2("p_random")).otherwise(F.lit(float(MOST_BITS)))
+    tested = materialize(battery(tokens).select("token", "body", "k", F.floor(F.log2("n")).cast("int").alias("class"), _binned(against)), "secret-tests")
+    judged = tested.join(F.broadcast(_least_bits(tested, RANDOM_FDR)), "class", "left").withColumn("plain", F.coalesce(F.col("bits") >= F.col("least"), F.lit(False)))
+    counts = judged.where("plain").select(F.explode(F.split("body", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
     # one row: as many numbers as there are symbols
     model = counts.where(F.col("c") != "").agg(F.map_from_entries(F.collect_list(F.struct("c", "n_c"))).alias("seen"), F.coalesce(F.sum("n_c"), F.lit(0)).alias("total"))
-    shaky = tested.where(F.col("p_random") >= RANDOM_ALPHA).join(F.broadcast(model))
+    shaky = judged.where("not plain").drop("bits").join(F.broadcast(model))
     bits = F.expr(f"aggregate(split(body, ''), 0d, (a, c) -> a + if(c = '', 0d, log2((total + {len(SYMBOLS)}) / (coalesce(seen[c], 0) + 1) / k)))")
-    shaky = shaky.select("token", F.least(F.greatest(F.floor(bits), F.lit(0)), F.lit(MOST_BITS)).cast("int").alias("bits"), F.floor(F.log2("n")).cast("int").alias("class"))
-    shaky = materialize(shaky, "secret-bits")
-    bins = shaky.groupBy("class", "bits").agg(F.count("*").alias("m"))  # MOST_BITS rows for each class of lengths at most
-    by_class = Window.partitionBy("class")
-    at_least = F.sum("m").over(by_class.orderBy(F.desc("bits")))
-    passed = bins.withColumn("ok", F.pow(F.lit(2.0), -F.col("bits")) * F.sum("m").over(by_class) <= FDR * at_least)
-    limits = passed.where("ok").groupBy("class").agg(F.min("bits").alias("least"))
-    return shaky.join(F.broadcast(limits), "class").where("bits >= least").select("token")
+    shaky = materialize(shaky.select("token", "class", _binned(bits)), "secret-bits")
+    return shaky.join(F.broadcast(_least_bits(shaky, FDR)), "class").where("bits >= least").select("token")
+
 
+def scan(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs``: ``kept`` (all its columns), the base spans of each kind and the ``random`` ones.
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """For each row of ``docs``: the columns ``keep``, ``row``, the base spans of each kind, and all spans ``found``."""
+    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows.
+    """
     text = F.col("text").cast("string")
     assign = F.filter(S.located(text, ASSIGN, 1), lambda s: F.length(s["part"]) >= ASSIGN_LENGTH)
     access = F.when(F.contains(text, F.lit("AKIA")), S.located(text, ACCESS)).otherwise(F.array().cast(S.SPAN))
     tokens = F.transform(S.located(text, TOKEN), lambda s: F.struct(s["start"], s["end"], s["match"].alias("token")))
     base = docs.select(
-        *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("__row"),
-        S.kinded(assign, "assign", 0).alias("__assign"), S.kinded(access, "access", 1).alias("__access"), S.kinded(S.located(text, HEX), "hex", 2).alias("__hex"), tokens.alias("__tokens"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.monotonically_increasing_id().alias("row"),
+        S.kinded(assign, "assign", 0).alias("assign"), S.kinded(access, "access", 1).alias("access"), S.kinded(S.located(text, HEX), "hex", 2).alias("hex"), tokens.alias("tokens"),
     )
     base = materialize(base, "secret-spans")
-    each = base.where(F.size("__tokens") > 0).select("__row", F.explode("__tokens").alias("t")).select("__row", "t.start", "t.end", "t.token")
+    each = base.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.token")
     random = each.join(discoveries(each.select("token").distinct()), "token", "left_semi")
     one = F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.lit("random").alias("kind"))
-    by_row = random.groupBy("__row").agg(F.collect_list(one).cast(S.KINDED).alias("__random"))  # one document's tokens
+    by_row = random.groupBy("row").agg(F.collect_list(one).cast(S.KINDED).alias("random"))  # one document's tokens
     none = F.array().cast(S.KINDED)
     # only rows with tokens, a small part, are shuffled for their decisions
-    held = base.where(F.size("__tokens") > 0).join(by_row, "__row", "left").withColumn("__random", F.coalesce("__random", none))
-    return base.where(F.size("__tokens") == 0).withColumn("__random", none).unionByName(held).drop("__tokens")
+    held = base.where(F.size("tokens") > 0).join(by_row, "row", "left").withColumn("random", F.coalesce("random", none))
+    return base.where(F.size("tokens") == 0).withColumn("random", none).unionByName(held).drop("tokens", "row")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -143,20 +160,23 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: no spans, the digest of the empty string.  Repeated rows are scanned each.
     """
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    base = [F.col(c) for c in ("__assign", "__access", "__hex")]
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    base = [F.col(c) for c in ("assign", "access", "hex")]
     return found.select(
-        "doc_id", *[F.size(c).cast("long").alias(n) for c, n in zip(base, ("n_assign", "n_access", "n_hex"))],
+        "kept.doc_id", *[F.size(c).cast("long").alias(n) for c, n in zip(base, ("n_assign", "n_access", "n_hex"))],
         F.sha2(S.told(S.merged(base)).cast("binary"), 256).alias("base_sha256"),
-        S.told(S.merged([*base, F.col("__random")])).alias("spans"), F.size("__random").cast("long").alias("n_random"),
+        S.told(S.merged([*base, F.col("random")])).alias("spans"), F.size("random").cast("long").alias("n_random"),
     )
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with every span of the text replaced by a mask; n_chars follows the text."""
-    found = scan(docs, docs.columns)
-    spans = S.merged([F.col(c) for c in ("__assign", "__access", "__hex", "__random")])
-    out = found.withColumn("text", S.masked(F.col("text"), spans, MASK))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """All rows and columns of ``docs`` with every span of the text replaced by a mask; n_chars follows the text.
+
+    Null, empty and clean texts stay as they are; repeated rows are masked alike; columns may have any names.
+    """
+    found = scan(docs)
+    spans = S.merged([F.col(c) for c in ("assign", "access", "hex", "random")])
+    found = found.select("kept", spans.alias("spans")).withColumn("masked", S.masked(F.col("kept.text").cast("string"), F.col("spans"), MASK))
+    some = F.size("spans") > 0
+    new = {"text": F.when(some, F.col("masked")).otherwise(F.col("kept.text")), "n_chars": F.when(some, F.length("masked").cast("long")).otherwise(F.col("kept.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col("kept").getField(c)).alias(c) for c in docs.columns])

@@ -85,6 +85,50 @@ def test_masks(spark):
     assert df.limit(1).select(S.masked(F.lit("éabcdefgh"), spans, "#")).first()[0] == "#de#h"
 
 
+def test_long_tokens_and_many_spans_take_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = "é token=abcdefg1 " * 40_000
+    df = spark.createDataFrame([(1, long, 0), (2, "word_" * 200_000, 0), (3, many, 0)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask_secrets(df).collect()}
+    assert got[3] == ("é [SECRET] " * 40_000, 11 * 40_000) and got[2][0] == "word_" * 200_000
+    assert {r.doc_id: r.n_assign for r in secrets.find_secrets(df).collect()} == {1: 0, 2: 0, 3: 40_000}
+    assert {r.doc_id: r.n_email for r in pii.find_pii(spark.createDataFrame([(1, long), (2, "id4567 a@b.cd " * 20_000)], "doc_id long, text string")).collect()} == {1: 0, 2: 20_000}
+    assert time.time() - began < 120
+
+
+def test_clashing_names(spark):
+    names = ("row", "kept", "random", "assign", "spans", "masked", "__row", "__assign", "class", "token", "tokens", "hex")
+    df = spark.createDataFrame([(1, 'token="abcdefg"', 15)], "doc_id long, text string, n_chars long").select("*", *[F.lit(c).alias(c) for c in names])
+    got = secrets.mask_secrets(df)
+    assert got.columns == df.columns and got.first().text == '[SECRET]"' and all(got.first()[c] == c for c in names)
+
+
+def test_running_max_and_spans_clear_of_others(spark):
+    import random
+
+    rng = random.Random(6)
+    for n in (0, 1, 5, 700):
+        x = [rng.randint(-50, 50) + k // 3 for k in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(S.running_max(F.col("x"))).first()[0]
+        assert got == [max(x[: k + 1]) for k in range(n)]
+    span = "array<struct<start:int,end:int>>"
+    for n, m in ((0, 3), (3, 0), (40, 10), (400, 300)):
+        a, b = ([(s, s + rng.randint(1, 12)) for s in rng.sample(range(3000), k)] for k in (n, m))
+        got = spark.createDataFrame([(a, b)], f"a {span}, b {span}").select(S.clear_of(F.col("a"), F.col("b"))).first()[0]
+        assert sorted(map(tuple, got)) == sorted(x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b))
+
+
+def test_contexts_reach_over_other_matches_and_long_words(spark):
+    text = "x" * 3000 + " 2024-01-01 user 12345678 ab12cd34 end"
+    got = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.instance, s.patterns) for s in got.token] == [("2024-01-01", ["R user"]), ("12345678", ["L 2024-01-01 user", "R ab12cd34"]), ("ab12cd34", ["L user 12345678", "R end"])]
+
+
 def test_bootstrap_finds_unseen_identifiers(spark):
     seeds = [f"please write to user account u{k}@mail.example . and more words" for k in range(30)]
     unseen = [f"please write to user account Q77{k:04d} . and more words" for k in range(8)]
