@@ -2,21 +2,20 @@
 
 Every training passage (overlapping windows of words over whole texts) is a query.  An item's threshold is the
 least score that a passage which passes the check below can have: the item's score for itself less its largest
-impacts, as many as words may be missing.  So retrieval loses no pair.  The index is searched as in block-max
-WAND: a bound from the largest impact of each term skips most passages, bounds from the largest impact in each
+impacts, as many as words may be missing.  So retrieval loses no pair.  The index is searched by the bounds of
+block-max WAND, for all passages of a text at once in arrays and not by a cursor: a bound from the largest impact of each term skips most passages, bounds from the largest impact in each
 block of items skip most blocks, and only what is left is scored.
 
-The index is broadcast; items are taken in blocks of bounded size, one after another, so that its size has a bound
-for any benchmark.
+The index is broadcast; items are taken in blocks of bounded size (of their text, measured), one after another, so
+that its size has a bound for any benchmark.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -25,15 +24,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import planned_bytes
-
 SHINGLE = 5
 LEAST_OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Items of a block share their bounds.
 BLOCK_ITEMS = 8
-#: Bytes of benchmark text in one broadcast index.
-INDEX_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast index, which is several times as large.
+INDEX_BYTES = 16 << 20
 #: Scores (passages times items) that are held at a time.
 CELLS = 1 << 21
 #: Words of a shortest passage's stride.
@@ -59,15 +56,29 @@ def shingles(w: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Item:
+    """A test item; what the overlap check needs is made of its words when it is first asked for, so little is shipped."""
+
     def __init__(self, item_id: int, text: str | None) -> None:
         self.item_id = item_id
-        self.question, self.answer = question_answer(text)
-        self.n = min(SHINGLE, len(self.question))
-        self.shingles = shingles(self.question, self.n) if self.question else set()
-        self.answer_words = {*self.answer}
-        self.words = self.question + self.answer
-        self.missing = int((1 - LEAST_OVERLAP) * len(self.shingles)) + int((1 - LEAST_OVERLAP) * len(self.answer_words)) + SHINGLE
-        self.stride = max(LEAST_STRIDE, 1 << (len(self.words) - 1).bit_length()) if self.words else 0
+        question, answer = question_answer(text)
+        self.question, self.answer = " ".join(question), " ".join(answer)
+        self.n = min(SHINGLE, len(question))
+        distinct = len(shingles(question, self.n)) if question else 0
+        self.missing = int((1 - LEAST_OVERLAP) * distinct) + int((1 - LEAST_OVERLAP) * len({*answer})) + SHINGLE
+        self.n_words = len(question) + len(answer)
+        self.stride = max(LEAST_STRIDE, 1 << (self.n_words - 1).bit_length()) if self.n_words else 0
+
+    @cached_property
+    def shingles(self) -> set[tuple[str, ...]]:
+        return shingles(self.question.split(), self.n)
+
+    @cached_property
+    def answer_words(self) -> set[str]:
+        return {*self.answer.split()}
+
+    @property
+    def words(self) -> list[str]:
+        return self.question.split() + self.answer.split()
 
     def overlap(self, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's word shingles and of the answer's words that the passage holds."""
@@ -76,37 +87,33 @@ class Item:
 
 
 class Index:
-    """Postings of items whose passages have one length, with bounds of terms and of blocks of items."""
+    """Postings of items whose passages have one length, with bounds of terms and of blocks of items; built by sorting."""
 
     def __init__(self, items: list[Item], stride: int) -> None:
-        self.stride = stride
-        mean = sum(len(i.words) for i in items) / len(items)
-        held = Counter(t for i in items for t in {*i.words})
-        self.terms = {t: k for k, t in enumerate(sorted(held))}
-        impacts = []
-        for i in items:
-            own = {}
-            for t, tf in Counter(i.words).items():
-                idf = math.log(1 + (len(items) - held[t] + 0.5) / (held[t] + 0.5))
-                own[self.terms[t]] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(i.words) / mean))
-            impacts.append(own)
-        least = [max(sum(sorted(own.values())[: max(1, len(own) - i.missing)]), 1e-9) * (1 - 1e-9) for i, own in zip(items, impacts)]
-        order = sorted(range(len(items)), key=lambda k: (least[k], items[k].item_id))  # like thresholds share a block
-        self.items = [items[k] for k in order]
-        self.least = np.array([least[k] for k in order])
-        self.block_least = np.array([self.least[k] for k in range(0, len(order), BLOCK_ITEMS)])
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for k, o in enumerate(order):
-            for t, x in impacts[o].items():
-                postings[t].append((k, x))
-        self.start = np.cumsum([0, *map(len, postings)])
-        flat = [p for ps in postings for p in ps]
-        self.item, self.impact = np.array([k for k, _ in flat], np.int64), np.array([x for _, x in flat])
-        blocks = [sorted({k // BLOCK_ITEMS: max(x for j, x in ps if j // BLOCK_ITEMS == k // BLOCK_ITEMS) for k, _ in ps}.items()) for ps in postings]
-        self.block_start = np.cumsum([0, *map(len, blocks)])
-        flat = [p for ps in blocks for p in ps]
-        self.block, self.block_impact = np.array([k for k, _ in flat], np.int64), np.array([x for _, x in flat])
-        self.most = np.array([max(x for _, x in ps) for ps in postings])
+        self.stride, self.terms = stride, {}
+        counts = [Counter(i.words) for i in items]
+        term = np.array([self.terms.setdefault(t, len(self.terms)) for c in counts for t in c], np.int64)
+        tf = np.array([n for c in counts for n in c.values()], np.float64)
+        sizes = np.array([len(c) for c in counts])
+        item, length = np.repeat(np.arange(len(items)), sizes), np.array([i.n_words for i in items], np.float64)
+        held = np.bincount(term, minlength=len(self.terms))
+        idf = np.log(1 + (len(items) - held + 0.5) / (held + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+        cuts = np.split(impact, np.cumsum(sizes)[:-1])
+        least = np.array([max(np.sort(x)[: max(1, len(x) - i.missing)].sum(), 1e-9) * (1 - 1e-9) for i, x in zip(items, cuts)])
+        order = np.lexsort(([i.item_id for i in items], least))  # like thresholds share a block
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.items, self.least = [items[k] for k in order.tolist()], least[order]
+        self.block_least = self.least[::BLOCK_ITEMS]
+        by = np.lexsort((place[item], term))
+        term, self.item, self.impact = term[by], place[item][by], impact[by]
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1])
+        block = self.item // BLOCK_ITEMS
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.block, self.block_impact = block[first], np.maximum.reduceat(self.impact, first)
+        self.block_start = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
 
     @staticmethod
     def _postings(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +166,7 @@ class Index:
 
 
 def indexes(rows: list[tuple[int, str | None]]) -> list[Index]:
-    items = [i for r in rows if (i := Item(*r)).words]
+    items = [i for r in rows if (i := Item(*r)).n_words]
     return [Index([i for i in items if i.stride == s], s) for s in sorted({i.stride for i in items})]
 
 
@@ -184,7 +191,8 @@ def leaks(text: str | None, found: list[Index]) -> list[tuple[int, float, float,
 def _blocks(benchmark: DataFrame, index_bytes: int) -> Iterator[Broadcast]:
     """Broadcast indexes of all items, each of ``index_bytes`` of text or so."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    blocks = max(1, -(-planned_bytes(benchmark) // index_bytes))
+    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]  # measured, not what files have
+    blocks = max(1, -(-size // index_bytes))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # index_bytes, about
         yield benchmark.sparkSession.sparkContext.broadcast(indexes([(r.item_id, r.text) for r in mine]))

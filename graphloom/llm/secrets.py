@@ -131,8 +131,8 @@ def discoveries(tokens: DataFrame) -> DataFrame:
     return shaky.join(F.broadcast(_least_bits(shaky, FDR)), "class").where("bits >= least").select("token")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs``: ``kept`` (all its columns), the base spans of each kind and the ``random`` ones.
+def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """For each row of ``docs``: ``kept`` (the columns ``keep``), the base spans of each kind and the ``random`` ones.
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows.
     """
@@ -141,7 +141,7 @@ def scan(docs: DataFrame) -> DataFrame:
     access = F.when(F.contains(text, F.lit("AKIA")), S.located(text, ACCESS)).otherwise(F.array().cast(S.SPAN))
     tokens = F.transform(S.located(text, TOKEN), lambda s: F.struct(s["start"], s["end"], s["match"].alias("token")))
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.monotonically_increasing_id().alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.monotonically_increasing_id().alias("row"),
         S.kinded(assign, "assign", 0).alias("assign"), S.kinded(access, "access", 1).alias("access"), S.kinded(S.located(text, HEX), "hex", 2).alias("hex"), tokens.alias("tokens"),
     )
     base = materialize(base, "secret-spans")
@@ -160,7 +160,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: no spans, the digest of the empty string.  Repeated rows are scanned each.
     """
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     base = [F.col(c) for c in ("assign", "access", "hex")]
     return found.select(
         "kept.doc_id", *[F.size(c).cast("long").alias(n) for c, n in zip(base, ("n_assign", "n_access", "n_hex"))],
@@ -174,7 +174,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
     Null, empty and clean texts stay as they are; repeated rows are masked alike; columns may have any names.
     """
-    found = scan(docs)
+    found = scan(docs, docs.columns)
     spans = S.merged([F.col(c) for c in ("assign", "access", "hex", "random")])
     found = found.select("kept", spans.alias("spans")).withColumn("masked", S.masked(F.col("kept.text").cast("string"), F.col("spans"), MASK))
     some = F.size("spans") > 0

@@ -12,7 +12,7 @@ def brute(text, items):
     w, out = D.words(text), {}
     for it in items:
         i = D.Item(*it)
-        for k in range(max(1, -(-len(w) // i.stride)) if i.words else 0):
+        for k in range(max(1, -(-len(w) // i.stride)) if i.n_words else 0):
             q, a = i.overlap(w[k * i.stride : (k + 2) * i.stride])
             if q >= D.LEAST_OVERLAP and a >= D.LEAST_OVERLAP:
                 out[i.item_id] = max(out.get(i.item_id, (0, 0)), (q, a))
@@ -46,6 +46,18 @@ def test_search_equals_brute_force(monkeypatch):
     assert n > 1000
 
 
+def test_building_is_linear():
+    import time
+
+    rng = random.Random(1)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=30))) for k in range(30_000)]
+    began = time.time()
+    found = D.indexes(rows)
+    assert sum(len(i.items) for i in found) == 30_000 and time.time() - began < 20
+    assert [x[0] for x in D.leaks(rows[77][1], found)] == [77]
+
+
 def test_question_and_answer():
     assert D.question_answer("What is it? A cat.") == (["what", "is", "it"], ["a", "cat"])
     assert D.question_answer("Only one sentence") == (["only", "one", "sentence"], [])
