@@ -59,6 +59,7 @@ def test_split_cells_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(400)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, A.neighbours(df).collect()))
     monkeypatch.setattr(A, "PART_ROWS", 5)
+    monkeypatch.setattr(A, "PART_QUERIES", 1)
     split = sorted(map(tuple, A.neighbours(df).collect()))
     assert sum(a == b for a, b in zip(whole, split)) >= 0.95 * len(whole) and len(whole) == len(split)
 
@@ -78,3 +79,34 @@ def test_repeated_queries_and_ids_with_several_vectors(spark):
         assert len(mine) == 5 * (12 if q == 100 else times[q]) and all(r.vec_id != q for r in mine)
         if q != 100:
             assert [r.vec_id for r in sorted(mine, key=lambda r: r["rank"])][:: times[q]] == list(ids)
+
+
+def test_huge_and_tiny_numbers(spark):
+    rows = [(0, [1e200, 1e200]), (50, [1e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 0.0])]
+    got = {}
+    for r in A.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    near = 3 / 10**0.5
+    for q, want in ((0, {3: 1, 4: 1, 50: near, 5: 0.5**0.5}), (50, {0: near, 3: near, 4: near, 5: 0.2**0.5})):
+        assert got[q].keys() == want.keys() and all(abs(got[q][i] - s) < 1e-15 for i, s in want.items())
+
+
+def test_probes_stay_below_half_of_the_cells():
+    """On vectors without any structure, which is the worst there is."""
+    rng = np.random.default_rng(5)
+    x = A.unit(rng.normal(size=(20_000, 64)))
+    m = A.fit(x[: A.SAMPLE], int(A.CELLS * len(x) ** 0.5), len(x))
+    assert m.probes < 0.47 * len(m.coarse)
+    cell = A.nearest(x, m.coarse)[0]
+    codes, bias = m.encode(x, cell)
+    hit = reranked = 0
+    for j in range(0, 20_000, 400):
+        true = {*np.argsort(-(x @ x[j]), kind="stable")[1:6].tolist()}
+        order, gap = m.cells(x[j : j + 1])
+        found = set()
+        for c, g in zip(order[0, : m.probes].tolist(), gap[0]):
+            here = np.flatnonzero(cell == c)
+            d = m.distances(x[j : j + 1], np.array([g]), codes[here], bias[here])[0]
+            found |= {*here[d <= m.limits(x[j : j + 1], 5)[0]].tolist()}
+        hit, reranked = hit + len(found & true), reranked + len(found)
+    assert hit >= 0.9 * 250 and reranked < 50 * 0.05 * 20_000
