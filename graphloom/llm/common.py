@@ -16,11 +16,15 @@ UNKNOWN_BYTES = 1 << 55
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes for a plain scan, no job); where it has none, the measured size of texts."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what ``df`` reads, by its scans (file sizes, no job); where they have none, the measured size of texts.
+
+    What Catalyst estimates for joins isn't asked: that is a product of sizes.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     if size < UNKNOWN_BYTES:
         return size
-    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
     return int(df.agg(F.coalesce(F.sum(sum(texts, F.lit(64))), F.lit(0))).first()[0])
 
 

@@ -26,9 +26,12 @@ DIM = 1 << 16
 UNDETERMINED = "und"
 #: Documents of each language that the weights and the temperature are fitted on, at most.
 SAMPLE_PER_LANG = 600
+#: Languages, at most: the weights are DIM numbers for each.
+MOST_LANGS = 512
 #: Characters that are turned into features at a time.
 SPAN = 1 << 22
-FAN_IN = 16
+#: Tasks that sum document frequencies, level by level; the driver sums what the last level has.
+LEVELS = (256, 16)
 
 
 @lru_cache(maxsize=1)
@@ -110,18 +113,19 @@ def _unpacked(values) -> np.ndarray:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values = [v for b in batches for v in [_unpacked(b.column("n").to_pylist())] if b.num_rows]
-    if values:
-        yield _packed(sum(values))
+    total, some = np.zeros(DIM + 1, np.int64), False
+    for b in batches:
+        total, some = total + _unpacked(b.column("n").to_pylist()), some or b.num_rows > 0
+    if some:
+        yield _packed(total)
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """In how many of all ``texts`` each feature occurs; last, their number."""
-    rows, n = texts.select("text").mapInArrow(_frequencies, "slot int, n binary"), task_count(texts)
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        rows = rows.repartition(n, "slot").mapInArrow(_summed, "slot int, n binary")
-    return _unpacked(bytes(r.n) for r in rows.collect())  # FAN_IN rows of a fixed size, or a few more
+    """In how many of all ``texts`` each feature occurs; last, their number.  Zeros for an empty table."""
+    rows, most = texts.select("text").mapInArrow(_frequencies, "slot int, n binary"), task_count(texts)
+    for n in LEVELS:
+        rows = rows.repartition(min(n, most), "slot").mapInArrow(_summed, "slot int, n binary")
+    return _unpacked(bytes(r.n) for r in rows.collect())  # as many rows of a fixed size as the last level has tasks
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,21 +171,25 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Learn from text and non-null lang of the training rows: those whose crc32(doc_id as text) mod 3 is not 1."""
+    """Learn from text and non-null lang of the training rows: those whose crc32(doc_id as text) mod 3 is not 1.
+
+    Of each language a sample of ``sample_per_lang`` texts at most is learned from; repeated rows are one.  More
+    than MOST_LANGS languages are an error.  Without training rows the model knows no language.
+    """
     train = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = train.where((unsigned_crc(F.col("doc_id")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df = document_frequencies(train)
     if not df[DIM]:
         return Model((), np.zeros((DIM + 1, 0), np.float32), 1.0)
     idf = np.append(np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1, 1.0)
-    # the first of each language in hash order; a common language's rows meet in several tasks first
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    salted = train.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, task_count(train) // 8))).alias("salt"))
-    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= sample_per_lang)
-    ids = few.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("pick")).where(F.col("pick") <= sample_per_lang)
-    ids = materialize(ids, "langid-sample").select("doc_id", F.col("lang").alias("sample_lang"), "pick")
-    sample = train.join(ids, "doc_id").where("lang = sample_lang").select("lang", "pick", "text")
-    found = sample.mapInArrow(_features, "lang string, pick int, at array<int>, tf array<float>").toArrow()  # bounded by the sample
+    # the first of each language in hash order; those that can't be among them go before anything is shuffled
+    counts = materialize(train.groupBy("lang").agg(F.count("*").alias("of")), "langid-counts")
+    if (n := counts.count()) > MOST_LANGS:
+        raise ValueError(f"{n} distinct values of lang: more than {MOST_LANGS}")
+    drawn = F.pmod(F.col("hash"), F.lit(1 << 40)) / float(1 << 40) * F.col("of")
+    few = train.withColumn("hash", F.xxhash64("doc_id", "text")).join(F.broadcast(counts), "lang").where(drawn < 2 * sample_per_lang + 100).dropDuplicates(["lang", "hash"])
+    few = few.withColumn("pick", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("pick") <= sample_per_lang)
+    found = few.select("lang", "pick", "text").mapInArrow(_features, "lang string, pick int, at array<int>, tf array<float>").toArrow()  # bounded by the sample
     lang, pick = found.column("lang").to_pylist(), found.column("pick").to_pylist()
     langs = tuple(sorted({*lang}))
     rows: dict[bool, list] = {False: [], True: []}

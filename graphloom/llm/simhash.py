@@ -220,12 +220,13 @@ def keep_one_of_each(docs: DataFrame, resembling: bool = False) -> DataFrame:
     Of rows that share a doc_id one stays.  Rows without doc_id stay: nothing tells them apart.
     """
     found = materialize(near_duplicates(docs, resembling), "simhash-classes")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))  # columns may have any names
     # always by shuffle: the list of what goes grows with the documents
-    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    again = found.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id").cast("long") == F.col("again_id")
-    first = kept.join(again, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
-    return kept.join(again, same, "left_anti").unionByName(first.where("__n = 1").drop("__n"))
+    rows = rows.join(gone.hint("merge"), "id", "left_anti")
+    again = found.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    if not again.isEmpty():
+        order = Window.partitionBy("id").orderBy(F.xxhash64("kept.text"), "kept.text")
+        first = rows.join(again, "id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        rows = rows.join(again, "id", "left_anti").unionByName(first)
+    return rows.select("kept.*")

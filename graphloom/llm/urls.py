@@ -2,8 +2,8 @@
 
 List events (a pattern is added to or removed from a category on a date) become intervals; a capture is evaluated
 against the entries that were active when it was fetched.  A pattern is a host and stands for its subdomains: a
-host's suffixes are the join keys, so the join is an equi-join with a bounded range test behind it, and a host
-with very many captures is split by the engine's skewed-join handling.
+host's suffixes are the join keys, so the join is an equi-join with a bounded range test behind it.  Captures of one
+suffix are dealt over several tasks, those of a top-level domain over many, and list entries are sent to each of them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .common import materialize
 
 #: Longer names are no host names.
 LONGEST_HOST = 253
+#: Tasks that share the captures of a suffix of one label, and of any other.
+TOP_SALTS, SALTS = 64, 8
 
 
 def host(url: Column) -> Column:
@@ -30,6 +32,10 @@ def suffixes(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
+def _salts(pattern: Column) -> Column:
+    return F.when(F.contains(pattern, F.lit(".")), SALTS).otherwise(TOP_SALTS)
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """``pattern, category, since, until`` (exclusive, null: open) from ``pattern, category, day, action`` (add or remove).
 
@@ -52,7 +58,9 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     c = captures.select(F.col("page_id"), host(F.col("url").cast("string")).alias("host"), F.col("fetched").cast("date").alias("fetched"))
     c = materialize(c.withColumn("row", F.monotonically_increasing_id()), "url-captures")
     keyed = c.select("row", "fetched", F.posexplode(suffixes(F.col("host"))).alias("depth", "pattern"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), _salts(F.col("pattern"))).cast("int"))
+    listed = intervals(events).withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("pattern")) - 1)))
     # by shuffle: both sides can be large, and neither's size on disk tells that of its rows
-    active = keyed.join(intervals(events).hint("merge"), "pattern").where("since <= fetched and (until is null or fetched < until)")
+    active = keyed.join(listed.hint("merge"), ["pattern", "salt"]).where("since <= fetched and (until is null or fetched < until)")
     best = active.groupBy("row").agg(F.min(F.struct("depth", "category", "since", "pattern")).alias("best"))
     return c.join(best.hint("merge"), "row", "left").select("page_id", "host", "fetched", F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.category", "best.since")

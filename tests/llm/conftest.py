@@ -23,7 +23,7 @@ def awkward(spark):
         (7, "Der Hund und die Katze sind da. " * 5, "de", "s", 100), (7, "Der Hund und die Katze sind da. " * 5, "de", "s", 100), (8, "Der Hund und die Katze sind da. " * 5, "de", "t", 100), (None, "no id at all here", "en", "s", 5), (9, "1234 5678 !!", "en", "s", 9), (10, "é" * 5000, "fr", "s", 5000),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    clash = ("row", "key", "fp", "shard", "class", "rank", "score", "component_id", "fingerprint", "lang_pred", "held_out", "slot", "k", "n", "task", "length", "start", "pattern", "token", "a", "b", "node", "root")
+    clash = ("row", "key", "fp", "shard", "class", "rank", "score", "component_id", "fingerprint", "lang_pred", "held_out", "slot", "k", "n", "task", "length", "start", "pattern", "token", "a", "b", "node", "root", "id", "kept", "gone_id", "again_id", "__n", "__row", "__assign", "spans", "masked", "hash", "of", "pick")
     return df.select("*", *[F.lit("x").alias(c) for c in clash]).cache()
 
 
