@@ -44,6 +44,11 @@ def draw(key: Column, *salt: Column | int | str) -> Column:
     return F.pmod(F.xxhash64(key, *salts), F.lit(1 << 52)) / float(1 << 52)
 
 
+def portable_hash(key: Column, salt: str) -> Column:
+    """The first 32 bits of an MD5, which SQL engines have in common."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def portable_draw(key: Column, salt: str, n: int) -> Column:
-    """A whole number below ``n`` from the first 32 bits of an MD5, which SQL engines have in common."""
-    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    """A whole number below ``n`` from ``portable_hash``."""
+    return portable_hash(key, salt) % n

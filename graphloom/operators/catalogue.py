@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import average_rank
+
 # Class and tag names, thresholds, and the super classes of the visual system.
 STRONG, HUB, INTERMEDIATE, CANDIDATE, NONE = "A_strong_chokepoint", "B_degree_driven_hub", "B_intermediate", "C_gaba_candidate", "not_classified"
 VISUAL_TAG, EXPLORATORY_TAG = "D_visual_system", "C_gaba_exploratory"
@@ -12,10 +14,9 @@ VISUAL_CLASSES = ("visual_centrifugal", "optic")
 TOP, EXCESS, P_STRONG, P_HUB = 50, 0.3, 0.01, 0.05
 
 
-def descending_rank(df: DataFrame, col: str) -> Column:
-    """The average rank from the largest down, cut to a whole number."""
-    peers = F.count("*").over(Window.partitionBy(col))
-    return F.floor(F.rank().over(Window.orderBy(F.col(col).desc())) + (peers - 1) / 2).cast("int")
+def descending_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
+    """``df`` with the average rank of ``col`` from the largest down, cut to a whole number; nulls get none."""
+    return average_rank(df, col, name, ascending=False).withColumn(name, F.floor(name).cast("int"))
 
 
 def class_v1(rank: Column, excess: Column, label: Column, delta: Column) -> Column:
@@ -65,3 +66,25 @@ def five_numbers(df: DataFrame, group: Column, value: Column) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = v.join(F.broadcast(q), v.grp.eqNullSafe(q.grp)).drop(v.grp).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy("grp", "q1", "median", "q3").agg(F.min("v").alias("low"), F.max("v").alias("high")).select("grp", "low", "q1", "median", "q3", "high")
+
+
+def agreement_counts(df: DataFrame, claim: Column, found: Column, tolerance: float = 1e-9) -> DataFrame:
+    """``n_verified, n_mismatch, n_missing`` of claimed figures against those found: missing where either is null."""
+    off = F.abs(claim - found)
+    return df.agg(F.count_if(off <= tolerance).alias("n_verified"), F.count_if(off > tolerance).alias("n_mismatch"), F.count_if(off.isNull()).alias("n_missing"))
+
+
+def summary_tables(metrics: DataFrame, screened: DataFrame, matches: DataFrame, cat: DataFrame, nulls: DataFrame) -> dict[str, DataFrame]:
+    """The five summary tables: the graph, the screen, the matched comparison, the catalogue, and the null ensemble.
+
+    ``metrics`` is (node, total_degree, label), ``screened`` (target, cis), ``matches`` (id, other, diff), ``cat``
+    (id, class_label), ``nulls`` (null_id, median_diff, cliffs_delta).
+    """
+    q = lambda c, x: F.percentile(c, x)
+    return {
+        "graph": metrics.groupBy("label").agg(F.count("*").alias("n"), F.avg("total_degree").alias("mean_degree"), F.median("total_degree").alias("median_degree"), F.max("total_degree").alias("max_degree")),
+        "screen": screened.agg(F.count("*").alias("n"), F.median("cis").alias("median"), q("cis", 0.9).alias("p90"), q("cis", 0.99).alias("p99"), F.max("cis").alias("max")),
+        "matched": matches.agg(F.count("*").alias("n_pairs"), F.median("diff").alias("median_diff"), F.avg((F.col("diff") > 0).cast("int")).alias("share_positive")),
+        "catalogue": cat.groupBy("class_label").agg(F.count("*").alias("n")),
+        "nulls": nulls.agg(F.count("*").alias("n"), F.avg("median_diff").alias("mean_diff"), F.stddev_samp("median_diff").alias("sd_diff"), F.avg("cliffs_delta").alias("mean_delta")),
+    }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import draw
+from ..storage import materialize
 from .matching import peers
 
 
@@ -60,6 +61,27 @@ def monte_carlo_matched(tested: DataFrame, top: DataFrame, focus: str, n_rep: in
     return _scored(reps.groupBy("rep").agg(F.sum(hit).alias("hits")), observed, n_rep)
 
 
+def by_class(tested: DataFrame, top: DataFrame, n_rep: int = 10_000, seed: int = 77) -> DataFrame:
+    """``label, observed, tested_count, expected, sd, enrichment, z, p`` of every label among ``top`` (id) of ``tested`` (id, label).
+
+    The null draws as many rows from ``tested`` as ``top`` has, with replacement; one set of draws serves all labels: a
+    draw is a rank among the tested, sorted by label, so only the labels' shares travel.  p = (1 + #{null >= observed}) / (n_rep + 1).
+    """
+    base = materialize(expected_uniform(tested, top).withColumn("sd", F.lit(None).cast("double")), "by-class")
+    k, n = top.count(), tested.count()
+    order = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # a row for each label
+    shares = base.select("label", "tested_count", F.coalesce(F.sum("tested_count").over(order), F.lit(0)).alias("start"))
+    draws = tested.sparkSession.range(n_rep * k).select(F.expr(f"id div {max(k, 1)}").alias("rep"), F.floor(draw(F.col("id"), seed) * n).alias("at"))
+    counts = F.array(*[F.count_if(F.col("at").between(r.start, r.start + r.tested_count - 1)) for r in shares.collect()])  # labels
+    labels = [r.label for r in shares.collect()]
+    if not labels or not k:
+        return base.select("label", "observed", "tested_count", "expected", "sd", "enrichment", F.lit(0.0).alias("z"), F.lit(1.0).alias("p"))
+    hits = draws.groupBy("rep").agg(counts.alias("c")).select(F.posexplode("c").alias("j", "hits")).withColumn("label", F.array(*map(F.lit, labels))[F.col("j")])
+    null = hits.join(F.broadcast(base.select("label", "observed")), "label").groupBy("label").agg(F.stddev_samp("hits").alias("sd"), F.avg("hits").alias("m"), F.count_if(F.col("hits") >= F.col("observed")).alias("ge"))
+    z = (F.col("observed") - F.col("m")) / F.greatest("sd", F.lit(1e-12))
+    return base.drop("sd").join(null, "label").select("label", "observed", "tested_count", "expected", "sd", "enrichment", z.alias("z"), ((F.col("ge") + 1) / (n_rep + 1)).alias("p"))
+
+
 def sweep(scores: DataFrame, sizes: list[int], focus: str) -> DataFrame:
     """``k, observed, expected, enrichment`` of label ``focus`` among the top k by score, for each k; scores is (id, score, label)."""
     most = scores.orderBy(F.desc("score"), "id").limit(max(sizes)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # the top few

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import portable_draw
 from ..storage import materialize
 
 
@@ -107,6 +108,15 @@ def k_ring(pairs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return reached
 
 
+def neighbourhood(pairs: DataFrame, seeds: DataFrame, k: int, extra: int, salt: str = "background") -> tuple[DataFrame, DataFrame]:
+    """The nodes (node, ring) within ``k`` steps of the seeds and ``extra`` others (ring null), drawn by a portable hash; and the pairs among them."""
+    ring = materialize(k_ring(pairs, seeds, k), "ring")
+    every = pairs.select(F.explode(F.array("pre", "post")).alias("node")).distinct()
+    others = every.join(ring, "node", "left_anti").orderBy(portable_draw(F.col("node"), salt, 1 << 32), "node").limit(extra)
+    kept = materialize(ring.unionByName(others.withColumn("ring", F.lit(None).cast("int"))), "neighbourhood")
+    return kept, induced_subgraph(pairs, kept)
+
+
 def neighbourhood_composition(pairs: DataFrame, targets: DataFrame, labels: DataFrame, named: list[str]) -> DataFrame:
     """Shares of labels among the distinct in- and out-neighbours of each target (node), summed over targets.
 

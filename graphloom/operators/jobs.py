@@ -153,3 +153,28 @@ def mentions(docs: DataFrame, pattern: str) -> DataFrame:
     """``term, n_docs, n``: how often matches of a pattern occur in texts, and in how many documents."""
     hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
     return hits.groupBy("term").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n"))
+
+
+def load_manifest(spark, path: str, version: str):
+    """The manifest at ``path`` (Parquet); ValueError if any of its jobs is of another code version."""
+    m = spark.read.parquet(path)
+    other = m.where(~F.col("code_version").eqNullSafe(version)).select("code_version").first()
+    if other:
+        raise ValueError(f"manifest at {path} is of version {other.code_version!r}, not {version!r}")
+    return m
+
+
+def progress(manifest: DataFrame) -> DataFrame:
+    """One row: ``n_jobs, n_done, n_failed, n_open, share_done, most_attempts``; what a status command prints."""
+    done, failed = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "failed")
+    n = F.count("*")
+    return manifest.agg(n.alias("n_jobs"), done.alias("n_done"), failed.alias("n_failed"), (n - done - failed).alias("n_open"), F.when(n > 0, done / n).alias("share_done"), F.max("attempts").alias("most_attempts"))
+
+
+def reproducibility(spark, paths: list[str], parameters: dict[str, str], version: str) -> dict:
+    """What a run can be repeated from: hashes of its files, its parameters, code version, engine and settings."""
+    import platform
+
+    files = [r.asDict() for p in paths for r in file_hashes(spark, p).orderBy("path").collect()]  # a run's files
+    settings = {k: v for k, v in sorted(spark.sparkContext.getConf().getAll()) if k.startswith("spark.sql.")}
+    return {"files": files, "parameters": dict(sorted(parameters.items())), "code_version": version, "python": platform.python_version(), "spark": spark.version, "settings": settings}

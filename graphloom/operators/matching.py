@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import draw, global_rank
+from ..functions.ordered import draw, global_rank, portable_hash
+from ..storage import materialize
 
 #: Half-width of a window on log10(degree + 1).
 LOG_WINDOW = math.log10(1.1)
@@ -27,34 +28,67 @@ def window_join(left: DataFrame, right: DataFrame, share: float = 0.1) -> DataFr
     return a.join(b, "__bin").where(F.col("other_degree").between((1 - share) * F.col("degree"), (1 + share) * F.col("degree"))).drop("__bin")
 
 
-def nearest_peer(left: DataFrame, right: DataFrame, share: float = 0.1) -> DataFrame:
-    """Of each ``left`` id the ``right`` row nearest in degree within the window, ties to the smaller id; ids aren't their own peers."""
-    near = window_join(left, right, share).where("id <> other")
-    order = Window.partitionBy("id").orderBy(F.abs(F.col("other_degree") - F.col("degree")), "other")
-    return near.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+def _windows(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """``degree, first, last``: of each distinct degree of ``left`` the ranks (degree, other) of the first and last ``right`` rows in its window.
+
+    Only distinct degrees meet, however many rows have them.
+    """
+    held = right.groupBy("other_degree").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    return window_join(left.select("degree").distinct(), held, share).groupBy("degree").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
 
+def _ranked(right: DataFrame) -> DataFrame:
+    ranked = global_rank(right.select("other", "other_degree"), [F.col("other_degree").asc(), F.col("other").asc()], "rank")
+    return materialize(ranked.withColumn("rank", F.col("rank") - 1), "matching-ranks")
 
-def random_match(left: DataFrame, right: DataFrame, seed: int, share: float = 0.1) -> DataFrame:
-    """Of each ``left`` id a random ``right`` row in the window, with replacement: the least hash of (seed, id, other)."""
-    near = window_join(left, right, share).where("id <> other")
-    order = Window.partitionBy("id").orderBy(draw(F.col("id"), F.col("other"), seed), "other")
-    return near.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+def nearest_peer(left: DataFrame, right: DataFrame, share: float = 0.1) -> DataFrame:
+    """``id, degree, other, other_degree``: of each ``left`` id the ``right`` row nearest in degree within the window, ties to the smaller id.
+
+    Ids aren't their own peers, so of each degree two rows can matter.  Only distinct degrees are joined by range.
+    """
+    order = Window.partitionBy("other_degree").orderBy("other")
+    two = right.select("other", "other_degree").distinct().withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy("other_degree").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    near = window_join(left.select("degree").distinct(), two, share).withColumn("far", F.abs(F.col("other_degree") - F.col("degree")))
+    # a degree whose only row is the id itself doesn't count: the nearest and, for that case, the next distances stay
+    byfar = Window.partitionBy("degree").orderBy("far")
+    near = near.withColumn("k", F.dense_rank().over(byfar)).where("k <= 2").groupBy("degree").agg(F.collect_list(F.struct("far", "other_degree", "others")).alias("near"))  # four degrees at most
+    each = left.select("id", "degree").join(near, "degree").select("id", "degree", F.explode("near").alias("x")).select("id", "degree", "x.far", "x.other_degree", F.explode("x.others").alias("other")).where("id <> other")
+    best = each.groupBy("id", "degree").agg(F.min(F.struct("far", "other", "other_degree")).alias("b"))
+    return best.select("id", "degree", "b.other", "b.other_degree")
+
+
+def random_match(left: DataFrame, right: DataFrame, salt: str, share: float = 0.1) -> DataFrame:
+    """``id, degree, other, other_degree``: of each ``left`` id a random ``right`` row in the window, with replacement; never itself.
+
+    The window's rows are numbered by (degree, other); a hash of (id, salt) that other engines have too draws one.
+    No pairs are made.
+    """
+    ranked = _ranked(right)
+    wanted = left.select("id", "degree").join(_windows(left, ranked, share), "degree").join(ranked.select(F.col("other").alias("id"), F.col("rank").alias("own"), F.col("other_degree").alias("own_degree")), "id", "left")
+    own = F.col("own").between(F.col("first"), F.col("last"))
+    n = F.col("last") - F.col("first") + 1 - F.coalesce(own.cast("long"), F.lit(0))
+    at = F.col("first") + portable_hash(F.col("id"), salt) % F.greatest(F.col("n"), F.lit(1))
+    drawn = wanted.withColumn("n", n).where("n > 0").withColumn("at", at)
+    drawn = drawn.withColumn("rank", F.col("at") + F.coalesce((F.col("own").between(F.col("first"), F.col("last")) & (F.col("at") >= F.col("own"))).cast("long"), F.lit(0)))
+    return drawn.join(ranked, "rank").select("id", "degree", "other", "other_degree")
 
 
 def peers(population: DataFrame, subjects: DataFrame, exclude_self: bool = True, fallback: int = 50) -> DataFrame:
     """Each subject (id) with its peers (peer, value, own): within LOG_WINDOW on log10(degree + 1).
 
     ``population`` is (id, degree, value).  Where a subject's window is empty, its neighbours by rank take its place,
-    ``fallback`` on each side.  With ``exclude_self`` a subject isn't its own peer.
+    ``fallback`` on each side.  With ``exclude_self`` a subject isn't its own peer, nor does it fill its window.
     """
     pop = population.select(F.col("id").alias("peer"), F.col("degree").alias("d"), F.log10(F.col("degree") + 1.0).alias("ld"), "value").withColumn("bin", F.floor(F.col("ld") / (2 * LOG_WINDOW)))
     ranked = global_rank(pop, [F.col("ld").asc(), F.col("peer").asc()], "r")
     subj = subjects.select("id").join(ranked.select(F.col("peer").alias("id"), F.col("ld").alias("own_ld"), F.col("value").alias("own"), F.col("bin").alias("own_bin"), F.col("r").alias("own_r")), "id")
     binned = subj.withColumn("bin", F.explode(F.sequence(F.col("own_bin") - 1, F.col("own_bin") + 1)))
     inside = binned.join(ranked, "bin").where(F.abs(F.col("ld") - F.col("own_ld")) <= LOG_WINDOW + 1e-12).select("id", "own", "peer", "value")
+    inside = inside.where("id <> peer") if exclude_self else inside
     lonely = subj.join(inside.select("id").distinct(), "id", "left_anti").withColumn("r", F.explode(F.sequence(F.col("own_r") - fallback, F.col("own_r") + fallback - 1)))
-    both = inside.unionByName(lonely.join(ranked.select("r", "peer", "value"), "r").select("id", "own", "peer", "value"))
-    return both.where("id <> peer") if exclude_self else both
+    near = lonely.join(ranked.select("r", "peer", "value"), "r").select("id", "own", "peer", "value")
+    return inside.unionByName(near.where("id <> peer") if exclude_self else near)
 
 
 def peer_exceedance(population: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -118,3 +152,20 @@ def _greedy(frame: pd.DataFrame, share: float) -> pd.DataFrame:
             d, other = free.pop(best[2])
             out.append((case, degree, other, d))
     return pd.DataFrame(out, columns=["id", "degree", "other", "other_degree"])
+
+
+def greedy_match_by(df: DataFrame, case: Column, control: Column, id_col: str = "id", degree: str = "degree", share: float = 0.1) -> DataFrame:
+    """``greedy_match`` of the rows of ``df`` where ``case`` holds with those where ``control`` does, by any columns and window."""
+    return greedy_match(df.where(case).select(F.col(id_col).alias("id"), F.col(degree).alias("degree")), df.where(control).select(F.col(id_col).alias("other"), F.col(degree).alias("other_degree")), share)
+
+
+def merged_labels(label: Column, merge: tuple[str, ...], name: str) -> Column:
+    """The label, with those of ``merge`` under one name; null stays null."""
+    return F.when(label.isin(*merge), F.lit(name)).otherwise(label)
+
+
+def paired(matches: DataFrame, scores: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """``id, other, diff, log_ratio`` of the scores (id, score) of matched ids; the ratio is log10((case + eps) / (control + eps))."""
+    a, b = scores.select("id", F.col("score").alias("x")), scores.select(F.col("id").alias("other"), F.col("score").alias("y"))
+    both = matches.select("id", "other").join(a, "id").join(b, "other")
+    return both.select("id", "other", (F.col("x") - F.col("y")).alias("diff"), F.log10((F.col("x") + eps) / (F.col("y") + eps)).alias("log_ratio"))

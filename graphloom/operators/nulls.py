@@ -49,30 +49,36 @@ def configuration(src: np.ndarray, dst: np.ndarray, seed: int, rounds: int = ROU
 
 
 def two_swaps(src: np.ndarray, dst: np.ndarray, seed: int, factor: int = 10) -> np.ndarray:
-    """Targets after ``factor`` proposals per edge: two edges swap targets unless they share an end or the result exists."""
-    rng, dst = np.random.default_rng(seed), dst.copy()
-    held = set(zip(src.tolist(), dst.tolist()))
-    m = len(src)
-    for i, j in rng.integers(0, m, (m * factor, 2)).tolist() if m > 1 else []:
-        a, b, c, d = int(src[i]), int(dst[i]), int(src[j]), int(dst[j])
-        if len({a, b, c, d}) < 4 or (a, d) in held or (c, b) in held:
-            continue
-        held -= {(a, b), (c, d)}
-        held |= {(a, d), (c, b)}
-        dst[i], dst[j] = d, b
-    return dst
+    """Targets after ``factor`` proposals per edge: two edges swap targets unless they share an end or the result exists.
+
+    Proposals come in rounds of disjoint pairs of edges, half as many as there are edges; within a round, those that
+    would make an edge which exists, or which another proposal of the round makes, are turned down.
+    """
+    rng, names = np.random.default_rng(seed), np.unique(np.concatenate([src, dst]))
+    s, d, n, m = np.searchsorted(names, src), np.searchsorted(names, dst), len(names), len(src)
+    for _ in range(2 * factor if m > 1 else 0):
+        order = rng.permutation(m)[: m // 2 * 2].reshape(-1, 2)
+        i, j = order[:, 0], order[:, 1]
+        a, b, c, e = s[i], d[i], s[j], d[j]
+        held = np.sort(s * n + d)
+        new = np.stack([a * n + e, c * n + b], 1)
+        known = held[np.minimum(np.searchsorted(held, new), m - 1)] == new
+        _, inverse, times = np.unique(new, return_inverse=True, return_counts=True)
+        good = (a != c) & (b != e) & (a != b) & (a != e) & (c != b) & (c != e) & ~known.any(1) & (times[inverse.reshape(new.shape)] == 1).all(1)
+        d[i[good]], d[j[good]] = e[good], b[good]
+    return names[d]
 
 
 def replicates(pairs: DataFrame, seeds: DataFrame, how: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = configuration) -> DataFrame:
     """``null_id, seed, pre, post``: one random graph for each row of ``seeds`` (null_id, seed).
 
     A chain of repairs or swaps is sequential, so replicates are the parallel unit; edges are broadcast, their number
-    is checked.  Larger graphs take ``stub_matching`` instead.
+    is checked.  Larger graphs are the parallel unit themselves: ``large_replicates``.
     """
     spark = pairs.sparkSession
     e = pairs.select("pre", "post").orderBy("pre", "post").limit(TASK_EDGES + 1).toArrow()
     if e.num_rows > TASK_EDGES:
-        raise ValueError(f"more than {TASK_EDGES} edges: use stub_matching")
+        raise ValueError(f"more than {TASK_EDGES} edges: use the large form")
     shared = spark.sparkContext.broadcast((e.column("pre").to_numpy(), e.column("post").to_numpy()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +114,7 @@ def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls:
         raise ValueError(f"more than {BITS} sources")
     e = pairs.select("pre", "post").orderBy("pre", "post").limit(TASK_EDGES + 1).toArrow()
     if e.num_rows > TASK_EDGES:
-        raise ValueError(f"more than {TASK_EDGES} edges: use stub_matching")
+        raise ValueError(f"more than {TASK_EDGES} edges: use the large form")
     shared = pairs.sparkSession.sparkContext.broadcast((e.column("pre").to_numpy(), e.column("post").to_numpy()))
 
     def one(null_id: int, seed: int) -> tuple:
@@ -120,7 +126,10 @@ def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls:
         except RuntimeError:
             return (*head, None, None, *[None] * 8, "failed")
         src, dst = np.searchsorted(names, pre), np.searchsorted(names, new)
-        flags = (bool((src != dst).all()), len(np.unique(src * len(names) + dst)) == len(src), True, bool((np.bincount(dst) == np.bincount(np.searchsorted(names, post))).all()))
+        # both sides are counted: a drawn graph must have as many edges, out of each node and into it
+        degrees = lambda x: np.bincount(np.searchsorted(names, x), minlength=len(names))
+        same = len(new) == len(post)
+        flags = (bool((src != dst).all()), len(np.unique(src * len(names) + dst)) == len(src), same and bool((np.bincount(src, minlength=len(names)) == degrees(pre)).all()), same and bool((np.bincount(dst, minlength=len(names)) == degrees(post)).all()))
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         heads = np.flatnonzero(np.diff(dst, prepend=-1))
@@ -181,3 +190,46 @@ def simplicity(null: DataFrame) -> DataFrame:
     """``n_edges, n_self_loops, n_duplicates`` of a graph."""
     by = null.groupBy("pre", "post").agg(F.count("*").alias("n"))
     return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.coalesce(F.sum(F.when(F.col("pre") == F.col("post"), F.col("n")).otherwise(0)), F.lit(0)).alias("n_self_loops"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+
+
+def large_replicates(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``replicates`` for graphs of any size: each is drawn by ``stub_matching``, one after another."""
+    from ..storage import materialize
+
+    out = pairs.sparkSession.createDataFrame([], "null_id long, seed long, pre long, post long")
+    for r in seeds.select("null_id", "seed").orderBy("null_id").collect():  # jobs
+        one = stub_matching(pairs, r.seed).select(F.lit(r.null_id).cast("long").alias("null_id"), F.lit(r.seed).cast("long").alias("seed"), "pre", "post")
+        out = out.unionByName(materialize(one, "replicate"))
+    return out
+
+
+def large_null_records(pairs: DataFrame, seeds: DataFrame, cases: DataFrame, controls: DataFrame, panel: DataFrame, version: str) -> DataFrame:
+    """``null_records`` for graphs of any size: drawing, verification and scoring of each graph are distributed jobs.
+
+    ``cases`` and ``controls`` are (node), ``panel`` is (pos, node).  Records have the same fields.
+    """
+    from ..storage import materialize
+    from .traverse import panel_cis
+
+    spark = pairs.sparkSession
+    pairs = materialize(pairs.select("pre", "post"), "null-real")
+    targets = materialize(cases.select("node", F.lit(True).alias("case")).unionByName(controls.select("node", F.lit(False).alias("case"))), "null-targets")
+    n_nodes = pairs.select(F.explode(F.array("pre", "post")).alias("node")).distinct().count()
+    sizes = targets.agg(F.count_distinct("node"), F.count_if("case"), F.count_if(~F.col("case"))).first()
+    rows = []
+    for r in seeds.select("null_id", "seed").orderBy("null_id").collect():  # jobs
+        head = (r.null_id, r.seed, version, n_nodes, pairs.count(), *sizes)
+        try:
+            new = materialize(stub_matching(pairs, r.seed), "null-graph")
+        except RuntimeError:
+            rows.append((*head, None, None, *[None] * 8, "failed"))
+            continue
+        simple = simplicity(new).first()
+        off = {x.side for x in degree_differences(pairs, new).select("side").distinct().collect()}
+        flags = (simple.n_self_loops == 0, simple.n_duplicates == 0, "out" not in off, "in" not in off)
+        cis = targets.join(panel_cis(new, targets.select("node").distinct(), panel, n_nodes).select(F.col("target").alias("node"), "cis"), "node")
+        got = {x.case: x.cis for x in cis.groupBy("case").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "cis"))), lambda x: x["cis"]).alias("cis")).collect()}  # the record's own lists
+        lists = [list(got.get(c, [])) for c in (True, False)]
+        medians = [float(np.median(c)) if c else 0.0 for c in lists]
+        rows.append((*head, *lists, *flags, *medians, medians[0] - medians[1], _delta(*map(np.array, lists)), "done" if all(flags) else "failed"))
+    return spark.createDataFrame(rows, RECORD)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import draw, portable_draw
+from ..functions.ordered import draw, global_rank, portable_draw
 from ..storage import materialize
 from . import traverse
-from .stats import top_k
+from .stats import spearman, top_k
 
 CHUNK = 200
 
@@ -69,6 +71,37 @@ def screen(pairs: DataFrame, targets: DataFrame, panel: DataFrame, n_nodes: int,
         traverse.panel_cis(pairs, batch, panel, n_nodes).write.mode("append").parquet(path)
 
 
+def finalists(screened: DataFrame, top: int = 150, anchors: int = 50, salt: str = "anchor") -> DataFrame:
+    """``node, is_anchor``: the ``top`` targets by cis (ties: smaller target), and ``anchors`` of the others, drawn by a portable hash."""
+    best = top_k(screened.select(F.col("target").alias("node"), "cis"), top, "cis", "node").select("node")
+    rest = screened.select(F.col("target").alias("node")).join(best, "node", "left_anti")
+    return best.withColumn("is_anchor", F.lit(False)).unionByName(background_portable(rest, anchors, salt).withColumn("is_anchor", F.lit(True)))
+
+
+def drawn_panel(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """``pos, node``: ``k`` sources without replacement, in drawn order."""
+    few = background(nodes, k, seed)  # a panel
+    return global_rank(few, [draw(F.col("node"), seed).asc(), F.col("node").asc()], "pos").select((F.col("pos") - 1).alias("pos"), "node")
+
+
+def rerank_finalists(pairs: DataFrame, nodes: DataFrame, screened: DataFrame, seeds: tuple[int, ...] = (0, 1), k: int = 32, top: int = 150, anchors: int = 50) -> DataFrame:
+    """``target, cis_mean, cis_std, reach_drop_mean`` of the finalists of a screen, from a panel of ``k`` sources for each seed."""
+    chosen = materialize(finalists(screened, top, anchors).select("node"), "finalists")
+    n, parts = nodes.count(), []
+    for seed in seeds:
+        panel = materialize(drawn_panel(nodes, k, seed), "rerank-panel")
+        parts.append(materialize(traverse.panel_cis(pairs, chosen, panel, n), "rerank"))
+    return rerank(reduce(DataFrame.unionByName, parts))
+
+
+def screen_summary(screened: DataFrame, reranked: DataFrame) -> DataFrame:
+    """``n, cis_median, cis_p90, cis_p99, cis_max, n_reranked, spearman``: the screen's spread, and how well its ranks foretell the rerank's."""
+    q = F.percentile("cis", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    one = screened.agg(F.count("*").alias("n"), q.alias("q"), F.max("cis").alias("cis_max"))
+    both = spearman(screened.select("target", "cis").join(reranked.select("target", "cis_mean"), "target"), "cis", "cis_mean")
+    return one.crossJoin(both.select(F.col("n").alias("n_reranked"), F.col("rho").alias("spearman"))).select("n", F.col("q")[0].alias("cis_median"), F.col("q")[1].alias("cis_p90"), F.col("q")[2].alias("cis_p99"), "cis_max", "n_reranked", "spearman")
+
+
 def rerank(per_seed: DataFrame) -> DataFrame:
     """``target, cis_mean, cis_std, reach_drop_mean`` over seeds of (target, seed, cis, reach_drop)."""
     return per_seed.groupBy("target").agg(F.avg("cis").alias("cis_mean"), F.stddev_samp("cis").alias("cis_std"), F.avg("reach_drop").alias("reach_drop_mean"))

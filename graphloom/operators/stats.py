@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import average_rank, draw, prefix_sums
+from ..functions.ordered import average_rank, draw, global_rank, prefix_sums
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -123,7 +123,8 @@ def permutation_median_test(df: DataFrame, group: Column, value: str, n_perm: in
     A shuffle takes the rows with the smallest hashes of (seed, replicate, row) as its first group: exact group sizes
     by rank within the replicate.  Rows are multiplied by replicates, so give samples, not corpora.
     """
-    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null").withColumn("i", F.monotonically_increasing_id())
+    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null")
+    rows = global_rank(rows, [F.col("g").asc(), F.col("v").asc()], "i")  # the same numbers however the rows are dealt
     return _permuted(rows, n_perm, seed, F.median(F.when(F.col("__g"), F.col("v"))) - F.median(F.when(~F.col("__g"), F.col("v"))))
 
 
@@ -140,7 +141,8 @@ def _permuted(rows: DataFrame, n_perm: int, seed: int, statistic: Column) -> Dat
 
 def sign_flip_test(df: DataFrame, diff: str, n_perm: int = 10_000, seed: int = 123) -> DataFrame:
     """``observed, n_ge, p``: the median of paired differences against random signs; two-sided, (c + 1) / (n_perm + 1)."""
-    rows = df.select(F.col(diff).cast("double").alias("v")).where("v is not null").withColumn("i", F.monotonically_increasing_id())
+    rows = df.select(F.col(diff).cast("double").alias("v")).where("v is not null")
+    rows = global_rank(rows, [F.col("v").asc()], "i")
     reps = df.sparkSession.range(0, n_perm).select(F.col("id").alias("rep"))
     sign = F.when(draw(F.col("i"), F.col("rep"), seed) < 0.5, -1.0).otherwise(1.0)
     stats = reps.crossJoin(F.broadcast(rows)).groupBy("rep").agg(F.median(sign * F.col("v")).alias("s"))
@@ -155,7 +157,7 @@ def ols_permutation(df: DataFrame, y: Column, flag: Column, x: Column, n_perm: i
     The design stays, so a shuffle needs only the sums of y, flag y and x y.
     """
     rows = df.select(y.cast("double").alias("y"), flag.cast("double").alias("f"), x.cast("double").alias("x")).dropna()
-    rows = rows.withColumn("i", F.row_number().over(Window.orderBy("f", "x", "y")))  # a sample
+    rows = global_rank(rows, [F.col(c).asc() for c in ("f", "x", "y")], "i")
     n, sf, sx, sff, sxx, sfx = rows.agg(F.count("*"), F.sum("f"), F.sum("x"), F.sum(F.col("f") ** 2), F.sum(F.col("x") ** 2), F.sum(F.col("f") * F.col("x"))).first()
     det = n * (sff * sxx - sfx**2) - sf * (sf * sxx - sfx * sx) + sx * (sf * sfx - sff * sx)
     c0, c1, c2 = -(sf * sxx - sx * sfx) / det, (n * sxx - sx**2) / det, -(n * sfx - sf * sx) / det  # the flag's row of the inverse
@@ -179,3 +181,19 @@ def jaccard(sets: DataFrame) -> DataFrame:
 
 def top_k(df: DataFrame, k: int, col: str, tie: str, largest: bool = True) -> DataFrame:
     return df.orderBy(F.col(col).desc() if largest else F.col(col).asc(), tie).limit(k)
+
+
+def unpaired(df: DataFrame, group: Column, value: str) -> DataFrame:
+    """``median_case, median_control, median_diff, cliffs_delta, n_case, n_control``: rows where ``group`` is true against those where it is false."""
+    rows = df.select(group.alias("g"), F.col(value).alias("v")).where("g is not null and v is not null")
+    m = rows.agg(F.median(F.when(F.col("g"), F.col("v"))).alias("a"), F.median(F.when(~F.col("g"), F.col("v"))).alias("b"))
+    d = cliffs_delta(rows, F.col("g"), "v")
+    return m.crossJoin(d).select(F.col("a").alias("median_case"), F.col("b").alias("median_control"), (F.col("a") - F.col("b")).alias("median_diff"), F.col("delta").alias("cliffs_delta"), F.col("n1").alias("n_case"), F.col("n2").alias("n_control"))
+
+
+def coverage(df: DataFrame, *columns: str) -> DataFrame:
+    """``field, n, n_annotated, pct``: how many rows have a value, for each column."""
+    n = F.count("*")
+    one = df.agg(n.alias("n"), *[F.count(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    each = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"c{k}").alias("n_annotated")) for k, c in enumerate(columns)])).alias("x"))
+    return each.select("x.field", "n", "x.n_annotated", F.when(F.col("n") > 0, 100.0 * F.col("x.n_annotated") / F.col("n")).alias("pct"))

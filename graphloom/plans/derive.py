@@ -36,17 +36,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collapse(raw_edges(spark, sf_dir))
 
 
-def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that occur at least twice: a sparse graph of many components, 0.05 to 4 % of all pairs, for SQL to follow."""
-    return raw_edges(spark, sf_dir).groupBy("pre", "post").agg(F.count("*").alias("n")).where("n >= 2").select("pre", "post")
-
-
-def small_pairs(spark: SparkSession, sf_dir: str, n: int = 120) -> DataFrame:
-    """A graph of at most ``n`` nodes for SQL to follow: ids modulo ``n``, rows of 49 or more.  Its nodes aren't parts."""
-    e = raw_edges(spark, sf_dir).select((F.col("pre") % n).alias("pre"), (F.col("post") % n).alias("post"), "syn_count")
-    return e.where((F.col("pre") != F.col("post")) & (F.col("syn_count") >= 49)).select("pre", "post").distinct()
-
-
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node, name, nt_type, nt_sign, super_class, size``: one row for each part."""
     label = F.create_map(*[F.lit(x) for kv in LABEL_OF_TYPE.items() for x in kv])[F.col("p_type")]

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.ordered import average_rank, draw, global_rank, portable_draw
+from ..functions.ordered import average_rank, draw, global_rank, portable_draw, portable_hash
 from ..operators import catalogue, enrichment, graph, jobs, matching, nulls, selection, stats, traverse
-from ..sources import tables
+from ..sources import synthetic, tables
 from ..streaming import events as streams
 from . import derive
 from .derive import table
-from .sql import chain
+from .sql import CTES, chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,51 +196,32 @@ def node_metrics(s, d):
     return m.select("node", "nt_type", "nt_sign", "super_class", "in_degree", "out_degree", "total_degree", _r(F.log10(F.col("in_strength") + 1)).alias("log_in_strength"), _r(F.log10(F.col("out_strength") + 1)).alias("log_out_strength"))
 
 
-@query(chain("strong", recursive=True) + """, both_ways AS (SELECT pre AS a, post AS b FROM strong UNION SELECT post, pre FROM strong),
- walk(node, other) AS (SELECT a, a FROM both_ways UNION SELECT w.node, b.b FROM walk w JOIN both_ways b ON w.other = b.a)
- SELECT node, min(other) AS component FROM walk GROUP BY node""")
-def weak_components(s, d):
-    return graph.weak_components(derive.strong_pairs(s, d))
-
-
-def _pagerank_sql(source: str, nodes: str, rounds: int) -> str:
-    return chain(source, "nodes", recursive=True) + f""", universe AS ({nodes}), total AS (SELECT count(*) AS n FROM universe), outs AS (SELECT pre AS node, count(*) AS k FROM {source} GROUP BY pre),
+def _pagerank_ctes(nodes: str, rounds: int) -> str:
+    return chain("pairs", "nodes", recursive=True) + f""", universe AS ({nodes}), total AS (SELECT count(*) AS n FROM universe), outs AS (SELECT pre AS node, count(*) AS k FROM pairs GROUP BY pre),
  pr(it, node, r) AS (
    SELECT 0, node, 1.0::DOUBLE / n FROM universe, total
    UNION ALL
    (WITH prev AS (SELECT p.it, p.node, p.r, k FROM pr p LEFT JOIN outs USING (node) WHERE p.it < {rounds}),
      lost AS (SELECT coalesce(sum(r), 0) AS l FROM prev WHERE k IS NULL),
-     got AS (SELECT e.post AS node, sum(p.r / p.k) AS g FROM prev p JOIN {source} e ON e.pre = p.node GROUP BY e.post)
-    SELECT p.it + 1, p.node, 0.85 * (coalesce(g, 0) + l / n) + 0.15 / n FROM prev p LEFT JOIN got USING (node), lost, total))
- SELECT node, round(r, 9) AS pagerank FROM pr WHERE it = {rounds}"""
+     got AS (SELECT e.post AS node, sum(p.r / p.k) AS g FROM prev p JOIN pairs e ON e.pre = p.node GROUP BY e.post)
+    SELECT p.it + 1, p.node, 0.85 * (coalesce(g, 0) + l / n) + 0.15 / n FROM prev p LEFT JOIN got USING (node), lost, total)),
+ pagerank AS (SELECT node, round(r, 9) AS pagerank FROM pr WHERE it = {rounds})"""
 
 
-@query(_pagerank_sql("pairs", "SELECT node FROM nodes", 10))
-def pagerank_10iter(s, d):
-    return graph.pagerank(_pairs(s, d), derive.nodes(s, d), iterations=10, tolerance=0).withColumn("pagerank", _r("pagerank"))
+def _pagerank_sql(nodes: str, rounds: int) -> str:
+    return _pagerank_ctes(nodes, rounds) + " SELECT node, pagerank FROM pagerank"
 
 
-@query(_pagerank_sql("strong", "SELECT pre AS node FROM strong UNION SELECT post FROM strong", 5))
-def pagerank_dangling(s, d):
-    e = derive.strong_pairs(s, d)
-    return graph.pagerank(e, e.select(F.explode(F.array("pre", "post")).alias("node")), iterations=5, tolerance=0).withColumn("pagerank", _r("pagerank"))
+@query(_pagerank_sql("SELECT node FROM nodes", 10))
+def pagerank_10iter(s, d):
+    return graph.pagerank(_pairs(s, d), derive.nodes(s, d), iterations=10, tolerance=0).withColumn("pagerank", _r("pagerank"))
 
 
-@query(chain("pairs") + ", keep AS (SELECT DISTINCT pre AS node FROM pairs WHERE pre % 5 < 2) SELECT pre, post, syn_count_total FROM pairs WHERE pre IN (SELECT node FROM keep) AND post IN (SELECT node FROM keep)")
+@query(chain("pairs", "nodes") + ", keep AS (SELECT node FROM nodes WHERE nt_type IN ('GABA', 'ACH')) SELECT pre, post, syn_count_total FROM pairs WHERE pre IN (SELECT node FROM keep) AND post IN (SELECT node FROM keep)")
 def induced_subgraph(s, d):
     p = _pairs(s, d).select("pre", "post", "syn_count_total")
-    return graph.induced_subgraph(p, p.where("pre % 5 < 2").select(F.col("pre").alias("node")).distinct())
-
+    return graph.induced_subgraph(p, derive.nodes(s, d).where(F.col("nt_type").isin("GABA", "ACH")))
 
-@query(chain("strong", recursive=True) + """, both_ways AS (SELECT pre AS a, post AS b FROM strong UNION SELECT post, pre FROM strong),
- seeds AS (SELECT DISTINCT pre AS node FROM strong WHERE pre % 10 = 0), ring(node, r) AS (SELECT node, 0 FROM seeds UNION SELECT b, r + 1 FROM ring JOIN both_ways ON a = node WHERE r < 2)
- SELECT node, min(r) AS ring FROM ring GROUP BY node""")
-def k_ring_2(s, d):
-    e = derive.strong_pairs(s, d)
-    return graph.k_ring(e, e.where("pre % 10 = 0").select(F.col("pre").alias("node")), 2)
-
-
-# The SQL of weak_components, pagerank_dangling and k_ring_2 is that of the pairs that occur twice; these take the whole pair graph.
 
 @query(chain("pairs", recursive=True) + """, both_ways AS (SELECT pre AS a, post AS b FROM pairs UNION SELECT post, pre FROM pairs),
  least_of(it, node, c, moved) AS (
@@ -249,31 +230,16 @@ def k_ring_2(s, d):
    (WITH prev AS (SELECT * FROM least_of), got AS (SELECT e.a AS node, min(p.c) AS g FROM prev p JOIN both_ways e ON e.b = p.node GROUP BY e.a)
     SELECT p.it + 1, p.node, least(p.c, g), g < p.c FROM prev p JOIN got USING (node) WHERE (SELECT bool_or(moved) FROM prev)))
  SELECT node, min(c) AS component FROM least_of GROUP BY node""")
-def weak_components_whole(s, d):
+def weak_components(s, d):
     return graph.weak_components(_pairs(s, d))
 
 
-@query(_pagerank_sql("pairs", "SELECT pre AS node FROM pairs UNION SELECT post FROM pairs", 5))
-def pagerank_dangling_whole(s, d):
+@query(_pagerank_sql("SELECT pre AS node FROM pairs UNION SELECT post FROM pairs", 5))
+def pagerank_dangling(s, d):
     e = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
     return graph.pagerank(e, e.select(F.explode(F.array("pre", "post")).alias("node")), iterations=5, tolerance=0).withColumn("pagerank", _r("pagerank"))
 
 
-@query()
-def k_ring_2_whole(s, d):
-    """Two rings around the candidates: the union of the top 1 % by degree, strength and PageRank."""
-    return graph.k_ring(selection.materialize(_pairs(s, d).select("pre", "post"), "pairs"), selection.candidates(_central(s, d)), 2)
-
-
-@query(chain("pairs", "nodes") + """, near AS (SELECT pre AS t, post AS u FROM pairs WHERE pre % 40 = 0 UNION SELECT post, pre FROM pairs WHERE post % 40 = 0),
- kinds AS (SELECT CASE WHEN nt_type IS NULL THEN 'unknown' WHEN nt_type IN ('GABA', 'ACH', 'GLUT') THEN nt_type ELSE 'other' END AS kind FROM near LEFT JOIN (SELECT node AS u, nt_type FROM nodes WHERE node % 11 <> 0) USING (u))
- SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM kinds), 12) AS share FROM kinds GROUP BY kind""")
-def neighbourhood_composition(s, d):
-    n = derive.nodes(s, d)
-    known = n.where("node % 11 <> 0").select("node", F.col("nt_type").alias("label"))
-    return graph.neighbourhood_composition(_pairs(s, d), n.where("node % 40 = 0").select("node"), known, ["GABA", "ACH", "GLUT"]).withColumn("share", _r("share", 12))
-
-
 @query(chain("raw_edges") + """, by_region AS (SELECT pre AS node, neuropil, CAST(sum(syn_count) AS BIGINT) AS n FROM raw_edges GROUP BY ALL),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, neuropil) AS r FROM by_region)
  SELECT node, string_agg(neuropil || ':' || n, '; ' ORDER BY r) AS regions FROM ranked WHERE r <= 3 GROUP BY node""")
@@ -281,100 +247,34 @@ def region_profile_top3(s, d):
     return graph.region_profile(derive.raw_edges(s, d))
 
 
-# --- traversal
-
-_TARGETS, _SOURCES, _DEPTH = 12, 8, 12
-_BFS = chain("pairs", recursive=True) + f""", deg AS (SELECT node, count(*) AS k FROM (SELECT pre AS node FROM pairs UNION ALL SELECT post FROM pairs) GROUP BY node),
- targets AS (SELECT node AS t FROM (SELECT node FROM deg ORDER BY k DESC, node LIMIT {_TARGETS}) UNION ALL SELECT -1), sources AS (SELECT node AS s FROM deg ORDER BY node LIMIT {_SOURCES}),
- bfs(t, s, node, d) AS (SELECT t, s, s, 0 FROM targets, sources WHERE s <> t UNION SELECT b.t, b.s, e.post, b.d + 1 FROM bfs b JOIN pairs e ON e.pre = b.node WHERE e.post <> b.t AND b.d < {_DEPTH}),
- dist AS (SELECT t, s, node, min(d) AS d FROM bfs GROUP BY ALL)"""
-
-
-def _panel(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    p = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
-    deg = graph.degrees(p)
-    targets = stats.top_k(deg, _TARGETS, "total_degree", "node").select("node")
-    first = deg.select("node").orderBy("node").limit(_SOURCES)
-    return p, targets, first.select((F.row_number().over(Window.orderBy("node")) - 1).alias("pos"), "node"), deg.count()
-
-
-@query(_BFS + f" SELECT s AS source, node, CAST(d AS INTEGER) AS d FROM dist WHERE t = -1")
-def bfs_distances(s, d):
-    p, targets, sources, _ = _panel(s, d)
-    base = s.range(1).select(F.lit(traverse.BASELINE).cast("long").alias("target"))
-    found = traverse.distances(traverse.bfs_levels(p, traverse.panel(sources), base))
-    return found.join(traverse.panel(sources).withColumnRenamed("node", "source"), ["batch", "bit"]).select("source", "node", "d")
-
-
-@query(_BFS + " SELECT t AS target, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END), 6) AS S, count(*) FILTER (d > 0) AS R FROM dist GROUP BY t")
-def panel_reach_shuffled(s, d):
-    p, targets, sources, _ = _panel(s, d)
-    return traverse.panel_reach(p, targets, traverse.panel(sources), broadcast_edges=0).withColumn("S", _r("S", 6))
-
-
-@query(_BFS + """, sr AS (SELECT t AS target, sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS S, count(*) FILTER (d > 0) AS R FROM dist GROUP BY t), base AS (SELECT S AS s0, R AS r0 FROM sr WHERE target = -1), n AS (SELECT count(*) AS n FROM deg)
- SELECT target, round(1 - S / s0, 9) AS cis, round((r0 - R) / (n * (n - 1)), 12) AS reach_drop, round(s0, 6) AS S_baseline, round(S, 6) AS S_perturbed FROM sr, base, n WHERE target >= 0""")
-def panel_cis(s, d):
-    p, targets, sources, n = _panel(s, d)
-    return _rounded_cis(traverse.panel_cis(p, targets, sources, n))
-
-
-def _rounded_cis(df: DataFrame) -> DataFrame:
-    return df.select("target", _r("cis").alias("cis"), _r("reach_drop", 12).alias("reach_drop"), _r("S_baseline", 6).alias("S_baseline"), _r("S_perturbed", 6).alias("S_perturbed"))
-
-
-_EXACT = chain("small", recursive=True) + """, ids AS (SELECT pre AS node FROM small UNION SELECT post FROM small), targets AS (SELECT node AS t FROM ids WHERE node % 15 = 0 UNION ALL SELECT -1),
- bfs(t, s, node, d) AS (SELECT t, node, node, 0 FROM targets, ids WHERE node <> t UNION SELECT b.t, b.s, e.post, b.d + 1 FROM bfs b JOIN small e ON e.pre = b.node WHERE e.post <> b.t AND b.d < 40),
- dist AS (SELECT t, s, node, min(d) AS d FROM bfs GROUP BY ALL), sr AS (SELECT t AS target, sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS S, count(*) FILTER (d > 0) AS R FROM dist GROUP BY t),
- base AS (SELECT S AS s0, R AS r0 FROM sr WHERE target = -1), n AS (SELECT count(*) AS n FROM ids)"""
-
-
-def _small(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    p = selection.materialize(derive.small_pairs(s, d), "small")
-    ids = p.select(F.explode(F.array("pre", "post")).alias("node")).distinct()
-    return p, ids.where("node % 15 = 0"), ids.select((F.row_number().over(Window.orderBy("node")) - 1).alias("pos"), "node"), ids.count()
-
-
-@query(_EXACT + " SELECT target, round(1 - S / s0, 9) AS cis, round((r0 - R) / (n * (n - 1)), 12) AS reach_drop, round(s0, 6) AS S_baseline, round(S, 6) AS S_perturbed FROM sr, base, n WHERE target >= 0")
-def exact_cis_small(s, d):
-    p, targets, every, n = _small(s, d)
-    return _rounded_cis(traverse.panel_cis(p, targets, every, n, broadcast_edges=0))
-
-
-@query(_EXACT + " SELECT target, round((s0 / (n * (n - 1)) - S / ((n - 1) * (n - 2))) / (s0 / (n * (n - 1))), 9) AS cis_free FROM sr, base, n WHERE target >= 0")
-def free_n_diagnostic(s, d):
-    p, targets, every, n = _small(s, d)
-    return traverse.free_n_cis(traverse.panel_cis(p, targets, every, n), n).withColumn("cis_free", _r("cis_free"))
-
-
-@query(_EXACT + " SELECT round(S / (n * (n - 1)), 9) AS exact, round(S / R, 9) AS sampled_reachable FROM sr, n WHERE target = -1")
-def global_efficiency(s, d):
-    p, targets, every, n = _small(s, d)
-    found = traverse.panel_reach(p, targets.limit(0), traverse.panel(every))
-    return traverse.global_efficiency(found, n).select(_r("efficiency").alias("exact")).crossJoin(traverse.sampled_efficiency(found).select(_r("efficiency").alias("sampled_reachable")))
-
-
 # --- selection
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:
-    deg = graph.degrees(_pairs(s, d), "syn_count_total").join(derive.nodes(s, d).select("node", "nt_type"), "node")
-    return deg.withColumn("strength", F.col("in_strength") + F.col("out_strength"))
+    """Degree, strength, PageRank of ten rounds, and label of each node of the pair graph."""
+    p = selection.materialize(_pairs(s, d), "pairs")
+    deg = graph.degrees(p, "syn_count_total").join(derive.nodes(s, d).select("node", "nt_type"), "node")
+    rank = graph.pagerank(p, derive.nodes(s, d), iterations=10, tolerance=0).withColumn("pagerank", _r("pagerank"))
+    return selection.materialize(deg.withColumn("strength", F.col("in_strength") + F.col("out_strength")).join(rank, "node"), "metrics")
 
 
-def _central(s: SparkSession, d: str) -> DataFrame:
-    """The metrics with PageRank."""
-    return selection.materialize(_metrics(s, d).join(graph.pagerank(_pairs(s, d), derive.nodes(s, d)), "node"), "central")
+_BACKGROUND = 500
+_TOP = "SELECT node FROM metrics, k QUALIFY row_number() OVER (ORDER BY {} DESC, node) <= k"
+_SELECT = _pagerank_ctes("SELECT node FROM nodes", 10) + ", " + CTES["degree"] + f""", metrics AS (SELECT node, total_degree, in_strength + out_strength AS strength, pagerank, nt_type FROM degree JOIN nodes USING (node) JOIN pagerank USING (node)),
+ k AS (SELECT greatest(1, CAST(floor(0.01 * count(*)) AS BIGINT)) AS k FROM metrics), top AS ({" UNION ".join(_TOP.format(c) for c in ("total_degree", "strength", "pagerank"))}),
+ hot AS (SELECT node FROM metrics WHERE nt_type = 'GABA' AND total_degree >= (SELECT quantile_cont(total_degree, 0.9) FROM metrics WHERE nt_type = 'GABA')),
+ random AS (SELECT node FROM metrics ORDER BY CAST('0x' || md5(CAST(node AS VARCHAR) || 'bg')[1:8] AS BIGINT), node LIMIT {_BACKGROUND}),
+ chosen AS (SELECT node FROM top UNION SELECT node FROM hot UNION SELECT node FROM random)"""
 
 
-_SELECT = chain("degree", "nodes") + """, metrics AS (SELECT node, total_degree, in_strength + out_strength AS strength, nt_type FROM degree JOIN nodes USING (node)), k AS (SELECT greatest(1, CAST(floor(0.01 * count(*)) AS BIGINT)) AS k FROM metrics),
- top AS (SELECT node FROM metrics, k QUALIFY row_number() OVER (ORDER BY total_degree DESC, node) <= k UNION SELECT node FROM metrics, k QUALIFY row_number() OVER (ORDER BY strength DESC, node) <= k),
- hot AS (SELECT node FROM metrics WHERE nt_type = 'GABA' AND total_degree >= (SELECT quantile_cont(total_degree, 0.9) FROM metrics WHERE nt_type = 'GABA')),
- random AS (SELECT node FROM metrics ORDER BY CAST('0x' || md5(CAST(node AS VARCHAR) || 'bg')[1:8] AS BIGINT) % 4294967296, node LIMIT 50)"""
+def _chosen(m: DataFrame) -> DataFrame:
+    """All targets: the candidates, the hot nodes of a label, and the background."""
+    every = selection.candidates(m).unionByName(selection.hot_by_label(m, "GABA")).unionByName(selection.background_portable(m, _BACKGROUND, "bg"))
+    return selection.materialize(every.distinct(), "targets")
 
 
 @query(_SELECT + " SELECT node FROM top")
 def candidate_union(s, d):
-    return selection.candidates(_metrics(s, d), columns=("total_degree", "strength"))
+    return selection.candidates(_metrics(s, d))
 
 
 @query(_SELECT + " SELECT node FROM hot")
@@ -384,64 +284,65 @@ def label_hot_p90(s, d):
 
 @query(_SELECT + " SELECT node FROM random")
 def background_hash(s, d):
-    return selection.background_portable(_metrics(s, d), 50, "bg")
+    return selection.background_portable(_metrics(s, d), _BACKGROUND, "bg")
 
 
 @query(_SELECT + """ SELECT (SELECT count(*) FROM top) AS n_union, (SELECT count(*) FROM hot) AS n_hot, (SELECT count(*) FROM hot WHERE node NOT IN (SELECT node FROM top)) AS n_hot_new, (SELECT count(*) FROM random) AS n_background,
- (SELECT count(*) FROM (SELECT node FROM top UNION SELECT node FROM hot UNION SELECT node FROM random)) AS n_targets""")
+ (SELECT count(*) FROM chosen) AS n_targets""")
 def target_manifest(s, d):
-    m = selection.materialize(_metrics(s, d), "metrics")
-    return selection.target_manifest(selection.candidates(m, columns=("total_degree", "strength")), selection.hot_by_label(m, "GABA"), selection.background_portable(m, 50, "bg"))
-
-
-@query(chain("raw_edges") + """, per_seed AS (SELECT pre AS target, syn_count % 4 AS seed, sum(syn_count) / 1000.0 AS cis FROM raw_edges GROUP BY ALL)
- SELECT target, round(avg(cis), 9) AS cis_mean, round(stddev_samp(cis), 9) AS cis_std, round(avg(cis * 2), 9) AS reach_drop_mean FROM per_seed GROUP BY target""")
-def rerank_mean_sd(s, d):
-    e = derive.raw_edges(s, d).groupBy(F.col("pre").alias("target"), (F.col("syn_count") % 4).alias("seed")).agg((F.sum("syn_count") / 1000.0).alias("cis"))
-    return selection.rerank(e.withColumn("reach_drop", F.col("cis") * 2)).select("target", *[_r(c).alias(c) for c in ("cis_mean", "cis_std", "reach_drop_mean")])
-
-
-@query(chain("degree", "nodes") + """ SELECT n.node, n.size / 50.0 AS cis, n.nt_type, coalesce(d.total_degree, 0) AS total_degree, CASE WHEN n.node % 4 = 0 THEN n.size / 25.0 END AS cis_mean, n.node % 4 = 0 AS is_finalist, n.node % 9 = 0 AS in_background
- FROM nodes n LEFT JOIN degree d USING (node) WHERE n.node % 3 = 0""")
-def annotate_screen(s, d):
-    n = derive.nodes(s, d)
-    screened = n.where("node % 3 = 0").select(F.col("node").alias("target"), (F.col("size") / 50.0).alias("cis"))
-    reranked = n.where("node % 4 = 0").select(F.col("node").alias("target"), (F.col("size") / 25.0).alias("cis_mean"))
-    out = selection.annotate(screened, n.select("node", "nt_type"), graph.degrees(_pairs(s, d)), reranked, n.where("node % 9 = 0"))
-    return out.select("node", "cis", "nt_type", "total_degree", "cis_mean", "is_finalist", "in_background")
+    m = _metrics(s, d)
+    return selection.target_manifest(selection.candidates(m), selection.hot_by_label(m, "GABA"), selection.background_portable(m, _BACKGROUND, "bg"))
 
 
-# The SQL of candidate_union and target_manifest has no PageRank, that of the traversals a few targets and sources; these take the whole sets.
+@query(_SELECT + """, both_ways AS (SELECT pre AS a, post AS b FROM pairs UNION SELECT post, pre FROM pairs), one AS (SELECT node, 0 AS r FROM top UNION ALL SELECT b, 1 FROM top JOIN both_ways ON a = node), near AS (SELECT node, min(r) AS r FROM one GROUP BY node),
+ two AS (SELECT node, r FROM near UNION ALL SELECT b, 2 FROM near JOIN both_ways ON a = node WHERE r = 1) SELECT node, CAST(min(r) AS INTEGER) AS ring FROM two GROUP BY node""")
+def k_ring_2(s, d):
+    """Two rings around the candidates."""
+    return graph.k_ring(selection.materialize(_pairs(s, d).select("pre", "post"), "pairs"), selection.candidates(_metrics(s, d)), 2)
 
-@query()
-def candidate_union_whole(s, d):
-    return selection.candidates(_central(s, d))
 
+@query(_SELECT + """, both_ways AS (SELECT pre AS a, post AS b FROM pairs UNION SELECT post, pre FROM pairs), ring AS (SELECT node FROM hot UNION SELECT b FROM hot JOIN both_ways ON a = node),
+ others AS (SELECT a AS node FROM both_ways WHERE a NOT IN (SELECT node FROM ring) GROUP BY a ORDER BY CAST('0x' || md5(CAST(a AS VARCHAR) || 'background')[1:8] AS BIGINT), a LIMIT 100), kept AS (SELECT node FROM ring UNION ALL SELECT node FROM others)
+ SELECT pre, post FROM pairs WHERE pre IN (SELECT node FROM kept) AND post IN (SELECT node FROM kept)""")
+def neighbourhood_subgraph(s, d):
+    """The pairs among the hot nodes, their neighbours and a drawn background."""
+    p = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
+    return graph.neighbourhood(p, selection.hot_by_label(_metrics(s, d), "GABA"), 1, 100)[1]
 
-_BACKGROUND = 500
 
+@query(_SELECT + """, near AS (SELECT pre AS t, post AS u FROM pairs WHERE pre IN (SELECT node FROM chosen) UNION SELECT post, pre FROM pairs WHERE post IN (SELECT node FROM chosen)),
+ kinds AS (SELECT CASE WHEN nt_type IS NULL THEN 'unknown' WHEN nt_type IN ('GABA', 'ACH', 'GLUT') THEN nt_type ELSE 'other' END AS kind FROM near LEFT JOIN (SELECT node AS u, nt_type FROM nodes) USING (u))
+ SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM kinds), 12) AS share FROM kinds GROUP BY kind""")
+def neighbourhood_composition(s, d):
+    labels_ = derive.nodes(s, d).select("node", F.col("nt_type").alias("label"))
+    return graph.neighbourhood_composition(_pairs(s, d), _chosen(_metrics(s, d)), labels_, ["GABA", "ACH", "GLUT"]).withColumn("share", _r("share", 12))
 
-@query()
-def target_manifest_whole(s, d):
-    m = _central(s, d)
-    return selection.target_manifest(selection.candidates(m), selection.hot_by_label(m, "GABA"), selection.background_portable(m, _BACKGROUND, "bg"))
 
+# --- traversal: all targets, from the panel of a screen or from all nodes
 
-_PANEL = 32
+_PANEL = 8
+_FAR = """(t, s, node, d) USING KEY (t, s, node) AS (SELECT t, s, s, 0 FROM {0}, {1} WHERE s <> t UNION
+  (SELECT b.t, b.s, e.post, any_value(b.d) + 1 FROM {2} b JOIN pairs e ON e.pre = b.node LEFT JOIN recurring.{2} o ON o.t = b.t AND o.s = b.s AND o.node = e.post WHERE e.post <> b.t AND o.node IS NULL GROUP BY b.t, b.s, e.post))"""
+_BFS = _SELECT + f""", undamaged AS (SELECT -1 AS t), targets AS (SELECT node AS t FROM chosen UNION ALL SELECT -1), every AS (SELECT node AS s FROM metrics),
+ sources AS (SELECT s FROM every ORDER BY CAST('0x' || md5(CAST(s AS VARCHAR) || 'panel')[1:8] AS BIGINT), s LIMIT {_PANEL}), n AS (SELECT count(*) AS n FROM metrics), dist{_FAR.format("targets", "sources", "dist")},
+ sr AS (SELECT t AS target, sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS S, count(*) FILTER (d > 0) AS R FROM dist GROUP BY t), base AS (SELECT S AS s0, R AS r0 FROM sr WHERE target = -1)"""
 
 
 def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Pairs; all targets (candidates, hot ones, background); all nodes (pos, node) in a drawn order, of which the first _PANEL are the panel; how many."""
-    m = _central(s, d)
+    """Pairs; all targets; all nodes (pos, node) in a drawn order, of which the first _PANEL are the panel; how many."""
+    m = _metrics(s, d)
     p = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
-    targets = selection.candidates(m).unionByName(selection.hot_by_label(m, "GABA")).unionByName(selection.background_portable(m, _BACKGROUND, "bg")).distinct()
-    every = graph.degrees(p).select("node", draw(F.col("node"), 0).alias("drawn"))
-    every = selection.materialize(global_rank(every, [F.col("drawn"), F.col("node")], "pos").select((F.col("pos") - 1).alias("pos"), "node"), "every")
-    return p, selection.materialize(targets, "targets"), every, every.count()
+    drawn = m.select("node", portable_hash(F.col("node"), "panel").alias("drawn"))
+    every = selection.materialize(global_rank(drawn, [F.col("drawn"), F.col("node")], "pos").select((F.col("pos") - 1).alias("pos"), "node"), "every")
+    return p, _chosen(m), every, every.count()
 
 
-@query()
-def bfs_distances_whole(s, d):
+def _rounded_cis(df: DataFrame) -> DataFrame:
+    return df.select("target", _r("cis").alias("cis"), _r("reach_drop", 12).alias("reach_drop"), _r("S_baseline", 6).alias("S_baseline"), _r("S_perturbed", 6).alias("S_perturbed"))
+
+
+@query(_BFS.replace(_FAR.format("targets", "sources", "dist"), _FAR.format("undamaged", "sources", "dist")) + " SELECT s AS source, node, CAST(d AS INTEGER) AS d FROM dist")
+def bfs_distances(s, d):
     p, _, every, _ = _whole(s, d)
     sources = traverse.panel(every.where(F.col("pos") < _PANEL))
     base = s.range(1).select(F.lit(traverse.BASELINE).cast("long").alias("target"))
@@ -449,37 +350,103 @@ def bfs_distances_whole(s, d):
     return found.join(sources.withColumnRenamed("node", "source"), ["batch", "bit"]).select("source", "node", "d")
 
 
-@query()
-def panel_reach_whole(s, d):
+@query(_BFS + " SELECT target, round(S, 6) AS S, R FROM sr")
+def panel_reach_shuffled(s, d):
     p, targets, every, _ = _whole(s, d)
-    return traverse.panel_reach(p, targets, traverse.panel(every.where(F.col("pos") < _PANEL))).withColumn("S", _r("S", 6))
+    return traverse.panel_reach(p, targets, traverse.panel(every.where(F.col("pos") < _PANEL)), broadcast_edges=0).withColumn("S", _r("S", 6))
 
 
-@query()
-def panel_cis_whole(s, d):
+_CIS = " SELECT target, round(1 - S / s0, 9) AS cis, round((r0 - R) / (n * (n - 1)), 12) AS reach_drop, round(s0, 6) AS S_baseline, round(S, 6) AS S_perturbed FROM sr, base, n WHERE target >= 0"
+
+
+@query(_BFS + _CIS)
+def panel_cis(s, d):
+    return _rounded_cis(_screened(s, d)[1])
+
+
+def _screened(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, targets, every, n = _whole(s, d)
-    return _rounded_cis(traverse.panel_cis(p, targets, every.where(F.col("pos") < _PANEL), n))
+    return p, selection.materialize(traverse.panel_cis(p, targets, every.where(F.col("pos") < _PANEL), n), "screen")
+
+
+_SCREEN = _SELECT + """, screen AS (SELECT node AS target, size / 50.0 AS cis FROM chosen JOIN nodes USING (node)), best AS (SELECT target FROM screen ORDER BY cis DESC, target LIMIT 150),
+ anchors AS (SELECT target FROM screen WHERE target NOT IN (SELECT target FROM best) ORDER BY CAST('0x' || md5(CAST(target AS VARCHAR) || 'anchor')[1:8] AS BIGINT), target LIMIT 50)"""
+
+
+def _sized(s: SparkSession, d: str, m: DataFrame) -> DataFrame:
+    """All targets with a score that stands for the screen's (the part's size), so that SQL can follow quickly."""
+    found = derive.nodes(s, d).join(_chosen(m), "node", "left_semi")
+    return selection.materialize(found.select(F.col("node").alias("target"), (F.col("size") / 50.0).alias("cis")), "screen")
+
+
+@query(_SCREEN + " SELECT target AS node, false AS is_anchor FROM best UNION ALL SELECT target, true FROM anchors")
+def finalists(s, d):
+    return selection.finalists(_sized(s, d, _metrics(s, d)))
+
+
+@query(_SCREEN + " SELECT count(*) AS n, round(median(cis), 9) AS cis_median, round(quantile_cont(cis, 0.9), 9) AS cis_p90, round(quantile_cont(cis, 0.99), 9) AS cis_p99, max(cis) AS cis_max, (SELECT count(*) FROM (FROM best UNION ALL FROM anchors)) AS n_reranked, 1.0::DOUBLE AS spearman FROM screen")
+def screen_spread(s, d):
+    found = _sized(s, d, _metrics(s, d))
+    reranked = found.join(selection.finalists(found).select(F.col("node").alias("target")), "target", "left_semi").select("target", (F.col("cis") * 2).alias("cis_mean"))
+    return selection.screen_summary(found, reranked).select("n", *[_r(c).alias(c) for c in ("cis_median", "cis_p90", "cis_p99")], "cis_max", "n_reranked", _r("spearman").alias("spearman"))
+
+
+@query()
+def screen_and_rerank(s, d):
+    """The screen's spread, and how well its ranks foretell those of the finalists from panels of 32 with two seeds."""
+    p, screened = _screened(s, d)
+    nodes_ = p.select(F.explode(F.array("pre", "post")).alias("node")).distinct()
+    return selection.screen_summary(screened, selection.rerank_finalists(p, selection.materialize(nodes_, "nodes"), screened))
 
 
 @query()
-def exact_cis_whole(s, d):
+def exact_cis(s, d):
     p, targets, every, n = _whole(s, d)
     return _rounded_cis(traverse.panel_cis(p, targets, every, n))
 
 
 @query()
-def free_n_diagnostic_whole(s, d):
+def free_n_diagnostic(s, d):
     p, targets, every, n = _whole(s, d)
     return traverse.free_n_cis(traverse.panel_cis(p, targets, every, n), n).withColumn("cis_free", _r("cis_free"))
 
 
-@query()
-def global_efficiency_whole(s, d):
+_ALL_PAIRS = chain("pairs", recursive=True) + f""", undamaged AS (SELECT -1 AS t), every AS (SELECT pre AS s FROM pairs UNION SELECT post FROM pairs), n AS (SELECT count(*) AS n FROM every), dist{_FAR.format("undamaged", "every", "dist")},
+ sr AS (SELECT sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS S, count(*) FILTER (d > 0) AS R FROM dist)"""
+
+
+@query(_ALL_PAIRS + " SELECT round(S / (n * (n - 1)), 9) AS exact, round(S / R, 9) AS sampled_reachable FROM sr, n")
+def global_efficiency(s, d):
     p, targets, every, n = _whole(s, d)
     found = selection.materialize(traverse.panel_reach(p, targets.limit(0), traverse.panel(every)), "reach")
     return traverse.global_efficiency(found, n).select(_r("efficiency").alias("exact")).crossJoin(traverse.sampled_efficiency(found).select(_r("efficiency").alias("sampled_reachable")))
 
 
+@query(_ALL_PAIRS + " SELECT round(S / (n * (n - 1)), 9) AS efficiency FROM sr, n")
+def efficiency_drawn(s, d):
+    """Exact up to 5,000 nodes, from 1,000 drawn sources beyond; the SQL is that of small graphs."""
+    p = selection.materialize(_pairs(s, d).select("pre", "post"), "pairs")
+    return traverse.efficiency(p, p.select(F.explode(F.array("pre", "post")).alias("node")).distinct()).withColumn("efficiency", _r("efficiency"))
+
+
+@query(chain("raw_edges") + """, per_seed AS (SELECT pre AS target, syn_count % 4 AS seed, sum(syn_count) / 1000.0 AS cis FROM raw_edges GROUP BY ALL)
+ SELECT target, round(avg(cis), 9) AS cis_mean, round(stddev_samp(cis), 9) AS cis_std, round(avg(cis * 2), 9) AS reach_drop_mean FROM per_seed GROUP BY target""")
+def rerank_mean_sd(s, d):
+    e = derive.raw_edges(s, d).groupBy(F.col("pre").alias("target"), (F.col("syn_count") % 4).alias("seed")).agg((F.sum("syn_count") / 1000.0).alias("cis"))
+    return selection.rerank(e.withColumn("reach_drop", F.col("cis") * 2)).select("target", *[_r(c).alias(c) for c in ("cis_mean", "cis_std", "reach_drop_mean")])
+
+
+@query(_SCREEN + """, final AS (SELECT target FROM best UNION ALL SELECT target FROM anchors)
+ SELECT n.node, cis, n.nt_type, coalesce(d.total_degree, 0) AS total_degree, CASE WHEN n.node IN (SELECT target FROM final) THEN cis * 2 END AS cis_mean, n.node IN (SELECT target FROM final) AS is_finalist, n.node IN (SELECT node FROM random) AS in_background
+ FROM screen JOIN nodes n ON n.node = target LEFT JOIN degree d USING (node)""")
+def annotate_screen(s, d):
+    m = _metrics(s, d)
+    screened = _sized(s, d, m)
+    reranked = screened.join(selection.finalists(screened).select(F.col("node").alias("target")), "target", "left_semi").select("target", (F.col("cis") * 2).alias("cis_mean"))
+    out = selection.annotate(screened, derive.nodes(s, d).select("node", "nt_type"), graph.degrees(_pairs(s, d)), reranked, selection.background_portable(m, _BACKGROUND, "bg"))
+    return out.select("node", "cis", "nt_type", "total_degree", "cis_mean", "is_finalist", "in_background")
+
+
 # --- range joins, matching, peers
 
 _POP = chain("population")
@@ -503,9 +470,43 @@ def nearest_degree_peer(s, d):
     return matching.nearest_peer(*_sides(s, d)).select("id", "degree", "other", "other_degree")
 
 
-@query()
+@query(_NEAR + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other_degree, other) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM near)
+ SELECT id, degree, other, other_degree FROM numbered WHERE k = CAST('0x' || md5(CAST(id AS VARCHAR) || 'match')[1:8] AS BIGINT) % n""")
 def random_match(s, d):
-    return matching.random_match(*_sides(s, d), seed=7).select("id", "degree", "other", "other_degree")
+    return matching.random_match(*_sides(s, d), salt="match")
+
+
+@query(_NEAR + """, one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(other_degree - degree), other) = 1)
+ SELECT o.id, other, round(a.value - b.value, 9) AS diff, round(log10((a.value + 1e-7) / (b.value + 1e-7)), 9) AS log_ratio FROM one o JOIN population a ON a.id = o.id JOIN population b ON b.id = o.other""")
+def paired_log_ratio(s, d):
+    scores = _population(s, d).select("id", F.col("value").alias("score"))
+    return matching.paired(nearest_degree_peer(s, d), scores).select("id", "other", _r("diff").alias("diff"), _r("log_ratio").alias("log_ratio"))
+
+
+_MERGED = "CASE WHEN label IN ('GABA', 'GLUT') THEN 'INH_CAND' ELSE label END"
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    return selection.materialize(_population(s, d).withColumn("label", matching.merged_labels(F.col("label"), ("GABA", "GLUT"), "INH_CAND")), "merged")
+
+
+@query(_POP + f""", m AS (SELECT {_MERGED} AS l, value FROM population), g AS (SELECT value AS v FROM m WHERE l = 'INH_CAND'), c AS (SELECT value AS v FROM m WHERE l = 'ACH'),
+ u AS (SELECT sum(CASE WHEN g.v > c.v THEN 1.0 WHEN g.v = c.v THEN 0.5 ELSE 0 END) AS u FROM g, c), n AS (SELECT (SELECT count(*) FROM g) AS n_case, (SELECT count(*) FROM c) AS n_control, (SELECT median(v) FROM g) AS a, (SELECT median(v) FROM c) AS b)
+ SELECT round(a, 9) AS median_case, round(b, 9) AS median_control, round(a - b, 9) AS median_diff, round(2 * u / (n_case * n_control) - 1, 9) AS cliffs_delta, n_case, n_control FROM u, n""")
+def merged_label_unpaired(s, d):
+    p = _merged(s, d).where(F.col("label").isin("INH_CAND", "ACH"))
+    out = stats.unpaired(p, F.col("label") == "INH_CAND", "value")
+    return out.select(*[_r(c).alias(c) for c in ("median_case", "median_control", "median_diff", "cliffs_delta")], "n_case", "n_control")
+
+
+@query()
+def merged_label_sensitivity(s, d):
+    """The matched comparison redone with two labels as one: greedy pairs, their Wilcoxon sums and the sign-flip test."""
+    p = _merged(s, d)
+    m = selection.materialize(matching.greedy_match_by(p, F.col("label") == "INH_CAND", F.col("label") == "ACH"), "merged-pairs")
+    both = selection.materialize(matching.paired(m, p.select("id", F.col("value").alias("score"))).withColumn("zero", F.lit(0.0)), "merged-diffs")
+    w = stats.wilcoxon(both, "diff", "zero").select(F.col("n").alias("n_pairs"), "w")
+    return w.crossJoin(stats.sign_flip_test(both, "diff"))
 
 
 @query()
@@ -524,9 +525,10 @@ def greedy_match_invariants(s, d):
 
 
 _W = "log10(1.1) + 1e-12"
-_PEERS = _POP + f""", top AS (SELECT id FROM population ORDER BY value DESC, id LIMIT 50), inside AS (
- SELECT a.id, a.value AS own, b.id AS peer, b.value FROM population a JOIN population b ON abs(log10(b.degree + 1.0) - log10(a.degree + 1.0)) <= {_W} WHERE a.id IN (SELECT id FROM top)),
- pools AS (SELECT id, count(*) AS peer_pool_n, avg(CAST(value >= own AS INT)) AS emp_p, median(value) AS peer_median, any_value(own) AS own FROM inside WHERE id <> peer GROUP BY id)"""
+_PEERS = _POP + f""", top AS (SELECT id FROM population ORDER BY value DESC, id LIMIT 50), ranked AS (SELECT *, row_number() OVER (ORDER BY degree, id) AS r FROM population), inside AS (
+ SELECT a.id, a.value AS own, b.id AS peer, b.value FROM population a JOIN population b ON abs(log10(b.degree + 1.0) - log10(a.degree + 1.0)) <= {_W} AND a.id <> b.id WHERE a.id IN (SELECT id FROM top)),
+ lonely AS (SELECT a.id, a.value AS own, b.id AS peer, b.value FROM ranked a JOIN ranked b ON b.r BETWEEN a.r - 50 AND a.r + 49 AND a.id <> b.id WHERE a.id IN (SELECT id FROM top) AND a.id NOT IN (SELECT id FROM inside)),
+ pools AS (SELECT id, count(*) AS peer_pool_n, avg(CAST(value >= own AS INT)) AS emp_p, median(value) AS peer_median, any_value(own) AS own FROM (FROM inside UNION ALL FROM lonely) GROUP BY id)"""
 
 
 @query(_PEERS + " SELECT id, peer_pool_n, round(emp_p, 9) AS emp_p, round(peer_median, 9) AS peer_median, round(own / peer_median, 9) AS excess_ratio FROM pools")
@@ -542,7 +544,7 @@ def _exceedance(s: SparkSession, d: str) -> DataFrame:
 @query()
 def peer_exceedance_monte_carlo(s, d):
     p = selection.materialize(_population(s, d), "population")
-    return matching.monte_carlo_exceedance(p.select("id", "degree", "value"), stats.top_k(p, 50, "value", "id"), draws=500)
+    return matching.monte_carlo_exceedance(p.select("id", "degree", "value"), stats.top_k(p, 50, "value", "id"))
 
 
 # --- statistics
@@ -633,19 +635,34 @@ def null_zscore(s, d):
 @query()
 def permutation_median(s, d):
     p = _population(s, d).where(F.col("label").isin("GABA", "ACH"))
-    return stats.permutation_median_test(p, F.col("label") == "GABA", "value", 200, 9)
+    return stats.permutation_median_test(p, F.col("label") == "GABA", "value", 10_000, 9)
 
 
 @query()
 def sign_flip(s, d):
     m = greedy_match(s, d).withColumn("diff", F.col("degree") - F.col("other_degree"))
-    return stats.sign_flip_test(m, "diff", 500)
+    return stats.sign_flip_test(m, "diff")
 
 
 @query()
 def ols_permutation(s, d):
     p = _population(s, d).where(F.col("label").isin("GABA", "ACH"))
-    return stats.ols_permutation(p, F.log10(F.col("value") + 1e-7), (F.col("label") == "GABA").cast("int"), F.log10(F.col("degree") + 1.0), 100)
+    return stats.ols_permutation(p, F.log10(F.col("value") + 1e-7), (F.col("label") == "GABA").cast("int"), F.log10(F.col("degree") + 1.0))
+
+
+@query(_POP + """, g AS (SELECT value AS v FROM population WHERE label = 'GABA'), c AS (SELECT value AS v FROM population WHERE label = 'ACH'),
+ u AS (SELECT sum(CASE WHEN g.v > c.v THEN 1.0 WHEN g.v = c.v THEN 0.5 ELSE 0 END) AS u FROM g, c), n AS (SELECT (SELECT count(*) FROM g) AS n_case, (SELECT count(*) FROM c) AS n_control, (SELECT median(v) FROM g) AS a, (SELECT median(v) FROM c) AS b)
+ SELECT round(a, 9) AS median_case, round(b, 9) AS median_control, round(a - b, 9) AS median_diff, round(2 * u / (n_case * n_control) - 1, 9) AS cliffs_delta, n_case, n_control FROM u, n""")
+def unpaired_statistic(s, d):
+    p = _population(s, d).where(F.col("label").isin("GABA", "ACH"))
+    out = stats.unpaired(p, F.col("label") == "GABA", "value")
+    return out.select(*[_r(c).alias(c) for c in ("median_case", "median_control", "median_diff", "cliffs_delta")], "n_case", "n_control")
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(text) AS a, count(lang) AS b, count(source) AS c FROM documents) SELECT 'text' AS field, n, a AS n_annotated, round(100.0 * a / n, 9) AS pct FROM n UNION ALL SELECT 'lang', n, b, round(100.0 * b / n, 9) FROM n
+ UNION ALL SELECT 'source', n, c, round(100.0 * c / n, 9) FROM n""")
+def annotation_coverage(s, d):
+    return stats.coverage(table(s, d, "documents"), "text", "lang", "source").withColumn("pct", _r("pct"))
 
 
 _TOPS = _POP + """, t AS (SELECT id, 'd' AS tag FROM (SELECT id FROM population ORDER BY degree DESC, id LIMIT 100) UNION ALL SELECT id, 'i' FROM (SELECT id FROM population ORDER BY in_degree DESC, id LIMIT 100)
@@ -706,13 +723,24 @@ def enrichment_sweep(s, d):
     return enrichment.sweep(p, [25, 50, 100], "GABA").select("k", "observed", _r("expected").alias("expected"), _r("enrichment").alias("enrichment"))
 
 
+@query(_TOP100 + """, b AS (SELECT super_class, count(*) AS tested_count FROM population GROUP BY 1), t AS (SELECT super_class, count(*) AS observed FROM top GROUP BY 1)
+ SELECT b.super_class AS label, coalesce(observed, 0) AS observed, tested_count, round(100 * tested_count / (SELECT count(*) FROM population), 9) AS expected, true AS z_follows, true AS p_in_range FROM b LEFT JOIN t USING (super_class)""")
+def enrichment_by_class(s, d):
+    """Monte-Carlo z and p of each class: SQL has the counts and expectations, and that z has the sign of what was observed beyond."""
+    p = selection.materialize(_population(s, d), "population")
+    out = enrichment.by_class(p.select("id", F.col("super_class").alias("label")), _top(p))
+    beyond = F.col("observed") - F.col("expected")
+    follows = (F.abs(F.col("z") * F.col("sd") - beyond) <= 6 * F.col("sd") / 100).alias("z_follows")  # the mean of 10,000 draws
+    return out.select("label", "observed", "tested_count", _r("expected").alias("expected"), follows, F.col("p").between(1 / 10_001, 1.0).alias("p_in_range"))
+
+
 @query()
 def enrichment_monte_carlo(s, d):
     p = selection.materialize(_population(s, d), "population")
     top = selection.materialize(_top(p, 50), "top")
     seen = top.where("label = 'GABA'").count()
-    a = enrichment.monte_carlo_uniform(p, 50, "GABA", seen, 2_000).withColumn("control", F.lit("uniform"))
-    return a.unionByName(enrichment.monte_carlo_matched(p, top, "GABA", 2_000).withColumn("control", F.lit("matched")))
+    a = enrichment.monte_carlo_uniform(p, 50, "GABA", seen).withColumn("control", F.lit("uniform"))
+    return a.unionByName(enrichment.monte_carlo_matched(p, top, "GABA").withColumn("control", F.lit("matched")))
 
 
 # --- catalogue
@@ -725,7 +753,7 @@ _V1 = _POP + """, line AS (SELECT regr_slope(log10(value + 1e-7), log10(degree +
 
 def _catalogue_v1(s: SparkSession, d: str) -> DataFrame:
     p = stats.ols_excess(_population(s, d), F.col("label").isin("GABA", "ACH"), F.log10(F.col("value") + 1e-7), F.log10(F.col("degree") + 1.0))
-    p = p.withColumn("rank", catalogue.descending_rank(p, "value")).withColumn("delta", F.when((F.col("label") == "GABA") & (F.col("id") % 2 == 0), F.col("value") - 48))
+    p = catalogue.descending_rank(p, "value").withColumn("delta", F.when((F.col("label") == "GABA") & (F.col("id") % 2 == 0), F.col("value") - 48))
     # these values spread less than the scores that the threshold is meant for
     return p.select("id", "rank", catalogue.class_v1(F.col("rank"), F.col("excess") + (catalogue.EXCESS - 0.05), F.col("label"), F.col("delta")).alias("class_label"))
 
@@ -814,7 +842,13 @@ def config_null_no_dups(s, d):
 
 @query(_DEGREES)
 def maslov_sneppen_check(s, d):
-    return _null_degrees(_null(s, d, lambda a, b, seed: nulls.two_swaps(a, b, seed, 2))[1])
+    return _null_degrees(_null(s, d, lambda a, b, seed: nulls.two_swaps(a, b, seed))[1])
+
+
+@query(_DEGREES)
+def large_replicates_check(s, d):
+    """Two graphs drawn by joins alone, as for graphs that no task could hold."""
+    return _null_degrees(selection.materialize(nulls.large_replicates(_pairs(s, d), s.createDataFrame([(0, 100), (1, 101)], "null_id long, seed long")), "nulls"))
 
 
 @query(chain("degree") + " SELECT node, in_degree, out_degree FROM degree")
@@ -830,9 +864,10 @@ def null_degree_differences(s, d):
 
 @query("SELECT CAST(i AS BIGINT) AS null_id, CAST(100 + i AS BIGINT) AS seed, true AS ok, 'done' AS status FROM range(4) t(i)")
 def null_worker_contract(s, d):
-    p, targets, panel, n = _panel(s, d)
-    ids = sorted(r.node for r in targets.collect())
-    records = nulls.null_records(p, s.range(4).select(F.col("id").alias("null_id"), (F.col("id") + 100).alias("seed")), ids[::2], ids[1::2], [r.node for r in panel.collect()], "v1")
+    p, targets, every, n = _whole(s, d)
+    ids = sorted(r.node for r in targets.collect())  # the targets of a record are part of it
+    panel = [r.node for r in every.where(F.col("pos") < 4).collect()]
+    records = nulls.null_records(p, s.range(4).select(F.col("id").alias("null_id"), (F.col("id") + 100).alias("seed")), ids[::2], ids[1::2], panel, "v1")
     checked = jobs.record_checks(records, 100, "v1", n, p.count(), len(ids), len(ids[::2]), len(ids[1::2]))
     return checked.select("null_id", "seed", "ok", "status")
 
@@ -907,6 +942,24 @@ def manifest_status(s, d):
     return jobs.status_counts(jobs.reconcile(jobs.mark(m, u, "2024-01-01T00:00:00Z"), s.range(0, 100, 3).withColumnRenamed("id", "null_id")))
 
 
+@query("SELECT CAST(100 AS BIGINT) AS n_jobs, CAST(34 AS BIGINT) AS n_done, CAST(0 AS BIGINT) AS n_failed, CAST(66 AS BIGINT) AS n_open, CAST(0.34 AS DOUBLE) AS share_done, 0 AS most_attempts")
+def manifest_progress(s, d):
+    return jobs.progress(jobs.reconcile(jobs.new_manifest(s, 100, 100), s.range(0, 100, 3).withColumnRenamed("id", "null_id")))
+
+
+@query("SELECT count(*) FILTER (o_totalprice % 2 < 1) AS n_verified, count(*) FILTER (o_totalprice % 2 >= 1) AS n_mismatch, CAST(0 AS BIGINT) AS n_missing FROM orders")
+def verified_counts(s, d):
+    price = F.col("o_totalprice")
+    return catalogue.agreement_counts(table(s, d, "orders"), price, price + F.floor(price % 2))
+
+
+@query("""SELECT 'ring' AS graph, i AS pre, (i + 1) % 50 AS post FROM range(50) t(i) UNION ALL SELECT 'hub', 0, i FROM range(1, 30) t(i) UNION ALL SELECT 'hub', i, 0 FROM range(1, 30) t(i)
+ UNION ALL SELECT 'barbell', a, b FROM range(6) t(a), range(6) u(b) WHERE a <> b UNION ALL SELECT 'barbell', a + 10, b + 10 FROM range(6) t(a), range(6) u(b) WHERE a <> b UNION ALL SELECT 'barbell', i, i + 1 FROM range(5, 10) t(i) UNION ALL SELECT 'barbell', i + 1, i FROM range(5, 10) t(i)""")
+def synthetic_graphs(s, d):
+    named = lambda g, name: g.select(F.lit(name).alias("graph"), "pre", "post")
+    return named(synthetic.ring(s, 50), "ring").unionByName(named(synthetic.hub(s, 30), "hub")).unionByName(named(synthetic.barbell(s, 6, 4), "barbell"))
+
+
 @query(chain("pairs") + " SELECT count(*) AS n, CAST(0.5 AS DOUBLE) AS max_diff, count(*) FILTER (syn_count_total % 10 = 0) AS n_off FROM pairs")
 def value_agreement(s, d):
     p = _pairs(s, d).select(F.concat_ws("-", "pre", "post").alias("k"), F.col("syn_count_total").cast("double").alias("v"))
@@ -937,6 +990,11 @@ def x_rollup(s, d):
     return derive.nodes(s, d).join(graph.degrees(_pairs(s, d)), "node").rollup("nt_type", "super_class").agg(F.count("*").alias("n"), F.sum("total_degree").alias("degree"))
 
 
+@query(chain("nodes", "degree") + " SELECT nt_type, super_class, nt_sign, count(*) AS n, CAST(sum(total_degree) AS BIGINT) AS degree FROM nodes JOIN degree USING (node) GROUP BY CUBE (nt_type, super_class, nt_sign)")
+def x_cube(s, d):
+    return derive.nodes(s, d).join(graph.degrees(_pairs(s, d)), "node").cube("nt_type", "super_class", "nt_sign").agg(F.count("*").alias("n"), F.sum("total_degree").alias("degree"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """The 20 parts with most neighbours, with their labels: scan, join, window, two-level aggregation, top-k."""
     return stats.top_k(graph.degrees(_pairs(s, d), "syn_count_total").join(derive.nodes(s, d), "node"), 20, "total_degree", "node")

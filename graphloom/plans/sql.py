@@ -29,10 +29,8 @@ nodes AS (SELECT node, name, nt_type, {_SIGN} AS nt_sign, super_class, size FROM
     "population": """population AS (
   SELECT d.node AS id, in_degree, out_degree, total_degree AS degree, round((in_strength + out_strength) / total_degree, 6) AS value, out_strength AS strength, nt_type AS label, super_class
   FROM degree d JOIN nodes n USING (node))""",
-    "strong": "strong AS (SELECT pre, post FROM raw_edges GROUP BY pre, post HAVING count(*) >= 2)",
-    "small": """small AS (SELECT DISTINCT pre % 120 AS pre, post % 120 AS post FROM raw_edges WHERE syn_count >= 49 AND pre % 120 <> post % 120)""",
 }
-NEEDS = {"pairs": ["raw_edges"], "degree": ["pairs"], "population": ["degree", "nodes"], "strong": ["raw_edges"], "small": ["raw_edges"]}
+NEEDS = {"pairs": ["raw_edges"], "degree": ["pairs"], "population": ["degree", "nodes"]}
 
 
 def chain(*names: str, recursive: bool = False) -> str:

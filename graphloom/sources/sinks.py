@@ -43,9 +43,17 @@ def atomic(path: str | Path, data: bytes) -> None:
         raise
 
 
-def report(values: dict[str, Any] | DataFrame, path: str | Path) -> None:
-    """A JSON report of a dict, or of the rows of a small table."""
-    data = [r.asDict(recursive=True) for r in values.limit(100_000).collect()] if isinstance(values, DataFrame) else values
+def _few(df: DataFrame, most: int) -> list:
+    """All rows of a small result; ValueError if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write a table instead")
+    return rows
+
+
+def report(values: dict[str, Any] | DataFrame, path: str | Path, most: int = 100_000) -> None:
+    """A JSON report of a dict, or of the rows of a small table, whose number is checked."""
+    data = [r.asDict(recursive=True) for r in _few(values, most)] if isinstance(values, DataFrame) else values
     atomic(path, json.dumps(data, indent=2, default=str).encode())
 
 
@@ -68,13 +76,13 @@ def append_rows(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
-def latex(df: DataFrame, caption: str, label: str, digits: int = 3) -> str:
-    """A LaTeX table of a small result; special characters are escaped, nulls are dashes."""
+def latex(df: DataFrame, caption: str, label: str, digits: int = 3, most: int = 1000) -> str:
+    """A LaTeX table of a small result, whose number of rows is checked; special characters are escaped, nulls are dashes."""
     def cell(v: Any) -> str:
         text = "--" if v is None else f"{v:.{digits}g}" if isinstance(v, float) else str(v)
         return "".join({"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}.get(c, f"\\{c}" if c in "&%$#_{}" else c) for c in text)
 
-    rows = [" & ".join(map(cell, r)) + r" \\" for r in df.limit(1000).collect()]
+    rows = [" & ".join(map(cell, r)) + r" \\" for r in _few(df, most)]
     head = " & ".join(map(cell, df.columns)) + r" \\"
     return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 

@@ -66,10 +66,14 @@ def attachment_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
-    """JSON files, one record each, from any number of paths or globs; corrupt ones are left out; ``file`` is the source."""
-    r = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")
-    r = r.schema(schema) if schema else r
-    return r.json(list(paths)).withColumn("file", F.input_file_name())
+    """JSON files, one record each, from any number of paths or globs; ``file`` is the source.
+
+    A file that isn't a record is a row too: its text is in ``corrupt``, all else is null.
+    """
+    r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
+    df = (r.schema(f"{schema}, corrupt string") if schema else r).json(list(paths))
+    df = df if "corrupt" in df.columns else df.withColumn("corrupt", F.lit(None).cast("string"))
+    return df.withColumn("file", F.input_file_name())
 
 
 def npz_edges(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:
