@@ -86,7 +86,7 @@ def test_pipeline_against_its_parts(spark, docs):
         if name == "language_id":
             assert len(after) >= 0.99 * len(before)
         elif name == "near_duplicates":
-            assert {*after} == {r.component_id for r in simhash.near_duplicates(now).collect()}
+            assert {*after} == {r.component_id for r in simhash.near_duplicates(now, resembling=True).collect()}
         elif name == "decontamination":
             assert {*after} == {d for d, t in before.items() if not decontam.leaks(t, found)} and len(after) < len(before)
         else:
