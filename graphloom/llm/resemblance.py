@@ -1,10 +1,8 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Sixty-four bits of a fingerprint can't tell that similarity: such texts differ in about ten of them.  So banded minima
-of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.  Equal texts are one.
-Candidates are verified on the whole sets of shingles, in rounds.  In a round, the members of a small band meet pairwise;
-those of a large one meet its first member only, and who isn't similar to that one stays for the next round.  So a
-large group of copies costs a pair for each, no group meets in one task, and no similar pair of a band stays unlinked.
+Banded minima of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.
+Texts that bands connect meet in one task, where each pair under a band is verified on the whole sets of shingles
+unless links found before connect it already.  Equal texts are one.
 """
 
 from __future__ import annotations
@@ -14,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import connected_components, materialize
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -26,9 +24,6 @@ BANDS, IN_BAND = 30, 6
 _DRAW = np.random.default_rng(7)
 _TIMES = _DRAW.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _DRAW.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64)
-#: Members of a band up to which all pairs are verified, and tasks that share the pairs of a larger band's first member.
-SMALL = 8
-SALTS = 16
 #: Shingles that are multiplied at a time.
 CHUNK = 4096
 
@@ -61,60 +56,74 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all similar pairs among ``sets`` that share a band."""
+    up, out, under = list(range(len(sets))), [], {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, h in enumerate(sets):
+        for key in bands(h):
+            under.setdefault(key, []).append(i)
+    unlike: set[tuple[int, int]] = set()
+    for members in under.values():
+        groups: list[list[int]] = []
+        for x in members:
+            stays = []
+            mine = [x]
+            for g in groups:
+                if root(g[0]) != root(x):
+                    for y in g:
+                        if (y, x) not in unlike:
+                            if similar(sets[x], sets[y]):
+                                up[root(x)] = root(y)
+                                out.append((y, x))
+                                break
+                            unlike.add((y, x))
+                if root(g[0]) == root(x):
+                    mine = g + mine if len(g) < len(mine) else mine + g
+                else:
+                    stays.append(g)
+            groups = [*stays, mine]
+    return out
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = [bands(shingles(t.as_py())) for t in b.column("text")]
         yield pa.record_batch([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([b.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["node", "shingles"])
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by root."""
+    now, nodes, sets = None, [], []
 
+    def close() -> pa.RecordBatch:
+        found = verified(sets)
+        return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        pairs = zip(b.column("mine"), b.column("theirs"))
-        good = pa.array([similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in pairs], pa.bool_())
-        yield pa.record_batch([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, salts) that are similar; the pairs of one ``a`` are shared by ``salts`` tasks."""
-    theirs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    firsts = pairs.select("a", "salts").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("mine")), "a")
-    mine = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return theirs.join(mine.hint("merge"), ["a", "salts", "salt"]).select("a", "b", "mine", "theirs").mapInArrow(_similar, "a long, b long")
+        for root, node, text in zip(b.column("root").to_pylist(), b.column("fp").to_pylist(), b.column("text")):
+            if root != now:
+                if len(nodes) > 1:
+                    yield close()
+                now, nodes, sets = root, [], []
+            nodes.append(node)
+            sets.append(shingles(text.as_py()))
+    if len(nodes) > 1:
+        yield close()
 
 
 def links(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``a, b``: links of similar texts of ``docs`` (text), by the names that ``names`` (node, fp) has for hashes of texts.
-
-    Null and wordless texts have no links; texts of fewer than five words are one shingle.
-    """
+    """``a, b``: links of similar texts of ``docs`` (text), by the names that ``names`` (node, fp) has for hashes of texts."""
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
     keyed = materialize(texts.mapInArrow(_keys, "node long, keys array<long>").dropDuplicates(["node"]), "bands")
-    todo = keyed.select("node", F.explode("keys").alias("key"))
-    sets, tested, found = None, None, None
-    while True:
-        sizes = todo.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-        members = materialize(todo.join(sizes, "key"), "band-members")
-        if members.isEmpty():
-            break
-        if sets is None:
-            met = members.select("node").distinct()
-            sets = materialize(texts.join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles binary"), "band-sets")
-        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        both = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")  # SMALL members
-        pairs = both.distinct().withColumn("salts", F.lit(1)).unionByName(many.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().withColumn("salts", F.lit(SALTS)))
-        pairs = pairs.groupBy("a", "b").agg(F.max("salts").alias("salts"))
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "band-pairs")
-        good = materialize(_verified(pairs, sets), "band-links")
-        found = good if found is None else found.unionByName(good)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        known = found.select(F.col("a").alias("first"), F.col("b").alias("node"))
-        todo = many.where("first <> node").join(known, ["first", "node"], "left_anti").select("key", "node")
-    if found is None:
-        return names.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    a, b = (names.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "ab")
-    return found.join(a, "a").join(b, "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
+    one = keyed.select("node", F.explode("keys").alias("key")).withColumn("first", F.min("node").over(Window.partitionBy("key")))
+    loose = connected_components(one.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    named = loose.join(names, "node")
+    met = texts.join(named.hint("merge"), "node").dropDuplicates(["node"]).select("root", "node", "fp", "text")
+    return met.repartition("root").sortWithinPartitions("root", "node").select("root", "fp", "text").mapInArrow(_verify, "a long, b long").where("a <> b")

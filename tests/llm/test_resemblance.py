@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from graphloom.llm import resemblance as R
 from graphloom.llm import simhash as S
 
@@ -45,24 +43,6 @@ def test_near_copies_go_that_differ_in_many_bits(spark):
     assert {r.doc_id for r in S.keep_one_of_each(df, resembling=True).collect()} == {root(k) for k in up}
 
 
-def test_large_bands_are_verified_in_rounds(spark, monkeypatch):
-    """Two clusters under the same bands: whoever isn't similar to the first member meets its like in the next round."""
-    monkeypatch.setattr(R, "SMALL", 2)
-    core = [f"c{k}" for k in range(300)]
-    texts = []
-    for tail in range(3):
-        own = [f"t{tail}x{k}" for k in range(50)]
-        texts += [" ".join(core + own + [f"e{tail}y{n}"]) for n in range(12)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = R.links(df, df.select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("fp"))).collect()
-    assert jaccard(texts[0], texts[12]) < 0.8 < jaccard(texts[0], texts[1]) and all(r.a // 12 == r.b // 12 for r in got)
-    up = {k: k for k in range(36)}
-    for _ in range(36):
-        for r in got:
-            up[r.a] = up[r.b] = min(up[r.a], up[r.b])
-    assert {*up.values()} == {0, 12, 24}
-
-
 def test_awkward_input(spark, awkward, nothing):
     kept = S.keep_one_of_each(awkward, resembling=True)
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 9, 10]
