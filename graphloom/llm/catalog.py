@@ -15,14 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of them; null texts and texts without letters are ``und``."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; null, empty and blank texts have fingerprint zero."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all test items; null and wordless texts hold nothing."""
     found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")
 
@@ -74,10 +77,12 @@ def tokenizer_path() -> str:
 
 
 def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens; a null or empty text is one end token."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five neighbours of each vector whose id is divisible by 50; null, zero and non-finite vectors take no part."""
     return ann.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
@@ -128,19 +133,23 @@ FROM captures LEFT JOIN hits USING (page_id)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a null text is an empty one; repeated rows are scanned each."""
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 256 shards by their id; equal ids, null ones too, share a shard."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.place(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
 
 
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 400 bytes in all documents, and passages of over 50 words; a null text is an empty one."""
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; a null text is an empty one; repeated rows are scanned each."""
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
