@@ -10,27 +10,27 @@ from graphloom.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: null texts, texts without letters, and unsure ones."""
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
+    """One document of each group stays, the one with the smallest doc_id; of rows that share an id, one; those without id stay."""
     return simhash.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; null and empty texts hold none."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; all documents stay."""
+    """Secrets in texts are masked; all documents stay, null and empty texts as they are."""
     return secrets.mask_secrets(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents are cut into pieces and packed into sequences."""
+    """All documents are cut into pieces and packed into sequences; a null or empty text is one end token."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read again.  An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
