@@ -1,8 +1,10 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Banded minima of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.
-Texts that bands connect meet in one task, where each pair under a band is verified on the whole sets of shingles
-unless links found before connect it already.  Equal texts are one.
+Sixty-four bits of a fingerprint can't tell that similarity: such texts differ in about ten of them.  So banded minima
+of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.  Equal texts are one.
+Candidates are verified on the whole sets of shingles, in two steps.  First the members of each band meet its first
+member only, a large band's dealt over several tasks.  Only bands of three or more whose members aren't connected by
+then have their other members compared, in blocks of bounded size, without pairs that are connected already.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
@@ -26,6 +28,9 @@ _TIMES = _DRAW.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64) * np.uint64(2) +
 _PLUS = _DRAW.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64)
 #: Shingles that are multiplied at a time.
 CHUNK = 4096
+#: Texts that meet a band's first member in one task, and shingles of a block.
+STAR = 4096
+BLOCK = 1 << 20
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -56,74 +61,109 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all similar pairs among ``sets`` that share a band."""
-    up, out, under = list(range(len(sets))), [], {}
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for i, h in enumerate(sets):
-        for key in bands(h):
-            under.setdefault(key, []).append(i)
-    unlike: set[tuple[int, int]] = set()
-    for members in under.values():
-        groups: list[list[int]] = []
-        for x in members:
-            stays = []
-            mine = [x]
-            for g in groups:
-                if root(g[0]) != root(x):
-                    for y in g:
-                        if (y, x) not in unlike:
-                            if similar(sets[x], sets[y]):
-                                up[root(x)] = root(y)
-                                out.append((y, x))
-                                break
-                            unlike.add((y, x))
-                if root(g[0]) == root(x):
-                    mine = g + mine if len(g) < len(mine) else mine + g
-                else:
-                    stays.append(g)
-            groups = [*stays, mine]
+def verified(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all similar pairs among ``sets``, by position; those of one root are connected already."""
+    together: dict[int, list[int]] = {}
+    for x, root in enumerate(roots):
+        together.setdefault(root, []).append(x)
+    out: list[tuple[int, int]] = []
+    groups: list[list[int]] = []
+    for new in together.values():
+        stays, grown = [], new
+        for old in groups:
+            link = next(((y, x) for x in new for y in old if similar(sets[x], sets[y])), None)
+            if link:
+                out.append(link)
+                grown = grown + old
+            else:
+                stays.append(old)
+        groups = [*stays, grown]
     return out
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [bands(shingles(t.as_py())) for t in b.column("text")]
-        yield pa.record_batch([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by root."""
-    now, nodes, sets = None, [], []
+        size, keys = [], []
+        for t in b.column("text"):
+            h = shingles(t.as_py())
+            size.append(len(h))
+            keys.append(bands(h))
+        yield pa.record_batch([b.column("node"), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"])
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by a, salt and b, where a null ``b`` is the text of ``a``: the b that are similar to their a."""
+    first = np.empty(0, np.uint64)
+    for rows in batches:
+        a, b = [], []
+        for x, y, text in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), rows.column("text")):
+            h = shingles(text.as_py())
+            if y is None:
+                first = h
+            elif similar(first, h):
+                a.append(x)
+                b.append(y)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, i and j: the links found in each block."""
+    now, nodes, roots, sets = None, [], [], []
 
     def close() -> pa.RecordBatch:
-        found = verified(sets)
+        found = verified(roots, sets)
         return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for root, node, text in zip(b.column("root").to_pylist(), b.column("fp").to_pylist(), b.column("text")):
-            if root != now:
+        columns = (b.column(c).to_pylist() for c in ("key", "i", "j", "node", "root"))
+        for *unit, node, root, text in zip(*columns, b.column("text")):
+            if unit != now:
                 if len(nodes) > 1:
                     yield close()
-                now, nodes, sets = root, [], []
+                now, nodes, roots, sets = unit, [], [], []
             nodes.append(node)
+            roots.append(root)
             sets.append(shingles(text.as_py()))
     if len(nodes) > 1:
         yield close()
 
 
 def links(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``a, b``: links of similar texts of ``docs`` (text), by the names that ``names`` (node, fp) has for hashes of texts."""
+    """``a, b``: links that connect similar texts of ``docs`` (text), by the names that ``names`` (node, fp) has for hashes of texts.
+
+    Null and wordless texts have no links; a text of fewer than five words is one shingle.
+    """
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
-    keyed = materialize(texts.mapInArrow(_keys, "node long, keys array<long>").dropDuplicates(["node"]), "bands")
-    one = keyed.select("node", F.explode("keys").alias("key")).withColumn("first", F.min("node").over(Window.partitionBy("key")))
-    loose = connected_components(one.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    named = loose.join(names, "node")
-    met = texts.join(named.hint("merge"), "node").dropDuplicates(["node"]).select("root", "node", "fp", "text")
-    return met.repartition("root").sortWithinPartitions("root", "node").select("root", "fp", "text").mapInArrow(_verify, "a long, b long").where("a <> b")
+    keyed = materialize(texts.mapInArrow(_keys, "node long, size long, keys array<long>").dropDuplicates(["node"]), "bands")
+    one = keyed.select("node", "size", F.explode("keys").alias("key"))
+    sizes = one.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(one.join(sizes.hint("merge"), "key"), "band-members")
+    met = members.select("node").distinct()
+    whole = materialize(texts.join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "band-texts")
+
+    others = members.where("node <> first")
+    pairs = others.groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.ceil(F.max("n") / STAR).alias("salts"))
+    theirs = whole.withColumnRenamed("node", "b").join(pairs.hint("merge"), "b")
+    theirs = theirs.select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "text")
+    firsts = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
+    mine = whole.withColumnRenamed("node", "a").join(firsts.hint("merge"), "a")
+    mine = mine.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = theirs.unionByName(mine).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+    star = materialize(dealt.select("a", "b", "text").mapInArrow(_star, "a long, b long"), "band-links")
+
+    roots = connected_components(star)
+    loose = others.where("n > 2").join(roots.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    loose = materialize(loose, "band-roots")
+    split = loose.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("size"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("low <> high")
+    split = split.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.ceil(F.max("size") / BLOCK).alias("blocks"))  # equal bands once
+    rest = loose.select("key", "node", "root").join(split.select("key", "blocks").hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or mine <> other")
+    rest = rest.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
+    rest = whole.join(rest.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = rest.select("key", "i", "j", "node", "root", "text").mapInArrow(_blocks, "a long, b long").unionByName(star)
+
+    a, b = (names.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")).hint("merge") for c in "ab")
+    return found.join(a, "a").join(b, "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from graphloom.llm import resemblance as R
 from graphloom.llm import simhash as S
 
@@ -11,6 +14,52 @@ def jaccard(a, b):
     return len(five(a) & five(b)) / len(five(a) | five(b))
 
 
+def components(n, linked):
+    up = [*range(n)]
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in linked:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return [root(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("star, block", [(4096, 1 << 20), (3, 200)])
+def test_chains_of_similar_texts(spark, monkeypatch, star, block):
+    """Each text differs from the one before in a few words, so that ends of a chain aren't similar; tasks of any size."""
+    monkeypatch.setattr(R, "STAR", star)
+    monkeypatch.setattr(R, "BLOCK", block)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(90)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(90), rng.choice([1, 1, 2, 5])):
+                words[at] = f"x{rng.randrange(3000)}"
+    rng.shuffle(texts)
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    names = df.selectExpr("xxhash64(text) node", "node fp")
+    found = [(r.a, r.b) for r in R.links(df, names).collect()]
+    assert set(found) <= {*similar, *((j, i) for i, j in similar)}
+    assert components(len(texts), found) == components(len(texts), similar)
+
+
+def test_verified_connects_all_similar_sets():
+    rng = np.random.default_rng(1)
+    base = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.06, rng.integers(100, 200, 40), base).astype(np.uint64)) for _ in range(60)]
+    similar = [(x, y) for x in range(60) for y in range(x) if R.similar(sets[x], sets[y])]
+    roots = [x if x % 3 else 0 for x in range(60)]
+    seeded = [(0, x) for x in range(0, 60, 3)]
+    assert components(60, seeded + R.verified(roots, sets)) == components(60, seeded + similar)
+
+
 def test_near_copies_go_that_differ_in_many_bits(spark):
     rng = random.Random(5)
     texts = []
