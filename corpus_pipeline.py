@@ -15,8 +15,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows that share an id, one; those without id stay."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group stays, the one with the smallest doc_id; of rows that share an id, one; those without id stay.
+
+    Groups link by fingerprints, and by a five-word Jaccard similarity of 0.8 or more, which fingerprints can't tell.
+    """
+    return simhash.keep_one_of_each(docs, resembling=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
