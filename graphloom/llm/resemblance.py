@@ -139,7 +139,8 @@ def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     sizes = one.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialize(one.join(sizes.hint("merge"), "key"), "band-members")
     met = members.select("node").distinct()
-    whole = materialize(texts.join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "band-texts")
+    # copies go before the shuffle: one text of a group leaves each task
+    whole = materialize(texts.dropDuplicates(["node"]).join(met.hint("merge"), "node", "left_semi"), "band-texts")
 
     others = members.where("node <> first")
     pairs = others.groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.ceil(F.max("n") / STAR).alias("salts"))
