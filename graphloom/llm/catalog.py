@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, packing, pii, repeats, secrets, sharding, simhash, urls
+from . import alignment, ann, decontam, langid, packing, pii, repeats, secrets, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,6 +153,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two public tokenizers in all documents; null, empty and changed texts have no tokens."""
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -164,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_repeat_removal": op9_repeat_removal,
     "op10_pii": op10_pii,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": SQL_DECONTAMINATION,

@@ -42,24 +42,31 @@ class Encoder:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     UNUSUAL = re.compile("[\x1c-\x1f\x85\u0250-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
+        """With ``plain`` the strings of added tokens are text like any other."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.tokenizer.encode_special_tokens = plain
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.avoid = [] if plain else self.added
         self.fast = self._fast(json.loads(self.tokenizer.to_str()))
 
+    @staticmethod
+    def shown() -> dict[str, int]:
+        """The printable stand-ins of byte-level BPE: bytes that print stand for themselves, others follow from 256 on."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
     def _fast(self, spec: dict):
         model, split = spec["model"], spec["pre_tokenizer"] or {}
         vocab, merges = model.get("vocab"), [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
         plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
             return None
-        # the printable stand-ins of byte-level BPE: bytes that print stand for themselves, others follow from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        of = self.shown()
         ranks = {bytes(of[c] for c in w): i for w, i in vocab.items() if w not in self.added}
         ids = [vocab[a + b] for a, b in merges]
         if ids != sorted(ids) or len(ranks) != 256 + len(ids) or any(vocab[c] > ids[0] for c in of):
@@ -69,7 +76,7 @@ class Encoder:
         return tiktoken.Encoding("same", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)) and not any(a in text for a in self.added):
+        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)) and not any(a in text for a in self.avoid):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -79,9 +86,9 @@ class Encoder:
 UNPRINTED = re.compile("[\x1c-\x1f]")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=4)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)
 
 
 def cuts(n: int, capacity: int) -> list[int]:
