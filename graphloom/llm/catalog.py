@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, decontam, langid, packing, pii, repeats, secrets, sharding, simhash, urls
+from . import alignment, ann, decontam, langid, packing, pii, repeats, secrets, sharding, simhash, subtrees, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +160,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op12_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 35 words in all documents; a null text has no words."""
+    return subtrees.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -172,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeat_removal": op9_repeat_removal,
     "op10_pii": op10_pii,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_word_repeats": op12_word_repeats,
 }
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": SQL_DECONTAMINATION,
