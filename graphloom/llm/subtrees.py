@@ -8,7 +8,7 @@ group:
 1. Of the prefixes of ``PREFIXES[0]`` words that start inside a window and end in it, the one with the least hash names
    the window's group: equal windows have equal groups, and neighbouring windows mostly share one.  How often each
    prefix is held is counted.  A prefix that occurs once leads to a leaf: its windows are unique and go no further.  A
-   prefix that more than ``most`` shards report would make too large a group: its windows are named by longer
+   prefix with more than ``most`` different stretches of windows would make too large a group: its windows are named by longer
    prefixes, at last by all their words.
 2. A stretch of windows of one group is sent once by each shard, as text.  A task builds the subtrees of its groups
    from the top down: the suffixes of a node part by the words that follow, up to eight at a time, and a suffix that is
@@ -40,7 +40,7 @@ from .common import materialize, planned_bytes
 WINDOW = 35
 #: Words of the prefixes that name groups, before those of the window's length.
 PREFIXES = (8, 16)
-#: Shards that report a prefix of one group at most.
+#: Distinct stretches of windows in a group, as its shards count them, at most.
 MOST = 20_000
 #: Bytes of (compressed) input in a shard, and in what a task builds subtrees of.
 SHARD_BYTES = 8 << 20
@@ -82,21 +82,35 @@ def least_in(x: np.ndarray, width: int) -> np.ndarray:
 class Texts:
     """The distinct texts of a shard as words, one behind the other."""
 
-    def __init__(self, texts: Counter[bytes], window: int) -> None:
+    def __init__(self, texts: Counter[str], window: int) -> None:
         self.texts, self.window = sorted(texts), window  # in an order that doesn't depend on how rows arrive
         self.times = np.array([texts[t] for t in self.texts], np.int64)
-        words = [t.split() for t in self.texts]  # at ASCII white space
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.words = [w for x in words for w in x]
-        known = pa.array(self.words, pa.binary()).dictionary_encode()
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
-        self.hashes = _mixed(hashes)[known.indices.to_numpy()] if len(self.words) else np.empty(0, np.uint64)
+        split = pc.ascii_split_whitespace(pa.array(self.texts, pa.large_string()))
+        words = split.flatten()
+        real = pc.not_equal(words, "")  # white space at the ends of a text leaves empty strings
+        count = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        self.starts = count[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        self.words = words.filter(real)
+        sizes = np.diff(self.starts)
         # windows that don't cross texts
-        whole = self.sizes >= window
-        n = np.where(whole, self.sizes - window + 1, 0)
-        self.open = np.repeat(self.starts[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        self.weight = np.repeat(self.times, n)
+        n = np.maximum(sizes - window + 1, 0)
+        self.open = np.repeat(self.starts[:-1] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+        # all words with a space behind each, and where they begin
+        self.at = np.concatenate([[0], np.cumsum(pc.binary_length(self.words).to_numpy() + 1)])
+        self.joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(self.words)], pa.int64()), self.words), pa.scalar(" ", pa.large_string()))[0].as_py().encode()
+
+    def hash(self) -> None:
+        known = self.words.dictionary_encode()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
+        self.hashes = _mixed(hashes)[known.indices.to_numpy()]
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words ``a`` to ``b``, exclusive, joined by spaces."""
+        return self.joined[self.at[a] : self.at[b] - 1] if b > a else b""
+
+    def times_of(self, start: np.ndarray) -> np.ndarray:
+        """How often the texts that hold these words stand in the shard."""
+        return self.times[np.searchsorted(self.starts, start, "right") - 1]
 
     def names(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the windows that start ``at``: the place of the prefix that names each one's group, and its hash."""
@@ -139,11 +153,11 @@ def stretches(t: Texts, lengths: tuple[int, ...], told: pa.Table, level: int) ->
     return out, left
 
 
-_KEYS = "key long, shard long, level int, n long"
+_KEYS = "key long, shard long, level int, n long, m long"
 
 
-def _keys(key: np.ndarray, shard: int, level: int, n: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(key.view(np.int64)), pa.array(np.full(len(key), shard)), pa.array(np.full(len(key), level, np.int32)), pa.array(n.astype(np.int64))], names=["key", "shard", "level", "n"])
+def _keys(key: np.ndarray, shard: int, level: int, n: np.ndarray, m: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(key.view(np.int64)), pa.array(np.full(len(key), shard)), pa.array(np.full(len(key), level, np.int32)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], names=["key", "shard", "level", "n", "m"])
 
 
 def _told(most: int):
@@ -153,38 +167,27 @@ def _told(most: int):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        kind, _ = pd.factorize(key)
-        total, shards = np.bincount(kind, n), np.bincount(kind)
-        several = total[kind] > 1
-        sign = np.where(shards[kind] > most, -1, 1)
-        out = table.set_column(3, "n", pa.array(sign)).filter(pa.array(several))
+        kind, _ = pd.factorize(table.column("key").to_numpy())
+        total, stretches_ = (np.bincount(kind, table.column(c).to_numpy())[kind] for c in ("n", "m"))
+        out = table.set_column(3, "n", pa.array(np.where(stretches_ > most, -1, 1))).filter(pa.array(total > 1))
         yield from out.to_batches()
 
     return run
 
 
-class Sent:
-    """Distinct stretches of a shard by group, in an order that every pass finds again."""
-
-    def __init__(self, t: Texts, found: list[tuple[int, np.ndarray, np.ndarray]], hashes: dict[int, np.ndarray]) -> None:
-        self.stretch: dict[tuple[int, bytes], int] = {}
-        self.times: list[int] = []
-        self.keys: list[int] = []
-        self.places: list[list[tuple[int, int]]] = []
-        for level, start, place in found:
-            cut = _runs(place, start)
-            last = np.append(cut[1:], len(start))[: len(cut)] - 1
-            times = t.times[np.searchsorted(t.starts, start[cut], "right") - 1].tolist() if len(cut) else []
-            for a, b, key, times_ in zip(start[cut].tolist(), start[last].tolist(), hashes[level][place[cut]].tolist(), times):
-                text = b" ".join(t.words[a : b + t.window])
-                k = self.stretch.setdefault((level, text), len(self.times))
-                if k == len(self.times):
-                    self.times.append(0)
-                    self.keys.append(key)
-                    self.places.append([])
-                self.times[k] += times_
-                self.places[k].append((a, b))
+def sent(t: Texts, found: list[tuple[int, np.ndarray, np.ndarray]], lengths: tuple[int, ...]) -> list[tuple[int, int, bytes, bytes]]:
+    """Distinct stretches of a shard: the key of the group, how often it stands in the shard, where, and the text."""
+    out: dict[tuple[int, bytes], list] = {}
+    for level, start, place in found:
+        cut = _runs(place, start)
+        first, last = start[cut], start[np.append(cut[1:], len(start))[: len(cut)] - 1]
+        keys = prefix_hashes(t.hashes, lengths[level])[place[cut]].view(np.int64)
+        joined, width = t.joined, t.window
+        for a, i, j, key, n in zip(first.tolist(), t.at[first].tolist(), (t.at[last + width] - 1).tolist(), keys.tolist(), t.times_of(first).tolist()):
+            known = out.setdefault((level, joined[i:j]), [key, 0, []])
+            known[1] += n
+            known[2].append(a)
+    return [(key, n, np.array(places, "<i8").tobytes(), text) for (_, text), (key, n, places) in out.items()]
 
 
 def _deepest(window: int):
@@ -194,21 +197,21 @@ def _deepest(window: int):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        expand = zstandard.ZstdDecompressor().decompress
-        texts = [expand(x.as_py()) for x in table.column("text")]
-        repeated = deep_windows([x.decode() for x in texts], table.column("times").to_numpy(), table.column("key").to_numpy(), window)
+        repeated = deep_windows(table.column("text").cast(pa.large_binary()).cast(pa.large_string()), table.column("times").to_numpy(), table.column("key").to_numpy(), window)
         some = [k for k, m in enumerate(repeated) if m.any()]
-        yield pa.record_batch({"shard": table.column("shard").take(pa.array(some, pa.int64())).combine_chunks(), "id": table.column("id").take(pa.array(some, pa.int64())).combine_chunks(), "mask": pa.array([np.packbits(repeated[k]).tobytes() for k in some], pa.binary())})
+        for k in range(0, len(some), 10_000):
+            part = table.select(["shard", "places"]).take(pa.array(some[k : k + 10_000], pa.int64())).combine_chunks()
+            yield from part.append_column("mask", pa.array([np.packbits(np.append(repeated[i], True)).tobytes() for i in some[k : k + 10_000]], pa.binary())).to_batches()
 
     return run
 
 
-def deep_windows(texts: list[str], times: np.ndarray, group: np.ndarray, window: int) -> list[np.ndarray]:
+def deep_windows(texts: pa.ChunkedArray, times: np.ndarray, group: np.ndarray, window: int) -> list[np.ndarray]:
     """For each stretch which of its windows lie below an internal node of depth ``window``; ``times``: how often it stands there.
 
     From the top down: suffixes of a node part by their next words, RANGE at a time; those that are alone leave.
     """
-    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    split = pc.split_pattern(texts, " ").combine_chunks()
     words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
     sizes = pc.list_value_length(split).to_numpy()
     ends = np.cumsum(sizes)
@@ -235,7 +238,20 @@ def deep_windows(texts: list[str], times: np.ndarray, group: np.ndarray, window:
     return [out[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-_ANSWER = "shard long, id long, mask binary"
+_ANSWER = "shard long, places binary, mask binary"
+
+
+def covered(t: Texts, places: list[bytes], masks: list[bytes]) -> np.ndarray:
+    """Which words the windows cover that the masks name, from each place on.  A mask ends with a bit that is set."""
+    gone = np.zeros(len(t.words) + 1, np.int64)
+    for at, mask in zip(places, masks):
+        hit = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8)))[:-1]
+        edges = np.flatnonzero(np.diff(hit, prepend=-2) > 1)  # windows that follow one another
+        low, high = hit[edges], hit[np.append(edges[1:], len(hit)) - 1] + t.window
+        for a in np.frombuffer(at, "<i8").tolist():
+            gone[a + low] += 1
+            gone[a + high] -= 1
+    return np.cumsum(gone)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES, most: int = MOST, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
@@ -248,78 +264,71 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, .
     null ids and ties need no care; an empty table gives no rows.
     """
     lengths = (*(p for p in prefixes if p < window), window)
-    shards = max(8, planned_bytes(docs) // shard_bytes)
-    text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    shards = int(max(8, planned_bytes(docs) // shard_bytes))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("long").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.record_batch({"shard": b.column("shard"), "doc_id": b.column("doc_id"), "z": pa.array([press(t.as_py()) for t in b.column("text")], pa.binary())})
+            yield pa.record_batch({"shard": b.column("shard"), "doc_id": b.column("doc_id"), "z": pa.array([press(t.as_py().encode()) for t in b.column("text")], pa.binary())})
 
     packed = rows.mapInArrow(pressed, "shard long, doc_id long, z binary")
 
-    def read(table: pa.Table) -> list[bytes]:
+    def read(table: pa.Table) -> list[str]:
         expand = zstandard.ZstdDecompressor().decompress
-        return [expand(z.as_py()) for z in table.column("z")]
+        return [expand(z.as_py()).decode() for z in table.column("z")]
 
     def ask(level: int):
         def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-            """A shard's prefixes of one length: each once, with how often its windows' stretches occur."""
+            """A shard's prefixes of one length: each once, with how many stretches of windows it has, in all and distinct ones."""
             t = Texts(Counter(read(table)), window)
+            t.hash()
             _, left = stretches(t, lengths, told, level)
             place, name = t.names(lengths[level], left)
             cut = _runs(place, left)
             kind, keys = pd.factorize(name[cut])
-            times = t.times[np.searchsorted(t.starts, left[cut], "right") - 1] if len(cut) else np.empty(0, np.int64)
-            return _keys(np.asarray(keys, np.uint64), key[0].as_py(), level, np.bincount(kind, times, minlength=len(keys)))
+            ends = left[np.append(cut[1:], len(left))[: len(cut)] - 1]
+            h = prefix_hashes(t.hashes, window)
+            distinct = ~pd.Series(_mixed(_mixed(name[cut] * _MIX[1] + h[left[cut]]) * _MIX[1] + h[ends])).duplicated().to_numpy() if len(cut) else np.empty(0, bool)
+            n, m = (np.bincount(kind, x, minlength=len(keys)) for x in (t.times_of(left[cut]), distinct))
+            return _keys(np.asarray(keys, np.uint64), key[0].as_py(), level, n, m)
 
         return run
 
-    def sent(t: Texts, told: pa.Table) -> Sent:
-        found, _ = stretches(t, lengths, told, len(lengths))
-        return Sent(t, found, {k: prefix_hashes(t.hashes, n) for k, n in enumerate(lengths)})
-
     def send(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        s = sent(Texts(Counter(read(table)), window), told)
-        press = zstandard.ZstdCompressor(level=1).compress
-        cols = (np.array(s.keys, np.uint64).view(np.int64), np.full(len(s.keys), key[0].as_py()), np.arange(len(s.keys)), np.array(s.times, np.int64))
-        return pa.table([*map(pa.array, cols), pa.array([press(x) for _, x in s.stretch], pa.binary())], names=["key", "shard", "id", "times", "text"])
+        t = Texts(Counter(read(table)), window)
+        t.hash()
+        found, _ = stretches(t, lengths, told, len(lengths))
+        rows = sent(t, found, lengths)
+        cols = list(zip(*rows)) or [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([*(pa.array(c, k) for c, k in zip(cols, types)), pa.array(np.full(len(rows), key[0].as_py()))], names=["key", "times", "places", "text", "shard"])
 
     def finish(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         texts = read(table)
         t = Texts(Counter(texts), window)
-        s = sent(t, told)
-        gone = np.zeros(len(t.words) + 1, np.int64)
-        answers = told.filter(pc.is_valid(told.column("mask")))
-        for k, mask in zip(answers.column("id").to_pylist(), answers.column("mask").to_pylist()):
-            a, b = s.places[k][0]
-            hit = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a + 1))
-            for a, _ in s.places[k]:
-                gone[a + hit] += 1
-                gone[a + hit + window] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
-        by_text: dict[bytes, tuple] = {}
+        gone = covered(t, told.column("places").to_pylist(), told.column("mask").to_pylist())
+        by_text: dict[str, tuple] = {}
         for text, i, j in zip(t.texts, t.starts[:-1].tolist(), t.starts[1:].tolist()):
-            mine = gone[i:j]
-            kept = b" ".join([w for w, g in zip(t.words[i:j], mine.tolist()) if not g]) if mine.any() else b" ".join(t.words[i:j])
-            by_text[text] = (j - i, int(mine.sum()), int((mine & ~np.append(False, mine[:-1])).sum()), hashlib.sha256(kept).hexdigest(), kept)
+            edges = np.flatnonzero(np.diff(gone[i:j], prepend=False, append=False)).tolist()
+            stays = [(a, b) for a, b in zip([i, *(i + e for e in edges[1::2])], [*(i + e for e in edges[::2]), j]) if b > a]
+            kept = b" ".join([t.text(a, b) for a, b in stays])
+            by_text[text] = (j - i, j - i - sum(b - a for a, b in stays), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept if with_text else None)
         rows = [(d, *by_text[x]) for d, x in zip(table.column("doc_id").to_pylist(), texts)]
         names, types = ("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"), (pa.int64(),) * 4 + (pa.string(), pa.binary())
         cols = list(zip(*rows)) or [[]] * 6
         return pa.table([pa.array(c, k) for c, k in zip(cols, types)][: 5 + with_text], names=list(names)[: 5 + with_text])
 
     by = lambda df: df.groupBy("shard")
-    spark = docs.sparkSession
-    told = spark.createDataFrame([], _KEYS)
+    told = docs.sparkSession.createDataFrame([], _KEYS)
     for level in range(len(lengths)):
         keys = by(packed).cogroup(by(told)).applyInArrow(ask(level), _KEYS)
-        new = materialize(keys.repartition(int(shards), "key").mapInArrow(_told(most if lengths[level] < window else 1 << 62), _KEYS), "subtrees-prefixes")
+        new = materialize(keys.repartition(shards, "key").mapInArrow(_told(most if lengths[level] < window else 1 << 62), _KEYS), "subtrees-prefixes")
         told = told.unionByName(new)
         if new.where("n < 0").isEmpty():
             break
-    dealt = by(packed).cogroup(by(told)).applyInArrow(send, "key long, shard long, id long, times long, text binary").repartition(int(shards), "key")
+    dealt = by(packed).cogroup(by(told)).applyInArrow(send, "key long, times long, places binary, text binary, shard long").repartition(shards, "key")
     answers = materialize(dealt.mapInArrow(_deepest(window), _ANSWER), "subtrees-windows")
-    both = told.select("shard", "key", "level", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("mask")).unionByName(answers, allowMissingColumns=True)
     out = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return by(packed).cogroup(by(both)).applyInArrow(finish, out)
+    return by(packed).cogroup(by(answers)).applyInArrow(finish, out)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def test_deep_windows_are_those_that_repeat():
     rng = random.Random(1)
     texts = sorted({" ".join(rng.choices("ab", k=rng.randint(12, 30))) for _ in range(80)})
     count = Counter(tuple(t.split()[k : k + 12]) for t in texts for k in range(len(t.split()) - 11))
-    got = S.deep_windows(texts, np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), 12)
+    got = S.deep_windows(pa.chunked_array([texts], pa.large_string()), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), 12)
     assert [m.tolist() for m in got] == [[count[tuple(t.split()[k : k + 12])] > 1 for k in range(len(t.split()) - 11)] for t in texts]
 
 
