@@ -192,22 +192,30 @@ def sent(t: Texts, found: list[tuple[int, np.ndarray, np.ndarray]], lengths: tup
 
 def _deepest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The subtrees of all groups of a task: to each stretch the windows that end in a node with several leaves."""
+        """The subtrees of all groups of a task: to each stretch the runs of windows that end in a node with several leaves."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        repeated = deep_windows(table.column("text").cast(pa.large_binary()).cast(pa.large_string()), table.column("times").to_numpy(), table.column("key").to_numpy(), window)
-        some = [k for k, m in enumerate(repeated) if m.any()]
-        for k in range(0, len(some), 10_000):
-            part = table.select(["shard", "places"]).take(pa.array(some[k : k + 10_000], pa.int64())).combine_chunks()
-            yield from part.append_column("mask", pa.array([np.packbits(np.append(repeated[i], True)).tobytes() for i in some[k : k + 10_000]], pa.binary())).to_batches()
+        repeated, windows = deep_windows(table.column("text").cast(pa.large_binary()).cast(pa.large_string()), table.column("times").to_numpy(), table.column("key").to_numpy(), window)
+        stretch, low, high = runs_of(repeated, windows)
+        found = table.select(["shard", "places"]).take(pa.array(stretch)).append_column("low", pa.array(low)).append_column("high", pa.array(high + window))
+        yield from found.combine_chunks().to_batches(10_000)
 
     return run
 
 
-def deep_windows(texts: pa.ChunkedArray, times: np.ndarray, group: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each stretch which of its windows lie below an internal node of depth ``window``; ``times``: how often it stands there.
+def runs_of(repeated: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretch of each run of windows that repeat, its first and last window there."""
+    at = np.flatnonzero(repeated)
+    stretch = np.repeat(np.arange(len(windows)), windows)[at]
+    first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(stretch, prepend=-1) > 0))
+    base, last = (np.cumsum(windows) - windows)[stretch[first]], np.append(first[1:], len(at))[: len(first)] - 1
+    return stretch[first], at[first] - base, at[last] - base
+
+
+def deep_windows(texts: pa.ChunkedArray, times: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows lie below an internal node of depth ``window``, and how many each stretch has; ``times``: how often it stands there.
 
     From the top down: suffixes of a node part by their next words, RANGE at a time; those that are alone leave.
     """
@@ -235,22 +243,19 @@ def deep_windows(texts: pa.ChunkedArray, times: np.ndarray, group: np.ndarray, w
         alive, node, depth = alive[several], node[several], depth + n
     out = np.zeros(first[-1], bool)
     out[alive] = True
-    return [out[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return out, windows
 
 
-_ANSWER = "shard long, places binary, mask binary"
+_ANSWER = "shard long, places binary, low long, high long"
 
 
-def covered(t: Texts, places: list[bytes], masks: list[bytes]) -> np.ndarray:
-    """Which words the windows cover that the masks name, from each place on.  A mask ends with a bit that is set."""
-    gone = np.zeros(len(t.words) + 1, np.int64)
-    for at, mask in zip(places, masks):
-        hit = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8)))[:-1]
-        edges = np.flatnonzero(np.diff(hit, prepend=-2) > 1)  # windows that follow one another
-        low, high = hit[edges], hit[np.append(edges[1:], len(hit)) - 1] + t.window
-        for a in np.frombuffer(at, "<i8").tolist():
-            gone[a + low] += 1
-            gone[a + high] -= 1
+def covered(n: int, answers: pa.Table) -> np.ndarray:
+    """Which of a shard's ``n`` words the runs cover: each from word ``low`` to ``high``, exclusive, behind all its places."""
+    places = answers.column("places").to_pylist()
+    times = np.fromiter((len(p) // 8 for p in places), np.int64, len(places))
+    at = np.frombuffer(b"".join(places), "<i8")
+    low, high = (np.repeat(answers.column(c).to_numpy(), times) for c in ("low", "high"))
+    gone = np.bincount(at + low, minlength=n + 1) - np.bincount(at + high, minlength=n + 1)
     return np.cumsum(gone)[:-1] > 0
 
 
@@ -308,7 +313,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, .
     def finish(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         texts = read(table)
         t = Texts(Counter(texts), window)
-        gone = covered(t, told.column("places").to_pylist(), told.column("mask").to_pylist())
+        gone = covered(len(t.words), told)
         by_text: dict[str, tuple] = {}
         for text, i, j in zip(t.texts, t.starts[:-1].tolist(), t.starts[1:].tolist()):
             edges = np.flatnonzero(np.diff(gone[i:j], prepend=False, append=False)).tolist()

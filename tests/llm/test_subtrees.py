@@ -59,7 +59,11 @@ def test_deep_windows_are_those_that_repeat():
     rng = random.Random(1)
     texts = sorted({" ".join(rng.choices("ab", k=rng.randint(12, 30))) for _ in range(80)})
     count = Counter(tuple(t.split()[k : k + 12]) for t in texts for k in range(len(t.split()) - 11))
-    got = S.deep_windows(pa.chunked_array([texts], pa.large_string()), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), 12)
+    flat, windows = S.deep_windows(pa.chunked_array([texts], pa.large_string()), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), 12)
+    assert windows.tolist() == [len(t.split()) - 11 for t in texts]
+    got = np.split(flat, np.cumsum(windows)[:-1])
+    runs = [(k, a, b) for k, m in enumerate(got) for a in range(len(m)) if m[a] and (a == 0 or not m[a - 1]) for b in [next(i for i in range(a, len(m)) if i + 1 == len(m) or not m[i + 1])]]
+    assert list(zip(*(x.tolist() for x in S.runs_of(flat, windows)))) == runs
     assert [m.tolist() for m in got] == [[count[tuple(t.split()[k : k + 12])] > 1 for k in range(len(t.split()) - 11)] for t in texts]
 
 
