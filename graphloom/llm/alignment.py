@@ -1,11 +1,11 @@
 """Alignment of two tokenizers by a corpus-wide table of id pairs.
 
 Texts are cut where both tokenizers always have a token end: before a space between two other characters.  Such a
-chunk is encoded once for each shard of the input, however often it stands there, and its alignment is cut at the
-ends of all tokens of both sides: each piece between two such ends belongs to one token of either side and is a link.
+chunk is encoded once for each shard of the input, however often it stands there, and cut at the ends of all tokens of
+both sides: each piece between two such ends belongs to one token of either side and is a link.
 
-1. each task reads a partition in shards of bounded size, keeps their documents as numbers of chunks, and counts
-   packed pair keys (id of B in the high half, of A in the low half) with ``np.unique``;
+1. each task reads a partition in shards of bounded size, keeps documents as numbers of chunks and chunks as
+   numbers of pairs, and counts packed pair keys (id of B in the high half, of A in the low half) with ``np.unique``;
 2. partial counts are dealt by range of keys and sorted, so that one pass sums the runs of equal keys; each shard gets
    the totals of those of its pairs that other shards hold too, and the highest count of each id of B (as many
    numbers as its vocabulary) is broadcast;
@@ -21,9 +21,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ SHARD_BYTES = 32 << 20
 COUNT_BYTES = 16 << 20
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_UNEVEN = r"[\s\v\x1c-\x1f\x{85}\pZ] | [\s\v\x1c-\x1f\x{85}\pZ]|^ | $"
 _SHAPE = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -80,33 +83,41 @@ class Encoded:
     """The tokens of many chunks: ids in a row, and of each chunk the groups as text and whether its bytes are kept."""
 
     def __init__(self, of: Aligner, chunks: list[str]) -> None:
-        ids_a = [np.frombuffer(of.a(" " + c), "<u4") for c in chunks]
-        ids_b = of.b.encode(chunks, num_threads=1) if chunks else []
         want = [b" " + c.encode() for c in chunks]
-        self.kept = np.array([of.joined_b(b) == w and b"".join([of.bytes_a[k] for k in a.tolist()]) == w for a, b, w in zip(ids_a, ids_b, want)], bool)
-        for k in np.flatnonzero(~self.kept).tolist():
-            ids_a[k], ids_b[k] = ids_a[k][:0], []
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.a = np.concatenate([np.empty(0, np.int64), *ids_a]).astype(np.int64)
-        self.b = np.fromiter((k for b in ids_b for k in b), np.int64, int(self.n_b.sum()))
+        ids_a, ids_b = [of.a.ids(" " + c) for c in chunks], of.b.encode(chunks, num_threads=1) if chunks else []
+        self.kept = np.ones(len(chunks), bool)
+        if not self._fits(of, ids_a, ids_b, want):
+            for k, (a, b, w) in enumerate(zip(ids_a, ids_b, want)):
+                if not self._fits(of, [a], [b], [w]):
+                    self.kept[k], ids_a[k], ids_b[k] = False, [], []
+            self._fits(of, ids_a, ids_b, want)
         end_a, end_b = np.cumsum(of.len_a[self.a]), np.cumsum(of.len_b[self.b])
-        cuts = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        again = np.diff(ends, prepend=-1) == 0
+        cuts, both = ends[~again], ends[again]
         link_a, link_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
         self.keys = self.b[link_b] << 32 | self.a[link_a]
         self.chunk = np.repeat(np.arange(len(chunks)), self.n_a)[link_a]
         self.n_links = np.bincount(self.chunk, minlength=len(chunks))
         self.n_groups = self.n_a + self.n_b - self.n_links
-        self.groups = self._groups(of, end_a, end_b)
-
-    def _groups(self, of: Aligner, end_a: np.ndarray, end_b: np.ndarray) -> list[bytes]:
+        self.groups = self._groups(of, both, end_a, end_b)
+
+    def _fits(self, of: Aligner, ids_a: list[list[int]], ids_b: list[list[int]], want: list[bytes]) -> bool:
+        """Sets the ids; whether the tokens' bytes are those wanted, chunk by chunk."""
+        self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        self.a, self.b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        sizes = np.fromiter(map(len, want), np.int64, len(want))
+        for ids, n, lens, data in ((self.a, self.n_a, of.len_a, of.bytes_a), (self.b, self.n_b, of.len_b, of.bytes_b)):
+            if (np.bincount(np.repeat(np.arange(len(n)), n), lens[ids], len(n)) != sizes).any() or b"".join([data[k] for k in ids.tolist()]) != b"".join(want):
+                return False
+        return True
+
+    def _groups(self, of: Aligner, both: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> list[bytes]:
         """``a1,a2|b1;a3|b2`` of each chunk."""
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        last_a, last_b = np.isin(end_a, both, assume_unique=True), np.isin(end_b, both, assume_unique=True)
-        # A's tokens of a group, then B's
-        place = np.concatenate([2 * np.searchsorted(both, end_a), 2 * np.searchsorted(both, end_b) + 1])
-        order = np.argsort(place, kind="stable")
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
         words = [of.text_a[k] for k in self.a.tolist()] + [of.text_b[k] for k in self.b.tolist()]
-        marks = np.concatenate([np.where(last_a, b"|", b","), np.where(last_b, b";", b",")]).tolist()
+        marks = np.concatenate([np.where(both[group_a] == end_a, b"|", b","), np.where(both[group_b] == end_b, b";", b",")]).tolist()
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")  # A's tokens of a group, then B's
         text = [words[k] + marks[k] for k in order.tolist()]
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         return [b"".join(text[i:j])[:-1] for i, j in zip([0, *ends], ends)]
@@ -117,87 +128,75 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
-class _Numbers(dict):
-    """Numbers chunks as they come."""
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        return n
-
-
-_DOCS = "shard long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary, words binary, keys binary, counts binary"
+_DOCS = "shard long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary, keys binary, counts binary, links binary, sizes binary"
 _DOC_COLS = tuple(c.split()[0] for c in _DOCS.split(", "))
 _NO_TOKENS = (0, 0, 0, 0, "", b"")
+#: Chunks that are encoded at a time.
+SLICE = 50_000
 
 
 class _Shard:
-    """Documents of one shard as they are read, and the row with its chunks and partial counts."""
+    """Documents of one shard as they are read, and the row with its partial counts and the links of its chunks."""
 
     def __init__(self, of: Aligner, number: int) -> None:
         self.of, self.number, self.size = of, number, 0
-        self.index, self.known = _Numbers(), 0
-        self.parts: list[Encoded] = []
+        self.index: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.seen = np.zeros(0, np.int64)
+        self.keys, self.sizes, self.seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(0, np.int64)
         self.per = np.zeros((5, 0), np.int64)
 
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunks of each text as numbers."""
+        column = pa.array(texts, pa.large_string())
+        # where single spaces stand between other characters only, every space is a cut
+        plain = pc.invert(pc.match_substring_regex(column, _UNEVEN)).to_pylist() if self.of.cuts else [False] * len(texts)
+        lists = pc.split_pattern(column.filter(pa.array(plain, pa.bool_())), " ")
+        known = lists.flatten().dictionary_encode()
+        index = self.index
+        own = np.array([index.setdefault(c, len(index)) for c in known.dictionary.to_pylist()], np.int32)
+        flat, ends = own[known.indices.to_numpy()], np.cumsum(pc.list_value_length(lists).to_numpy())
+        even = iter(np.split(flat, ends[:-1]))
+        return [next(even) if p else np.array([index.setdefault(c, len(index)) for c in self.of.chunks(t)], np.int32) for t, p in zip(texts, plain)]
+
     def read(self, docs: list[tuple[int, str]]) -> list[tuple]:
         """Rows of the documents (doc_id, text); chunks that are new are encoded."""
-        chunks, index = self.of.chunks, self.index
+        known = len(self.index)
         # U+2581 stands for a space in B: such a text's bytes can't be kept
-        numbers = [np.array([index[c] for c in chunks(t)], np.int32) if t and SPACE not in t else None for _, t in docs]
-        fresh = list(index)[self.known :] if len(index) > self.known else []
-        self.known = len(index)
-        e = self.of.encoded(fresh)
-        self.parts.append(e)
-        self.groups += e.groups
-        self.per = np.concatenate([self.per, [e.n_a, e.n_b, e.n_groups, e.n_links, ~e.kept]], 1)
-        rows, good = [], []
-        for (doc_id, text), ids in zip(docs, numbers):
+        ids = iter(self.numbers([t for _, t in docs if t and SPACE not in t]))
+        fresh = list(islice(self.index, known, None))
+        for k in range(0, len(fresh), SLICE):
+            e = self.of.encoded(fresh[k : k + SLICE])
+            self.keys.append(e.keys)
+            self.sizes.append(e.n_links)
+            self.groups += e.groups
+            self.per = np.concatenate([self.per, [e.n_a, e.n_b, e.n_groups, e.n_links, ~e.kept]], 1)
+        rows, good = [], [np.empty(0, np.int32)]
+        for doc_id, text in docs:
             self.size += len(text or "")
-            if ids is None:
-                rows.append((self.number, doc_id, *_NO_TOKENS))
-                continue
-            *n, lost = self.per[:, ids].sum(1).tolist()
+            mine = next(ids) if text and SPACE not in text else ()
+            *n, lost = self.per[:, mine].sum(1).tolist() if len(mine) else (0, 0, 0, 0, 1)
             if lost:
                 rows.append((self.number, doc_id, *_NO_TOKENS))
                 continue
-            good.append(ids)
-            text = b";".join([self.groups[k] for k in ids.tolist()])
-            rows.append((self.number, doc_id, *n, hashlib.sha256(text).hexdigest(), ids.tobytes()))
-        more = np.bincount(np.concatenate([np.empty(0, np.int32), *good]), minlength=self.known)
+            good.append(mine)
+            sha = hashlib.sha256(b";".join([self.groups[k] for k in mine.tolist()])).hexdigest()
+            rows.append((self.number, doc_id, *n, sha, mine.tobytes()))
+        more = np.bincount(np.concatenate(good), minlength=len(self.index))
         more[: len(self.seen)] += self.seen
         self.seen = more
-        return [r + (None, None, None) for r in rows]
+        return [(*r, None, None, None, None) for r in rows]
 
     def close(self) -> tuple:
-        keys = np.concatenate([np.empty(0, np.int64), *(p.keys for p in self.parts)])
-        times, base = [np.empty(0, np.int64)], 0
-        for p in self.parts:
-            times.append(self.seen[base + p.chunk])
-            base += len(p.n_a)
-        unique, where = np.unique(keys, return_inverse=True)
-        counts = np.zeros(len(unique), np.int64)
-        np.add.at(counts, where, np.concatenate(times))
-        return (self.number, None, 0, 0, 0, 0, None, None, "\0".join(self.index).encode() if not any("\0" in c for c in self.index) else _lengths(self.index), unique[counts > 0].tobytes(), counts[counts > 0].tobytes())
-
-
-def _lengths(chunks: _Numbers) -> bytes:
-    """Chunks that hold a zero byte: behind an empty first one come their sizes."""
-    data = [c.encode() for c in chunks]
-    return b"\0\0" + len(data).to_bytes(4, "little") + np.array([len(d) for d in data], "<u4").tobytes() + b"".join(data)
-
-
-def _chunks_of(words: bytes) -> list[str]:
-    if words[:2] != b"\0\0":
-        return words.decode().split("\0") if words else []
-    n = int.from_bytes(words[2:6], "little")
-    at = 6 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(words[6 : 6 + 4 * n], "<u4").astype(np.int64))])
-    return [words[i:j].decode() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        sizes = np.concatenate(self.sizes)
+        keys, links = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, links, np.repeat(self.seen, sizes))
+        links = links.astype("<u2" if len(keys) <= 1 << 16 else "<u4")
+        return (self.number, None, 0, 0, 0, 0, None, None, keys.tobytes(), counts.tobytes(), links.tobytes(), sizes.astype("<u4").tobytes())
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(),) * 6 + (pa.string(),) + (pa.binary(),) * 4
+    types = (pa.int64(),) * 6 + (pa.string(),) + (pa.binary(),) * 5
     cols = list(zip(*rows)) or [[]] * len(types)
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=list(_DOC_COLS))
 
@@ -242,8 +241,9 @@ def _counts(shard: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for shard, keys, counts in zip(*(b.column(c).to_pylist() for c in ("shard", "keys", "counts"))):
-            k = np.frombuffer(keys, np.int64)
-            yield _counts(np.full(len(k), shard), k, np.frombuffer(counts, np.int64))
+            k, n = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+            k, n = k[n > 0], n[n > 0]
+            yield _counts(np.full(len(k), shard), k, n)
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -273,22 +273,22 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, shard_bytes: int = S
         yield _rows([shard.close()])
 
     def second(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        words = next((w for w in table.column("words").to_pylist() if w is not None), b"")
-        e = aligner(byte_path, piece_path).encoded(_chunks_of(words))
-        rows = [(d, *n, ids) for *n, d, ids in zip(*(table.column(c).to_pylist() for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc_id", "chunks"))) if n[-1] is not None]
-        numbers = [np.frombuffer(ids, np.int32) for *_, ids in rows]
-        seen = np.bincount(np.concatenate([np.empty(0, np.int32), *numbers]), minlength=len(e.n_a))
-        keys, where = np.unique(e.keys, return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, where, seen[e.chunk])
+        own = table.filter(pc.is_valid(table.column("keys")))
+        keys, total, links, sizes = (np.frombuffer(own.column(c)[0].as_py(), t) for c, t in (("keys", np.int64), ("counts", np.int64), ("links", np.uint8), ("sizes", "<u4")))
+        sizes = sizes.astype(np.int64)
+        n_links = int(sizes.sum())
+        links = links.view("<u2" if len(links) == 2 * n_links else "<u4")
+        total = total.copy()
         total[np.searchsorted(keys, told.column("key").to_numpy())] = told.column("n").to_numpy()
-        n = total[where]
-        usual = np.bincount(e.chunk[n == best.value[e.keys >> 32]], minlength=len(e.n_a))
-        sums = np.zeros(len(e.n_a), np.int64)
-        np.add.at(sums, e.chunk, n)
-        out = [(d, a, b, g, k, int(usual[ids].sum()), int(sums[ids].sum()), sha) for (d, a, b, g, k, sha, _), ids in zip(rows, numbers)]
-        cols = list(zip(*out)) or [[]] * 8
-        return pa.table([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        usual = total == best.value[keys >> 32]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        n_best, sums = (np.diff(np.concatenate([[0], np.cumsum(x[links])])[ends]) for x in (usual, total))
+        docs = table.filter(pc.is_valid(table.column("groups_sha256")))
+        numbers = [np.frombuffer(ids.as_py(), np.int32) for ids in docs.column("chunks")]
+        out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
+        for name, x in (("n_best", n_best), ("count_sum", sums)):
+            out = out.append_column(name, pa.array([int(x[ids].sum()) for ids in numbers], pa.int64()))
+        return out.append_column("groups_sha256", docs.column("groups_sha256"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = materialize(rows.mapInArrow(first, _DOCS), "alignment-documents")
@@ -300,4 +300,4 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, shard_bytes: int = S
         highest[r.key] = r.n
     best = spark.sparkContext.broadcast(highest)
     by = lambda df: df.groupBy("shard")
-    return by(known.drop("keys", "counts")).cogroup(by(told.where("shard >= 0"))).applyInArrow(second, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return by(known).cogroup(by(told.where("shard >= 0"))).applyInArrow(second, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

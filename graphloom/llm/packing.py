@@ -75,12 +75,13 @@ class Encoder:
 
         return tiktoken.Encoding("same", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def ids(self, text: str) -> list[int]:
+        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)) and not (self.avoid and any(a in text for a in self.avoid)):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
-        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)) and not any(a in text for a in self.avoid):
-            ids = self.fast.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return np.array(self.ids(text), "<u4").tobytes()
 
 
 UNPRINTED = re.compile("[\x1c-\x1f]")
