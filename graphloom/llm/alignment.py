@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, task_count
-from .packing import encoder
+from .packing import UNPRINTED, Encoder
 
 #: Bytes of text in a shard; a longer text is one of its own.
 SHARD_BYTES = 32 << 20
@@ -43,18 +43,38 @@ _UNEVEN = r"[\s\v\x1c-\x1f\x{85}\pZ] | [\s\v\x1c-\x1f\x{85}\pZ]|^ | $"
 _SHAPE = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
+class Plain(Encoder):
+    """Ids of texts in which the strings of added tokens are text like any other."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast and (text.isascii() and not UNPRINTED.search(text) or not self.UNUSUAL.search(text)):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id: printable bytes stand for themselves in a byte-level vocabulary, others from 256 on."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        names = self.tokenizer.get_vocab(True)
+        out = [b""] * (max(names.values(), default=0) + 1)
+        for name, k in names.items():
+            out[k] = name.encode() if name in self.added else bytes(of[c] for c in name)
+        return out
+
+
 class Aligner:
     """Both tokenizers: ``byte_path`` is a byte-level BPE of ``tokenizers``, ``piece_path`` a model of ``sentencepiece``."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         import sentencepiece
 
-        self.a, self.b = encoder(byte_path, True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        names, n = self.a.tokenizer.get_vocab(True), self.b.get_piece_size()
-        self.bytes_a = [b""] * (max(names.values(), default=0) + 1)
-        shown = self.a.shown()
-        for name, k in names.items():
-            self.bytes_a[k] = name.encode() if name in self.a.added else bytes(shown[c] for c in name)
+        self.a, self.b = Plain(byte_path), sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        n = self.b.get_piece_size()
+        self.bytes_a = self.a.token_bytes()
         self.bytes_b = [self._piece(k) for k in range(n)]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = ([str(k).encode() for k in range(len(t))] for t in (self.bytes_a, self.bytes_b))
