@@ -9,15 +9,15 @@ from ..functions.ordered import portable_draw
 from ..storage import materialize
 
 
-def collapse(edges: DataFrame) -> DataFrame:
+def collapse(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Multi-edges (pre, post, neuropil, syn_count, nt_type) to pairs: summed weight, majority label, distinct regions.
 
-    The majority label has the largest summed weight, ties go to the first in alphabetical order; null labels don't
+    With ``by`` there is a graph for each value of these columns.  The majority label has the largest summed weight, ties go to the first in alphabetical order; null labels don't
     stand for election.  Two aggregations on nested keys: (pre, post, label), then (pre, post).
     """
-    by_label = edges.groupBy("pre", "post", "nt_type").agg(F.sum("syn_count").alias("w"), F.collect_set("neuropil").alias("regions"))
+    by_label = edges.groupBy(*by, "pre", "post", "nt_type").agg(F.sum("syn_count").alias("w"), F.collect_set("neuropil").alias("regions"))
     best = F.min(F.when(F.col("nt_type").isNotNull(), F.struct((-F.col("w")).alias("w"), F.col("nt_type").alias("label"))))["label"]
-    return by_label.groupBy("pre", "post").agg(
+    return by_label.groupBy(*by, "pre", "post").agg(
         F.sum("w").cast("long").alias("syn_count_total"), best.alias("nt_type_edge"), F.size(F.array_distinct(F.flatten(F.collect_list("regions")))).cast("long").alias("n_neuropils")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.labels import SIGN_OF_LABEL
 from .derive import LABEL_OF_TYPE, LINE_ORDER
 
+LINES_IN_ORDER = ", ".join(LINE_ORDER)
 _LABEL = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABEL_OF_TYPE.items()) + " END"
 _SIGN = "CASE nt_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGN_OF_LABEL.items()) + " ELSE 'unknown' END"
 

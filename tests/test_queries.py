@@ -32,6 +32,7 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs")
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and 'pipeline' not in e.queries(); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
