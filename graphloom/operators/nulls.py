@@ -105,13 +105,11 @@ def _delta(a: np.ndarray, b: np.ndarray) -> float:
 def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls: list[int], sources: list[int], version: str, how: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = configuration) -> DataFrame:
     """A RECORD for each row of ``seeds`` (null_id, seed): draw a graph, verify it, and score cases and controls on it.
 
-    Impact comes from the panel ``sources`` (62 nodes at most).  A graph that can't be drawn or isn't faithful gives
+    Impact comes from the panel ``sources``.  A graph that can't be drawn or isn't faithful gives
     a record with status "failed" and no scores; others are unaffected.
     """
-    from .traverse import BITS, levels_from
+    from .dominance import Graph, losses
 
-    if len(sources) > BITS:
-        raise ValueError(f"more than {BITS} sources")
     e = pairs.select("pre", "post").orderBy("pre", "post").limit(TASK_EDGES + 1).toArrow()
     if e.num_rows > TASK_EDGES:
         raise ValueError(f"more than {TASK_EDGES} edges: use the large form")
@@ -130,15 +128,16 @@ def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls:
         degrees = lambda x: np.bincount(np.searchsorted(names, x), minlength=len(names))
         same = len(new) == len(post)
         flags = (bool((src != dst).all()), len(np.unique(src * len(names) + dst)) == len(src), same and bool((np.bincount(src, minlength=len(names)) == degrees(pre)).all()), same and bool((np.bincount(dst, minlength=len(names)) == degrees(post)).all()))
-        order = np.argsort(dst, kind="stable")
-        src, dst = src[order], dst[order]
-        heads = np.flatnonzero(np.diff(dst, prepend=-1))
         place = {int(n): k for k, n in enumerate(names)}
-        first = np.zeros(len(names), np.int64)
-        for bit, node in enumerate(sources):
-            first[place[node]] |= 1 << bit
-        base = levels_from(first, src, dst[heads], heads, None)[0]
-        cis = [np.array([1 - levels_from(first, src, dst[heads], heads, place.get(t))[0] / base if base else 0.0 for t in ts]) for ts in (cases, controls)]
+        targets = np.array(sorted({place[t] for t in (*cases, *controls) if t in place}), np.int64)
+        marked = np.zeros(len(names), bool)
+        marked[targets] = True
+        graph, base, lost = Graph.of(src, dst, len(names)), 0.0, np.zeros(len(names))
+        for node in sources:
+            found = losses(graph, place[node], targets, marked)
+            base += found[0]
+            lost[targets] += found[2]
+        cis = [np.array([lost[place[t]] / base if base and t in place else 0.0 for t in ts]) for ts in (cases, controls)]
         medians = [float(np.median(c)) if len(c) else 0.0 for c in cis]
         return (*head, cis[0].tolist(), cis[1].tolist(), *flags, *medians, medians[0] - medians[1], _delta(*cis), "done" if all(flags) else "failed")
 
