@@ -88,3 +88,9 @@ def summary_tables(metrics: DataFrame, screened: DataFrame, matches: DataFrame,
         "catalogue": cat.groupBy("class_label").agg(F.count("*").alias("n")),
         "nulls": nulls.agg(F.count("*").alias("n"), F.avg("median_diff").alias("mean_diff"), F.stddev_samp("median_diff").alias("sd_diff"), F.avg("cliffs_delta").alias("mean_delta")),
     }
+
+
+def scatter(df: DataFrame, x: Column, y: Column, label: Column, eps: float = 1e-7) -> DataFrame:
+    """``label, x, y``: what a scatter plot shows, on logarithmic axes: log10(x + 1) and log10(y + eps); rows without either go."""
+    points = df.select(label.alias("label"), F.log10(x + 1.0).alias("x"), F.log10(y + eps).alias("y"))
+    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))

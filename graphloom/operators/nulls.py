@@ -174,6 +174,30 @@ def stub_matching(pairs: DataFrame, seed: int, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"repeated edges are left after {rounds} rounds")
 
 
+def swap_rounds(pairs: DataFrame, seeds: DataFrame, factor: int = 10) -> DataFrame:
+    """``null_id, seed, pre, post``: graphs of any size after ``factor`` proposed 2-swaps for each edge, all of ``seeds`` (null_id, seed) at once.
+
+    A round deals all edges into disjoint random pairs and proposes that a pair's edges swap targets.  A proposal fails
+    if it makes a loop, if one of its edges is in the graph, or if an earlier proposal of the round makes the same edge;
+    so degrees stay and the graph stays simple, and half as many swaps as there are edges run side by side.  Edges that
+    leave in a round still bar it: such a swap can come in a later one.  No edge is collected.
+    """
+    from ..storage import materialize
+
+    now = materialize(seeds.select("null_id", "seed").crossJoin(pairs.where("pre <> post").select("pre", "post").distinct()), "swaps")  # a graph for each seed
+    for r in range(2 * factor):
+        ranked = global_rank(now.withColumn("h", F.xxhash64("seed", F.lit(r), "pre", "post")), [F.col("null_id").asc(), F.col("h").asc(), F.col("pre").asc(), F.col("post").asc()], "k")
+        two = ranked.groupBy(((F.col("k") - 1) / 2).cast("long").alias("pair"), "null_id", "seed").agg(F.min(F.struct("k", "pre", "post")).alias("a"), F.max(F.struct("k", "pre", "post")).alias("b"))
+        two = materialize(two.select("pair", "null_id", "seed", F.col("a.pre").alias("a"), F.col("a.post").alias("x"), F.col("b.pre").alias("b"), F.col("b.post").alias("y")), "swap-pairs")
+        open_ = two.where("a <> b and x <> y and a <> y and b <> x")
+        made = open_.select("pair", "null_id", F.explode(F.expr("array(struct(a as pre, y as post), struct(b as pre, x as post))")).alias("e")).select("pair", "null_id", "e.pre", "e.post")
+        first = made.groupBy("null_id", "pre", "post").agg(F.min("pair").alias("pair")).join(now, ["null_id", "pre", "post"], "left_anti")
+        won = first.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select("pair", F.lit(True).alias("won"))
+        edges = F.expr("CASE WHEN won THEN array(struct(a as pre, y as post), struct(b as pre, x as post)) WHEN a = b AND x = y THEN array(struct(a as pre, x as post)) ELSE array(struct(a as pre, x as post), struct(b as pre, y as post)) END")
+        now = materialize(two.join(won, "pair", "left").select("null_id", "seed", F.explode(edges).alias("e")).select("null_id", "seed", "e.pre", "e.post"), "swaps")
+    return now
+
+
 def degree_differences(real: DataFrame, null: DataFrame) -> DataFrame:
     """``node, side, n_real, n_null`` where an in- or out-degree differs; none for a faithful graph."""
 

@@ -109,6 +109,17 @@ def null_summary(nulls: DataFrame, value: str, observed: Column, obs: DataFrame)
     return a.select("n", "mean", "sd", "max", "p95", F.when(F.col("sd") > 0, (F.col("__o") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"), ((F.col("ge") + 1) / (F.col("n") + 1)).alias("empirical_p"))
 
 
+def audit(recomputed: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``figure, stored, recomputed, agrees`` for each column of the one-row table ``stored`` against the same one of ``recomputed``.
+
+    Figures agree within ``tolerance``, or if both are null; a figure that only one side has doesn't.
+    """
+    cells = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias(name)) for c in df.columns])).alias("x")).select("x.*")
+    both = cells(stored, "stored").join(cells(recomputed, "recomputed"), "figure", "full_outer")
+    near = F.coalesce(F.abs(F.col("stored") - F.col("recomputed")) <= tolerance, F.col("stored").isNull() & F.col("recomputed").isNull())
+    return both.select("figure", "stored", "recomputed", near.alias("agrees"))
+
+
 def null_zscore(nulls: DataFrame, value: str, observed: Column, obs: DataFrame) -> DataFrame:
     """``z, p``: z is 0 without spread; p = 2 min(P(>=), P(<=)), at least 1/(n + 1); with ties it can exceed 1."""
     v = F.col(value)

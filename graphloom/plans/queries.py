@@ -626,6 +626,22 @@ def null_ensemble_summary(s, d):
     return out.select("n", *[_r(c, 6 if c == "z" else 9).alias(c) for c in ("mean", "sd", "max", "p95", "z", "empirical_p")])
 
 
+@query(_NULLS + """, r AS (SELECT avg(v) AS mean, stddev_samp(v) AS sd, max(v) AS max, (count(*) FILTER (v >= o) + 1) / (count(*) + 1) AS empirical_p FROM e, o)
+ SELECT unnest(['mean', 'sd', 'max', 'empirical_p']) AS figure, unnest([round(mean, 2), round(sd, 2), round(max, 2) + 1, empirical_p]) AS stored, unnest([round(mean, 6), round(sd, 6), round(max, 6), round(empirical_p, 9)]) AS recomputed, unnest([true, true, false, true]) AS agrees FROM r""")
+def recomputation_audit(s, d):
+    """Figures as a report would hold them, to two digits and with one that is off, against the ensemble's."""
+    e, o = _ensemble(s, d)
+    e = selection.materialize(e.crossJoin(o), "ensemble")
+    stored = e.agg(F.round(F.avg("v"), 2).alias("mean"), F.round(F.stddev_samp("v"), 2).alias("sd"), (F.round(F.max("v"), 2) + 1).alias("max"), ((F.count_if(F.col("v") >= F.col("o")) + 1) / (F.count("*") + 1)).alias("empirical_p"))
+    found = stats.null_summary(e.select("v"), "v", F.col("o"), o).select("mean", "sd", "max", "empirical_p")
+    return stats.audit(found, stored, 0.0051).select("figure", "stored", F.when(F.col("figure") == "empirical_p", _r("recomputed", 9)).otherwise(_r("recomputed", 6)).alias("recomputed"), "agrees")
+
+
+@query(_POP + " SELECT label, round(log10(degree + 1), 9) AS x, round(log10(value + 1e-7), 9) AS y FROM population")
+def scatter_extract(s, d):
+    return catalogue.scatter(_population(s, d), F.col("degree"), F.col("value"), F.col("label")).select("label", _r("x").alias("x"), _r("y").alias("y"))
+
+
 @query(_NULLS + " SELECT round((any_value(o) - avg(v)) / stddev_samp(v), 6) AS z, round(greatest(2 * least(avg(CAST(v >= o AS INT)), avg(CAST(v <= o AS INT))), 1 / (count(*) + 1)), 9) AS p FROM e, o")
 def null_zscore(s, d):
     e, o = _ensemble(s, d)
@@ -851,6 +867,12 @@ def large_replicates_check(s, d):
     return _null_degrees(selection.materialize(nulls.large_replicates(_pairs(s, d), s.createDataFrame([(0, 100), (1, 101)], "null_id long, seed long")), "nulls"))
 
 
+@query(_DEGREES)
+def swap_rounds_check(s, d):
+    """Two graphs of ten swaps an edge by joins alone."""
+    return _null_degrees(nulls.swap_rounds(_pairs(s, d), s.createDataFrame([(0, 100), (1, 101)], "null_id long, seed long")))
+
+
 @query(chain("degree") + " SELECT node, in_degree, out_degree FROM degree")
 def stub_matching_check(s, d):
     return graph.degrees(nulls.stub_matching(_pairs(s, d), 5)).select("node", "in_degree", "out_degree")
