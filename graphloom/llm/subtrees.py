@@ -47,6 +47,8 @@ SHARD_BYTES = 8 << 20
 #: Words by which suffixes part at a time.
 RANGE = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: The low bytes of a number, by how many of them.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,9 +102,16 @@ class Texts:
         self.joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(self.words)], pa.int64()), self.words), pa.scalar(" ", pa.large_string()))[0].as_py().encode()
 
     def hash(self) -> None:
-        known = self.words.dictionary_encode()
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
-        self.hashes = _mixed(hashes)[known.indices.to_numpy()]
+        """Hashes of the words, from their first and last eight bytes and, of longer words, from all."""
+        data = self.joined + bytes(8)
+        at, size = self.at[:-1], np.diff(self.at) - 1
+        eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))
+        first = eight[at] & _LOW[np.minimum(size, 8)]
+        last = np.where(size > 8, eight[np.maximum(at + size - 8, 0)], np.uint64(0))
+        for k in np.flatnonzero(size > 16).tolist():
+            last[k] = xxhash.xxh3_64_intdigest(self.joined[at[k] : at[k] + size[k]])
+        self.hashes = _mixed(_mixed(first * _MIX[1] + size.astype(np.uint64)) * _MIX[1] + last)
+
 
     def text(self, a: int, b: int) -> bytes:
         """Words ``a`` to ``b``, exclusive, joined by spaces."""
