@@ -10,7 +10,7 @@ is two aggregated joins: a pattern with very many instances is pre-aggregated by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
@@ -29,7 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![A-Za-z0-9._+@-])(?=[A-Za-z._+@-]*+[0-9])[A-Za-z0-9._+@-]{6,}+"
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: Characters of text on either side that patterns are taken from: what is left of longer words stands for them.
+#: Characters of text on either side that patterns are read from at once; where words or gaps reach further, ``_far`` reads them whole.
 CONTEXT = 512
 #: Instances that a pattern counts besides its own, with score 0.
 SMOOTHING = 2.0
@@ -70,7 +70,9 @@ def _guarded(text: Column, holds: str, spans: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): ``doc_id, row``, spans of each base kind, and identifier-like tokens clear of them.
 
-    All spans have the text around them, ``before`` and ``after``.  Null and empty texts have no spans.
+    All spans have their patterns.  Where the words beside a span don't end within CONTEXT characters, ``far_left`` or
+    ``far_right`` says so, the pattern is left to ``_far``, and ``whole`` holds the text (else null).  Null and empty
+    texts have no spans.
     """
     text = F.col("text").cast("string")
     email = _guarded(text, "@", S.located(text, EMAIL))
@@ -87,16 +89,80 @@ def scan(docs: DataFrame) -> DataFrame:
     def around(s: Column) -> Column:
         before = S.between(F.col("parts"), F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
         after = S.between(F.col("parts"), s["end"], F.least(s["end"] + CONTEXT, F.col("size")))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("instance"), _patterns(before, after).alias("patterns"))
+        from_start, to_end = s["start"] <= CONTEXT, s["end"] + CONTEXT >= F.col("size")
 
-    return found.select("doc_id", "row", *[F.transform(c, around).alias(c) for c in (*KINDS, "token")])
+        def told(x: Column) -> Column:
+            return F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("instance"),
+                F.filter(F.array(_left(x["l"]), _right(x["r"])), lambda p: p.isNotNull()).alias("patterns"),
+                (~from_start & (x["l"] == "")).alias("far_left"), (~to_end & (x["r"] == "")).alias("far_right"),
+            )
 
+        return S.let(F.struct(_two_before(before, from_start).alias("l"), _one_after(after, to_end).alias("r")), told)
 
-def _patterns(before: Column, after: Column) -> Column:
-    """The lexical patterns around an occurrence: two words before it, the word after it."""
-    left = F.regexp_extract(F.lower(before), r"(?<!\S)(\S++\s++\S++)\s*+$", 1)
-    right = F.regexp_extract(F.lower(after), r"^\s*+(\S++)", 1)
-    return F.filter(F.array(F.when(left != "", F.concat(F.lit("L "), F.regexp_replace(left, r"\s+", " "))), F.when(right != "", F.concat(F.lit("R "), right))), lambda p: p.isNotNull())
+    found = found.select("doc_id", "row", "text", *[F.transform(c, around).alias(c) for c in (*KINDS, "token")])
+    far = F.exists(F.concat(*KINDS, "token"), lambda s: s["far_left"] | s["far_right"])
+    return found.select("doc_id", "row", *KINDS, "token", F.when(far, F.col("text").cast("string")).alias("whole"))
+
+
+def _two_before(before: Column, whole: Column) -> Column:
+    """The last two words of ``before``, which starts where the text does if ``whole``; else a gap must come before them."""
+    text = F.lower(before)
+    return F.when(whole, F.regexp_extract(text, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)).otherwise(F.regexp_extract(text, r"\s(\S++\s++\S++)\s*+$", 1))
+
+
+def _one_after(after: Column, whole: Column) -> Column:
+    text = F.lower(after)
+    return F.when(whole, F.regexp_extract(text, r"^\s*+(\S++)", 1)).otherwise(F.regexp_extract(text, r"^\s*+(\S++)\s", 1))
+
+
+def _left(words: Column) -> Column:
+    return F.when(words != "", F.concat(F.lit("L "), F.regexp_replace(words, r"\s+", " ")))
+
+
+def _right(word: Column) -> Column:
+    return F.when(word != "", F.concat(F.lit("R "), word))
+
+
+def _name(chain: Column, rest: Column) -> Column:
+    """A word's name from its last piece and the digest of the pieces before: words of one piece are their own names."""
+    return F.when(chain == "", F.lower(rest)).otherwise(F.concat(F.lit("\x01"), F.md5(F.concat(chain, F.lower(rest)).cast("binary"))))
+
+
+def _beside(words: DataFrame, places: DataFrame) -> DataFrame:
+    """``row, at, first, second``: names of the last two words that begin before each place; what lies behind the place is no part of them.
+
+    ``words`` is (row, start, match), ``places`` (row, at).  Long words are cut into pieces of ``spans.CHUNK`` characters,
+    each with a digest of all pieces before it, so a place inside a long word reads one piece and not the word.
+    """
+
+    def chained(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit("")), lambda acc, p: F.concat(acc, F.array(F.md5(F.concat(F.element_at(acc, -1), F.lower(p)).cast("binary")))))
+
+    cut = words.withColumn("parts", S.chunks(F.col("match"))).withColumn("chain", chained(F.col("parts"))).drop("match")
+    cut = cut.withColumn("name", _name(F.get("chain", F.size("parts") - 1), F.element_at("parts", -1)))
+    cut = cut.withColumn("second", F.lag("name").over(Window.partitionBy("row").orderBy("start")))
+    pieces = cut.select("row", "start", "second", "chain", F.posexplode("parts").alias("k", "piece"))
+    pieces = pieces.select("row", (F.col("start") + F.col("k") * S.CHUNK).alias("at"), F.struct((F.col("start") + F.col("k") * S.CHUNK).alias("from"), F.get("chain", F.col("k")).alias("chain"), "piece", "second").alias("w"))
+    # a word that begins at a place comes after it
+    both = pieces.withColumn("is_place", F.lit(0)).unionByName(places.select("row", "at").distinct().withColumn("is_place", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy("row").orderBy("at", F.desc("is_place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("w", F.last("w", ignorenulls=True).over(upto)).where("is_place = 1 and w is not null")
+    return met.select("row", "at", _name(F.col("w.chain"), F.substring(F.col("w.piece"), F.lit(1), F.col("at") - F.col("w.from"))).alias("first"), "w.second")
+
+
+def _far(found: DataFrame, each: DataFrame) -> DataFrame:
+    """``row, seed, start, end, instance, pattern`` of the occurrences ``each`` whose words reach further than CONTEXT, read whole."""
+    texts = found.where("whole is not null")
+    words = texts.select("row", F.length("whole").alias("size"), F.explode(S.located(F.col("whole"), r"\S++")).alias("w")).select("row", "size", "w.start", "w.end", "w.match")
+    # what follows is what comes before in the mirrored text
+    turned = words.select("row", (F.col("size") - F.col("end")).alias("start"), F.reverse("match").alias("match"))
+    left = each.where("far_left").select("row", "seed", "start", "end", "instance", F.col("start").alias("at"))
+    right = each.where("far_right").join(texts.select("row", F.length("whole").alias("size")), "row").select("row", "seed", "start", "end", "instance", (F.col("size") - F.col("end")).alias("at"))
+    before = left.join(_beside(words.select("row", "start", "match"), left), ["row", "at"]).where("second is not null").withColumn("pattern", _left(F.concat_ws(" ", "second", "first")))
+    after = right.join(_beside(turned, right), ["row", "at"]).withColumn("pattern", _right(F.when(F.startswith("first", F.lit("\x01")), F.col("first")).otherwise(F.reverse("first"))))
+    cols = ["row", "seed", "start", "end", "instance", "pattern"]
+    return before.select(*cols).unionByName(after.select(*cols))
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
@@ -108,12 +174,13 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
     seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("int")).cast("double").alias("first"))
     scores = seeds.withColumn("score", F.col("first"))
     for _ in range(ROUNDS):
-        held = edges.select("instance", "pattern").join(scores, "instance")
+        held = edges.select("instance", "pattern").join(scores.hint("merge"), "instance")
         confident = held.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("confidence"), F.sum("first").alias("seeds"))
         confident = materialize(confident.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)), "pii-patterns")
-        doubt = edges.join(confident, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("reached"))
+        doubt = edges.join(confident.hint("merge"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("reached"))
         scores = materialize(seeds.join(doubt, "instance", "left").select("instance", "first", F.greatest("first", F.coalesce("reached", F.lit(0.0))).alias("score")), "pii-scores")
-    return edges.join(confident, "pattern").join(scores.where((F.col("first") == 0) & (F.col("score") >= LEAST_SCORE)), "instance").select("instance", "pattern")
+    unseen = scores.where((F.col("first") == 0) & (F.col("score") >= LEAST_SCORE))
+    return edges.join(confident.hint("merge"), "pattern").join(unseen.hint("merge"), "instance").select("instance", "pattern")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -124,12 +191,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     found = materialize(scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "pii-spans")
     tagged = F.concat(F.transform(F.concat(*KINDS), lambda s: F.struct(s.alias("s"), F.lit(True).alias("seed"))), F.transform("token", lambda s: F.struct(s.alias("s"), F.lit(False).alias("seed"))))
-    each = found.select("row", F.explode(tagged).alias("o")).select("row", "o.seed", "o.s.start", "o.s.end", "o.s.instance", F.explode("o.s.patterns").alias("pattern"))
+    cols = ["row", "seed", "start", "end", "instance"]
+    each = found.select("row", F.explode(tagged).alias("o")).select("row", "o.seed", "o.s.*")
+    far = materialize(_far(found, each), "pii-far")
+    each = each.select(*cols, F.explode("patterns").alias("pattern")).unionByName(far)
     new = bootstrap(each.select("instance", "seed", "pattern"))
     one = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"), F.lit("context").alias("kind"))
-    spans = each.where("not seed").join(new, ["instance", "pattern"], "left_semi")
+    spans = each.where("not seed").join(new.hint("merge"), ["instance", "pattern"], "left_semi")
     by_row = spans.groupBy("row").agg(F.collect_set(one).cast(S.KINDED).alias("context"))  # one document's tokens
-    out = found.join(by_row, "row", "left").withColumn("context", F.coalesce("context", F.array().cast(S.KINDED)))
+    out = found.drop("whole").join(by_row.hint("merge"), "row", "left").withColumn("context", F.coalesce("context", F.array().cast(S.KINDED)))
     base = [S.kinded(F.col(k), k, i) for i, k in enumerate(KINDS)]
     every = S.merged([*base, F.col("context")])
     return out.select(

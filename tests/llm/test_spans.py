@@ -1,6 +1,7 @@
 """Secret scanning and personal data: base spans against Python's regular expressions; what the methods add."""
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -139,6 +140,61 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(got[38 + k].n_context == 0 for k in range(30)) and all(got[k].n_email == 1 for k in range(30))
 
 
+TOKEN = re.compile(r"(?<![A-Za-z0-9._+@-])(?=[A-Za-z._+@-]*[0-9])[A-Za-z0-9._+@-]{6,}")
+
+
+def whole_name(word):
+    """A word of up to 1,024 characters is its own name; equal longer ones have equal names."""
+    return word if len(word) <= 1024 else ("long", word)
+
+
+def context_pii(rows):
+    """``{key: context spans}`` of ``{key: text}`` from whole words and plain dicts."""
+    found = []
+    for key, t in rows.items():
+        base = base_pii(t)
+        tokens = [m.span() for m in TOKEN.finditer(t) if not any(m.start() < b[2] and b[0] < m.end() for b in base)]
+        for seed, (s, e) in [(True, (b[0], b[2])) for b in base] + [(False, x) for x in tokens]:
+            left, right = t[:s].split(), t[e:].split()
+            patterns = [("L", *map(whole_name, left[-2:]))] if len(left) > 1 else []
+            for p in patterns + ([("R", whole_name(right[0]))] if right else []):
+                found.append((key, s, e, seed, t[s:e].lower(), p))
+    edges, first = {(i, p) for *_, i, p in found}, {}
+    for *_, seed, i, _p in found:
+        first[i] = max(first.get(i, 0.0), float(seed))
+    score, of, held = dict(first), {}, {}
+    for i, p in edges:
+        of.setdefault(p, []).append(i)
+        held.setdefault(i, []).append(p)
+    for _ in range(pii.ROUNDS):
+        sure = {p: sum(score[i] for i in ii) / (len(ii) + pii.SMOOTHING) for p, ii in of.items() if sum(first[i] for i in ii) >= pii.LEAST_SEEDS}
+        sure = {p: c for p, c in sure.items() if c >= pii.LEAST_CONFIDENCE}
+        score = {i: max(first[i], 1 - math.prod(1 - sure[p] for p in held[i] if p in sure)) for i in held}
+    out = {key: set() for key in rows}
+    for key, s, e, seed, i, p in found:
+        if not seed and not first[i] and score[i] >= pii.LEAST_SCORE and p in sure:
+            out[key].add((s, e))
+    return out
+
+
+def test_context_spans_equal_the_plain_form(spark, docs):
+    import random
+
+    rng, rows = random.Random(11), {r.doc_id: r.text or "" for r in docs.collect()}
+    a, b, gap = "a" + "x" * 600, "b" + "x" * 600, " \n" * 400
+    long, other = ("".join(rng.choices("abcdefgh,", k=5000)) for _ in range(2))
+    shapes = [lambda i: f"see {a} badge {i}", lambda i: f"so {long} badge {i} go", lambda i: f"one {gap} two {gap} {i} {gap} three{gap}", lambda i: f"in {long}={i};{other} end", lambda i: f"{i}{long[:2048]} x", lambda i: f"w {long[:1024]} {other[:1025]}:{i}"]
+    for k, shape in enumerate(shapes):
+        rows |= {1000 * (k + 1) + n: shape(f"u{k}n{n}@mail.example") for n in range(12)} | {1000 * (k + 1) + 500 + n: shape(f"Q{k}77{n:03d}") for n in range(4)}
+    # the same but for the far end of a long word: not the same pattern
+    rows |= {-1 - n: t for n, t in enumerate([f"see {b} badge Z900001", f"so {other} badge Z900002", f"so {long[:-1]}# badge Z900003", f"w {long[:1024]} #{other[1:1025]}:Z900004", f"in #{long}=Z900005", f"Z900006{long[:2047]} x"])}
+    rows[-50] = "k1=" + ",".join(f"id{n:05d}" for n in range(3000))  # many tokens inside one long word
+    got = pii.find_pii(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    want = context_pii(rows)
+    assert {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("context")} for r in got} == want
+    assert all(want[1000 * (k + 1) + 500 + n] for k in range(len(shapes)) for n in range(4)) and not any(want[-1 - n] for n in range(6))
+
+
 def test_awkward_input(spark, awkward, nothing):
     empty = hashlib.sha256(b"").hexdigest()
     for find in (secrets.find_secrets, pii.find_pii):
