@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import draw, global_rank, portable_hash
 from ..storage import materialize
+from .ranges import count_below, kth, window_ranks
 
 #: Half-width of a window on log10(degree + 1).
 LOG_WINDOW = math.log10(1.1)
@@ -29,16 +30,15 @@ def window_join(left: DataFrame, right: DataFrame, share: float = 0.1) -> DataFr
 
 
 def _windows(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
-    """``degree, first, last``: of each distinct degree of ``left`` the ranks (degree, other) of the first and last ``right`` rows in its window.
-
-    Only distinct degrees meet, however many rows have them.
-    """
-    held = right.groupBy("other_degree").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    return window_join(left.select("degree").distinct(), held, share).groupBy("degree").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    """``degree, first, last``: of each distinct degree of ``left`` the ranks (degree, other) of the first and last ``right`` rows in its window."""
+    degree = F.col("degree")
+    held = right.groupBy(F.col("other_degree").alias("x")).agg(F.count("*").alias("n"))
+    bounds = left.select("degree").distinct().select(degree.alias("key"), ((1 - share) * degree).alias("lo"), ((1 + share) * degree).alias("hi"))
+    return window_ranks(held, bounds).where("last >= first").withColumnRenamed("key", "degree")
 
 
 def _ranked(right: DataFrame) -> DataFrame:
-    ranked = global_rank(right.select("other", "other_degree"), [F.col("other_degree").asc(), F.col("other").asc()], "rank")
+    ranked = global_rank(right.where("other_degree is not null").select("other", "other_degree"), [F.col("other_degree").asc(), F.col("other").asc()], "rank")
     return materialize(ranked.withColumn("rank", F.col("rank") - 1), "matching-ranks")
 
 
@@ -91,20 +91,46 @@ def peers(population: DataFrame, subjects: DataFrame, exclude_self: bool = True,
     return inside.unionByName(near.where("id <> peer") if exclude_self else near)
 
 
-def peer_exceedance(population: DataFrame, subjects: DataFrame) -> DataFrame:
-    """``id, peer_pool_n, emp_p, peer_median, excess_ratio``: the exact share of peers with at least the subject's value."""
-    p = peers(population, subjects).groupBy("id", "own").agg(F.count("*").alias("peer_pool_n"), F.avg((F.col("value") >= F.col("own")).cast("int")).alias("emp_p"), F.median("value").alias("peer_median"))
-    return p.select("id", "peer_pool_n", "emp_p", "peer_median", F.when(F.col("peer_median") > 0, F.col("own") / F.col("peer_median")).alias("excess_ratio"))
+def peer_exceedance(population: DataFrame, subjects: DataFrame, fallback: int = 50) -> DataFrame:
+    """``id, peer_pool_n, emp_p, peer_median, excess_ratio``: the exact share of peers with at least the subject's value.
+
+    Peers are those of ``peers``, without the subject, but no row is made for a subject and a peer: a window is a range
+    of places in order of degree, and counts and medians of ranges come from ``ranges``.  Rows whose degree or value is
+    null take no part; a subject without any peer has no row.
+    """
+    pop = population.where("id is not null and degree is not null and value is not null").select("id", "value", F.log10(F.col("degree") + 1.0).alias("ld"))
+    ranked = global_rank(pop, [F.col("ld").asc(), F.col("id").asc()], "pos").withColumn("pos", F.col("pos") - 1)
+    ranked = materialize(global_rank(ranked, [F.col("value").asc(), F.col("id").asc()], "v").withColumn("v", F.col("v") - 1), "peer-ranks")
+    n, points = ranked.count(), ranked.select("pos", "v")
+    subj = ranked.join(subjects.select("id").distinct(), "id", "left_semi")
+    lows = ranked.groupBy("value").agg(F.min("v").alias("low"))
+    bounds = subj.select("ld").distinct().select(F.col("ld").alias("key"), (F.col("ld") - (LOG_WINDOW + 1e-12)).alias("lo"), (F.col("ld") + (LOG_WINDOW + 1e-12)).alias("hi"))
+    windows = window_ranks(ranked.groupBy(F.col("ld").alias("x")).agg(F.count("*").alias("n")), bounds).withColumnRenamed("key", "ld")
+    subj = subj.join(windows, "ld").join(lows, "value")
+    alone = F.col("first") == F.col("last")
+    subj = subj.select("id", "value", "v", "low", F.when(alone, F.greatest(F.col("pos") - fallback, F.lit(0))).otherwise(F.col("first")).alias("first"), F.when(alone, F.least(F.col("pos") + fallback - 1, F.lit(n - 1))).otherwise(F.col("last")).alias("last"))
+    subj = materialize(subj.withColumn("peers", F.col("last") - F.col("first")).where("peers > 0"), "peer-subjects")
+    below = count_below(points, subj.select("first", "last", F.col("low").alias("v")), n).withColumnRenamed("v", "low")
+    # without the subject, the m-th value is the window's m-th or the one after: three order statistics serve all of a window
+    middle = F.floor((F.col("peers") - 1) / 2)
+    asked = subj.select("first", "last", "peers").distinct().withColumn("k", F.explode(F.sequence(middle, F.least(middle + 2, F.col("peers")))))
+    found = kth(points, asked, n).join(ranked.select("v", F.col("value").alias("x")), "v")
+    near = found.groupBy("first", "last").agg(F.array_sort(F.collect_list(F.struct("k", "v", "x"))).alias("near"))
+    without = lambda i: F.when(F.col("v") > F.get("near", i)["v"], F.get("near", i)["x"]).otherwise(F.get("near", i + 1)["x"])
+    upper = F.when(F.col("peers") % 2 == 1, without(0)).otherwise(without(1))
+    p = subj.join(below, ["first", "last", "low"]).join(near, ["first", "last"]).withColumn("peer_median", 0.5 * without(0) + 0.5 * upper)
+    emp_p = (F.col("peers") - F.col("below")) / F.col("peers")  # the subject itself is in the window and not below its value
+    return p.select("id", F.col("peers").alias("peer_pool_n"), emp_p.alias("emp_p"), "peer_median", F.when(F.col("peer_median") > 0, F.col("value") / F.col("peer_median")).alias("excess_ratio"))
 
 
 def monte_carlo_exceedance(population: DataFrame, subjects: DataFrame, draws: int = 2_000, seed: int = 14) -> DataFrame:
-    """``id, emp_p`` from ``draws`` random peers with replacement for each subject."""
-    found = peers(population, subjects)
-    order = Window.partitionBy("id").orderBy("peer")
-    numbered = found.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    wanted = numbered.select("id", "n").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    wanted = wanted.withColumn("k", F.floor(draw(F.col("id"), F.col("i"), seed) * F.col("n")).cast("int"))
-    return wanted.join(numbered.select("id", "k", "own", "value"), ["id", "k"]).groupBy("id").agg(F.avg((F.col("value") >= F.col("own")).cast("int")).alias("emp_p"))
+    """``id, emp_p`` from ``draws`` random peers with replacement for each subject.
+
+    Each drawn peer reaches the subject's value with its exact exceedance, so hits are drawn and peers aren't: no row per draw.
+    """
+    exact = peer_exceedance(population, subjects)
+    hits = F.aggregate(F.sequence(F.lit(0), F.lit(draws - 1)), F.lit(0), lambda acc, i: acc + (draw(F.col("id"), i, seed) < F.col("emp_p")).cast("int"))
+    return exact.select("id", (hits / draws).alias("emp_p"))
 
 
 def greedy_match(cases: DataFrame, controls: DataFrame, share: float = 0.1) -> DataFrame:

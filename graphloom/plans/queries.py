@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.ordered import average_rank, draw, global_rank, portable_draw, portable_hash
-from ..operators import catalogue, enrichment, graph, jobs, matching, nulls, selection, stats, traverse
+from ..operators import catalogue, enrichment, graph, jobs, matching, nulls, ranges, selection, stats, traverse
 from ..sources import synthetic, tables
 from ..streaming import events as streams
 from . import derive
@@ -462,7 +462,7 @@ _NEAR = _POP + """, near AS (SELECT a.id, a.degree, b.id AS other, b.degree AS o
 
 @query(_NEAR + " SELECT id, count(*) AS n, min(other_degree) AS lo, max(other_degree) AS hi FROM near GROUP BY id")
 def range_join_window(s, d):
-    return matching.window_join(*_sides(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.min("other_degree").alias("lo"), F.max("other_degree").alias("hi"))
+    return ranges.window_counts(*_sides(s, d))
 
 
 @query(_NEAR + " SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(other_degree - degree), other) = 1")
@@ -541,6 +541,13 @@ def _exceedance(s: SparkSession, d: str) -> DataFrame:
     return matching.peer_exceedance(p.select("id", "degree", "value"), stats.top_k(p, 50, "value", "id"))
 
 
+@query(_PEERS.replace(" ORDER BY value DESC, id LIMIT 50", "") + " SELECT id, peer_pool_n, round(emp_p, 9) AS emp_p, round(peer_median, 9) AS peer_median, round(own / peer_median, 9) AS excess_ratio FROM pools")
+def peer_exceedance_all(s, d):
+    """Every node against its degree peers."""
+    p = selection.materialize(_population(s, d).select("id", "degree", "value"), "population")
+    return matching.peer_exceedance(p, p).select("id", "peer_pool_n", *[_r(c).alias(c) for c in ("emp_p", "peer_median", "excess_ratio")])
+
+
 @query()
 def peer_exceedance_monte_carlo(s, d):
     p = selection.materialize(_population(s, d), "population")
