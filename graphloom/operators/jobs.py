@@ -93,9 +93,15 @@ def last_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 def new_manifest(spark, n: int, seed_base: int, name: str = "null") -> DataFrame:
     """A row for each job: ``null_id, null_name, seed, status, worker_id, attempts, error, result_file, updated_utc``."""
-    j = spark.range(n)
+    return manifest_of(spark.range(n), seed_base, name)
+
+
+def manifest_of(ids: DataFrame, seed_base: int, name: str = "null") -> DataFrame:
+    """``new_manifest`` of the jobs with the given ``id``, each once; null ids are none."""
+    j = ids.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
     text = F.lit(None).cast("string")
-    return j.select(F.col("id").alias("null_id"), F.concat(F.lit(f"{name}_"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("null_name"), (F.col("id") + seed_base).alias("seed"), F.lit("pending").alias("status"), text.alias("worker_id"), F.lit(0).alias("attempts"), text.alias("error"), text.alias("result_file"), text.alias("updated_utc"))
+    digits = F.greatest(F.length(F.col("id").cast("string")), F.lit(3))  # padded to three, never cut
+    return j.select(F.col("id").alias("null_id"), F.concat(F.lit(f"{name}_"), F.lpad(F.col("id").cast("string"), digits, F.lit("0"))).alias("null_name"), (F.col("id") + seed_base).alias("seed"), F.lit("pending").alias("status"), text.alias("worker_id"), F.lit(0).alias("attempts"), text.alias("error"), text.alias("result_file"), text.alias("updated_utc"))
 
 
 def mark(manifest: DataFrame, updates: DataFrame, at: str) -> DataFrame:

@@ -964,16 +964,38 @@ def append_never_overwrites(s, d):
     return jobs.append_new(c.where("null_id % 2 = 0"), c.withColumn("v", F.when(F.col("null_id") % 2 == 0, F.col("v") + 5).otherwise(F.col("v"))), "null_id")
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN i % 3 = 0 THEN 'done' WHEN i % 3 = 1 THEN 'running' ELSE 'pending' END AS status FROM range(100) t(i)) GROUP BY status")
+# a job for each order: those with a returned line have been started, those with an "F" order status reported failed;
+# an order whose lines are all "F" has its result
+_JOBS = """WITH results AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_linestatus = 'F')), started AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'),
+ m AS (SELECT o_orderkey AS null_id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM results) THEN 'done' WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderkey IN (SELECT l_orderkey FROM started) THEN 'running' ELSE 'pending' END AS status,
+ CASE WHEN o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM started) THEN 1 ELSE 0 END AS attempts FROM orders)"""
+
+
+def _order_jobs(s: SparkSession, d: str) -> DataFrame:
+    orders, lines = table(s, d, "orders"), table(s, d, "lineitem")
+    started = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("started", F.lit(True))
+    text = F.lit(None).cast("string")
+    told = orders.join(started, "o_orderkey", "left").select(F.col("o_orderkey").alias("null_id"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("started"), "running").alias("status"), text.alias("worker_id"), text.alias("error"), text.alias("result_file"))
+    results = lines.groupBy(F.col("l_orderkey").alias("null_id")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("all_done")).where("all_done")
+    manifest = jobs.mark(jobs.manifest_of(orders.select(F.col("o_orderkey").alias("id")), 100), told.where("status is not null"), "2024-01-01T00:00:00Z")
+    return jobs.reconcile(manifest, results)
+
+
+@query(_JOBS + " SELECT status, count(*) AS n FROM m GROUP BY status")
 def manifest_status(s, d):
-    m = jobs.new_manifest(s, 100, 100)
-    u = m.where("null_id % 3 = 1").select("null_id", F.lit("running").alias("status"), F.lit("w1").alias("worker_id"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("result_file"))
-    return jobs.status_counts(jobs.reconcile(jobs.mark(m, u, "2024-01-01T00:00:00Z"), s.range(0, 100, 3).withColumnRenamed("id", "null_id")))
+    return jobs.status_counts(_order_jobs(s, d))
 
 
-@query("SELECT CAST(100 AS BIGINT) AS n_jobs, CAST(34 AS BIGINT) AS n_done, CAST(0 AS BIGINT) AS n_failed, CAST(66 AS BIGINT) AS n_open, CAST(0.34 AS DOUBLE) AS share_done, 0 AS most_attempts")
+@query(_JOBS + """ SELECT count(*) AS n_jobs, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status IN ('running', 'pending')) AS n_open,
+ count(*) FILTER (status = 'done') / count(*) AS share_done, max(attempts) AS most_attempts FROM m""")
 def manifest_progress(s, d):
-    return jobs.progress(jobs.reconcile(jobs.new_manifest(s, 100, 100), s.range(0, 100, 3).withColumnRenamed("id", "null_id")))
+    return jobs.progress(_order_jobs(s, d))
+
+
+@query(_JOBS + " SELECT null_id, 'null_' || CASE WHEN null_id < 1000 THEN lpad(CAST(null_id AS VARCHAR), 3, '0') ELSE CAST(null_id AS VARCHAR) END AS null_name, null_id + 100 AS seed, status, attempts FROM m WHERE status <> 'done' AND attempts < 3")
+def manifest_pending(s, d):
+    """The jobs still to run."""
+    return jobs.pending(_order_jobs(s, d)).select("null_id", "null_name", "seed", "status", "attempts")
 
 
 @query("SELECT count(*) FILTER (o_totalprice % 2 < 1) AS n_verified, count(*) FILTER (o_totalprice % 2 >= 1) AS n_mismatch, CAST(0 AS BIGINT) AS n_missing FROM orders")
@@ -982,11 +1004,17 @@ def verified_counts(s, d):
     return catalogue.agreement_counts(table(s, d, "orders"), price, price + F.floor(price % 2))
 
 
-@query("""SELECT 'ring' AS graph, i AS pre, (i + 1) % 50 AS post FROM range(50) t(i) UNION ALL SELECT 'hub', 0, i FROM range(1, 30) t(i) UNION ALL SELECT 'hub', i, 0 FROM range(1, 30) t(i)
- UNION ALL SELECT 'barbell', a, b FROM range(6) t(a), range(6) u(b) WHERE a <> b UNION ALL SELECT 'barbell', a + 10, b + 10 FROM range(6) t(a), range(6) u(b) WHERE a <> b UNION ALL SELECT 'barbell', i, i + 1 FROM range(5, 10) t(i) UNION ALL SELECT 'barbell', i + 1, i FROM range(5, 10) t(i)""")
+@query("""WITH n AS (SELECT (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM supplier) AS suppliers, (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM region) AS regions),
+ e AS (SELECT unnest(generate_series(nations - 1, nations + regions - 1)) AS i FROM n), k AS (SELECT unnest(generate_series(0, nations - 1)) AS i, nations + regions AS shift FROM n)
+ SELECT 'ring' AS graph, i AS pre, (i + 1) % parts AS post FROM (SELECT unnest(generate_series(0, parts - 1)) AS i, parts FROM n) UNION ALL
+ SELECT 'hub', 0, i FROM (SELECT unnest(generate_series(1, suppliers - 1)) AS i FROM n) UNION ALL SELECT 'hub', i, 0 FROM (SELECT unnest(generate_series(1, suppliers - 1)) AS i FROM n) UNION ALL
+ SELECT 'barbell', a.i, b.i FROM k a, k b WHERE a.i <> b.i UNION ALL SELECT 'barbell', a.i + a.shift, b.i + b.shift FROM k a, k b WHERE a.i <> b.i UNION ALL
+ SELECT 'barbell', i, i + 1 FROM e UNION ALL SELECT 'barbell', i + 1, i FROM e""")
 def synthetic_graphs(s, d):
+    """Graphs of known shape as large as the tables: a ring of parts, a hub of suppliers, cliques of nations."""
+    n = {t: table(s, d, t).count() for t in ("part", "supplier", "nation", "region")}
     named = lambda g, name: g.select(F.lit(name).alias("graph"), "pre", "post")
-    return named(synthetic.ring(s, 50), "ring").unionByName(named(synthetic.hub(s, 30), "hub")).unionByName(named(synthetic.barbell(s, 6, 4), "barbell"))
+    return named(synthetic.ring(s, n["part"]), "ring").unionByName(named(synthetic.hub(s, n["supplier"]), "hub")).unionByName(named(synthetic.barbell(s, n["nation"], n["region"]), "barbell"))
 
 
 @query(chain("pairs") + " SELECT count(*) AS n, CAST(0.5 AS DOUBLE) AS max_diff, count(*) FILTER (syn_count_total % 10 = 0) AS n_off FROM pairs")
