@@ -149,31 +149,47 @@ def null_records(pairs: DataFrame, seeds: DataFrame, cases: list[int], controls:
     return seeds.select("null_id", "seed").repartition(max(1, seeds.count()), "null_id").mapInPandas(run, RECORD)
 
 
-def stub_matching(pairs: DataFrame, seed: int, rounds: int = 60) -> DataFrame:
-    """``pre, post`` of one configuration-model graph of any size, as joins: stubs meet by rank in hash order, and
-    self-loops and repeated edges swap targets with hash-ranked good edges until none is left."""
+def stub_matchings(pairs: DataFrame, seeds: DataFrame, rounds: int = 60) -> DataFrame:
+    """``null_id, seed, pre, post``: configuration-model graphs of any size, all of ``seeds`` (null_id, seed) at once, as joins.
+
+    In every graph the stubs meet by rank in hash order; then self-loops and repeated edges swap targets with
+    hash-drawn good edges of their graph, in rounds over all graphs, until none is left.  A round is one pass over
+    the graphs; ranks are taken of the bad edges and about twice as many good ones only.  RuntimeError if bad edges are
+    left after ``rounds``.  ``null_id`` must be unique.
+    """
+    from pyspark.sql import Window
+
     from ..storage import materialize
 
-    edges = materialize(pairs.select("pre", "post").withColumn("i", F.monotonically_increasing_id()), "stubs")
-    out = global_rank(edges.select("i", "pre"), [F.col("i").asc()], "k").select("k", "pre")
-    into = global_rank(edges.select("i", "post").withColumn("h", draw(F.col("i"), seed)), [F.col("h").asc(), F.col("i").asc()], "k").select("k", "post")
-    now = materialize(out.join(into, "k"), "stubs")
+    edges = materialize(global_rank(pairs.select("pre", "post"), [F.col("pre").asc(), F.col("post").asc()], "k"), "stubs")
+    n_edges = edges.count()
+    seeds = materialize(global_rank(seeds.select(F.col("null_id").cast("long").alias("null_id"), F.col("seed").cast("long").alias("seed")), [F.col("null_id").asc()], "g"), "stub-seeds")
+    drawn = seeds.crossJoin(edges.select(F.col("k").alias("i"), "post")).withColumn("h", F.xxhash64("i", "seed"))  # the stubs of each graph
+    into = global_rank(drawn, [F.col("g").asc(), F.col("h").asc(), F.col("i").asc()], "k").withColumn("k", F.col("k") - (F.col("g") - 1) * n_edges)
+    now = into.select("null_id", "seed", "k", "post").join(edges.select("k", "pre"), "k")
     for r in range(rounds):
-        from pyspark.sql import Window
-
-        again = F.row_number().over(Window.partitionBy("pre", "post").orderBy("k")) > 1
-        marked = materialize(now.withColumn("bad", again | (F.col("pre") == F.col("post"))), "stubs")
-        n_bad = marked.where("bad").count()
-        if not n_bad:
-            return now.select("pre", "post")
-        ranked = lambda df: global_rank(df.withColumn("h", draw(F.col("k"), seed, r + 1)), [F.col("h").asc(), F.col("k").asc()], "q")
-        bad, good = ranked(marked.where("bad")), ranked(marked.where("not bad")).where(F.col("q") <= n_bad)
-        swap = bad.select("q", F.col("k").alias("kb"), F.col("post").alias("pb")).join(good.select("q", F.col("k").alias("kg"), F.col("post").alias("pg")), "q")
-        moves = swap.select(F.explode(F.array(F.struct(F.col("kb").alias("k"), F.col("pg").alias("new")), F.struct(F.col("kg").alias("k"), F.col("pb").alias("new")))).alias("m")).select("m.k", "m.new")
-        now = materialize(marked.join(moves, "k", "left").select("k", "pre", F.coalesce("new", "post").alias("post")), "stubs")
+        again = F.row_number().over(Window.partitionBy("null_id", "pre", "post").orderBy("k")) > 1
+        now = materialize(now.select("null_id", "seed", "k", "pre", "post", (again | (F.col("pre") == F.col("post"))).alias("bad"), draw(F.col("k"), F.col("seed"), r + 1).alias("h")), "stubs")
+        counts = materialize(now.groupBy("null_id").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good")).where("n_bad > 0"), "stub-counts")
+        if counts.isEmpty():
+            return now.select("null_id", "seed", "pre", "post")
+        # enough good edges for partners, but for a rare round that leaves some bad ones to the next
+        met = now.join(counts, "null_id").where("bad or h * n_good < 2 * n_bad + 50")
+        ranked = global_rank(met.select("null_id", "k", "post", "bad", "h", "n_bad"), [F.col("null_id").asc(), F.col("bad").asc(), F.col("h").asc(), F.col("k").asc()], "q")
+        first = ranked.groupBy("null_id", "bad").agg(F.min("q").alias("first"))
+        ranked = materialize(ranked.join(first, ["null_id", "bad"]).select("null_id", "k", "post", "bad", (F.col("q") - F.col("first")).alias("q")), "stub-moves")
+        side = lambda bad, name: ranked.where(F.col("bad") == bad).select("null_id", "q", F.col("k").alias(f"k_{name}"), F.col("post").alias(f"post_{name}"))
+        swap = side(True, "a").join(side(False, "b"), ["null_id", "q"])
+        moves = swap.select("null_id", F.explode(F.expr("array(struct(k_a as k, post_b as new), struct(k_b as k, post_a as new))")).alias("m")).select("null_id", "m.k", "m.new")
+        now = now.join(moves, ["null_id", "k"], "left").select("null_id", "seed", "k", "pre", F.coalesce("new", "post").alias("post"))
     raise RuntimeError(f"repeated edges are left after {rounds} rounds")
 
 
+def stub_matching(pairs: DataFrame, seed: int, rounds: int = 60) -> DataFrame:
+    """``pre, post`` of one graph of ``stub_matchings``."""
+    return stub_matchings(pairs, pairs.sparkSession.range(1).select(F.col("id").alias("null_id"), F.lit(seed).alias("seed")), rounds).select("pre", "post")
+
+
 def swap_rounds(pairs: DataFrame, seeds: DataFrame, factor: int = 10) -> DataFrame:
     """``null_id, seed, pre, post``: graphs of any size after ``factor`` proposed 2-swaps for each edge, all of ``seeds`` (null_id, seed) at once.
 
@@ -215,15 +231,27 @@ def simplicity(null: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.coalesce(F.sum(F.when(F.col("pre") == F.col("post"), F.col("n")).otherwise(0)), F.lit(0)).alias("n_self_loops"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def large_replicates(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``replicates`` for graphs of any size: each is drawn by ``stub_matching``, one after another."""
-    from ..storage import materialize
+def faithful(real: DataFrame, null: DataFrame) -> DataFrame:
+    """``null_id, n_edges, n_self_loops, n_duplicates, n_differences`` of each graph of ``null`` (null_id, pre, post).
 
-    out = pairs.sparkSession.createDataFrame([], "null_id long, seed long, pre long, post long")
-    for r in seeds.select("null_id", "seed").orderBy("null_id").collect():  # jobs
-        one = stub_matching(pairs, r.seed).select(F.lit(r.null_id).cast("long").alias("null_id"), F.lit(r.seed).cast("long").alias("seed"), "pre", "post")
-        out = out.unionByName(materialize(one, "replicate"))
-    return out
+    ``n_differences`` counts the node sides whose degree isn't that of ``real``; all graphs are compared in one go.
+    """
+
+    def ends(df: DataFrame, *by: str) -> DataFrame:
+        out = df.select(*by, F.explode(F.expr("array(struct(pre as node, 'out' as side), struct(post as node, 'in' as side))")).alias("e"))
+        return out.groupBy(*by, "e.node", "e.side").agg(F.count("*").alias("n"))
+
+    graphs = null.select("null_id").distinct()
+    want = graphs.crossJoin(ends(real)).withColumn("n", -F.col("n"))  # the degrees of each graph
+    off = want.unionByName(ends(null, "null_id")).groupBy("null_id", "node", "side").agg(F.sum("n").alias("off")).groupBy("null_id").agg(F.count_if(F.col("off") != 0).alias("n_differences"))
+    by = null.groupBy("null_id", "pre", "post").agg(F.count("*").alias("n")).groupBy("null_id")
+    simple = by.agg(F.sum("n").alias("n_edges"), F.sum(F.when(F.col("pre") == F.col("post"), F.col("n")).otherwise(0)).alias("n_self_loops"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+    return simple.join(off, "null_id").select("null_id", "n_edges", "n_self_loops", "n_duplicates", "n_differences")
+
+
+def large_replicates(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``replicates`` for graphs of any size: all are drawn at once by ``stub_matchings``."""
+    return stub_matchings(pairs, seeds)
 
 
 def large_null_records(pairs: DataFrame, seeds: DataFrame, cases: DataFrame, controls: DataFrame, panel: DataFrame, version: str) -> DataFrame:

@@ -880,6 +880,14 @@ def swap_rounds_check(s, d):
     return _null_degrees(nulls.swap_rounds(_pairs(s, d), s.createDataFrame([(0, 100), (1, 101)], "null_id long, seed long")))
 
 
+@query(chain("pairs") + " SELECT i AS null_id, (SELECT count(*) FROM pairs) AS n_edges, CAST(0 AS BIGINT) AS n_self_loops, CAST(0 AS BIGINT) AS n_duplicates, CAST(0 AS BIGINT) AS n_differences FROM range(100) t(i)")
+def null_ensemble_faithful(s, d):
+    """A hundred random graphs, drawn at once, each checked for its degrees, loops and repeated edges."""
+    real = selection.materialize(_pairs(s, d).select("pre", "post"), "real")
+    seeds = s.range(100).select(F.col("id").alias("null_id"), (F.col("id") + 100).alias("seed"))
+    return nulls.faithful(real, nulls.stub_matchings(real, seeds))
+
+
 @query(chain("degree") + " SELECT node, in_degree, out_degree FROM degree")
 def stub_matching_check(s, d):
     return graph.degrees(nulls.stub_matching(_pairs(s, d), 5)).select("node", "in_degree", "out_degree")
