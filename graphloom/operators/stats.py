@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import average_rank, draw, global_rank, prefix_sums
+from .resampling import group_medians, signed_medians
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -128,38 +129,27 @@ def null_zscore(nulls: DataFrame, value: str, observed: Column, obs: DataFrame)
     return a.select(F.when(F.col("sd") > 0, (F.col("__o") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"), F.greatest(2 * F.least("ge", "le"), 1 / (F.col("n") + 1)).alias("p"))
 
 
+def _two_sided(observed: DataFrame, shuffled: DataFrame, n_perm: int) -> DataFrame:
+    out = shuffled.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.count_if(F.abs("s") >= F.abs("observed")).alias("n_ge"))
+    return out.select("observed", "n_ge", ((F.col("n_ge") + 1) / (n_perm + 1)).alias("p"))
+
+
 def permutation_median_test(df: DataFrame, group: Column, value: str, n_perm: int, seed: int) -> DataFrame:
     """``observed, n_ge, p``: difference of medians against shuffled groups of the same sizes; p = (c + 1) / (n_perm + 1), two-sided.
 
-    A shuffle takes the rows with the smallest hashes of (seed, replicate, row) as its first group: exact group sizes
-    by rank within the replicate.  Rows are multiplied by replicates, so give samples, not corpora.
+    A shuffle draws the places of the medians only (``resampling``): no row for each replicate and input row.
     """
     rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null")
-    rows = global_rank(rows, [F.col("g").asc(), F.col("v").asc()], "i")  # the same numbers however the rows are dealt
-    return _permuted(rows, n_perm, seed, F.median(F.when(F.col("__g"), F.col("v"))) - F.median(F.when(~F.col("__g"), F.col("v"))))
-
-
-def _permuted(rows: DataFrame, n_perm: int, seed: int, statistic: Column) -> DataFrame:
-    n1 = rows.where("g").count()
-    reps = rows.sparkSession.range(0, n_perm).select(F.col("id").alias("rep"))
-    order = Window.partitionBy("rep").orderBy(draw(F.col("i"), F.col("rep"), seed), "i")
-    shuffled = reps.crossJoin(F.broadcast(rows)).withColumn("__g", F.row_number().over(order) <= n1)
-    stats = shuffled.groupBy("rep").agg(statistic.alias("s"))
-    observed = rows.withColumn("__g", F.col("g")).agg(statistic.alias("observed"))
-    out = stats.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.count_if(F.abs("s") >= F.abs("observed")).alias("n_ge"))
-    return out.select("observed", "n_ge", ((F.col("n_ge") + 1) / (n_perm + 1)).alias("p"))
+    return _two_sided(*group_medians(rows, n_perm, seed), n_perm)
 
 
 def sign_flip_test(df: DataFrame, diff: str, n_perm: int = 10_000, seed: int = 123) -> DataFrame:
-    """``observed, n_ge, p``: the median of paired differences against random signs; two-sided, (c + 1) / (n_perm + 1)."""
+    """``observed, n_ge, p``: the median of paired differences against random signs; two-sided, (c + 1) / (n_perm + 1).
+
+    As in ``permutation_median_test``, the places of the medians are drawn, not the signs of all rows.
+    """
     rows = df.select(F.col(diff).cast("double").alias("v")).where("v is not null")
-    rows = global_rank(rows, [F.col("v").asc()], "i")
-    reps = df.sparkSession.range(0, n_perm).select(F.col("id").alias("rep"))
-    sign = F.when(draw(F.col("i"), F.col("rep"), seed) < 0.5, -1.0).otherwise(1.0)
-    stats = reps.crossJoin(F.broadcast(rows)).groupBy("rep").agg(F.median(sign * F.col("v")).alias("s"))
-    observed = rows.agg(F.median("v").alias("observed"))
-    out = stats.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.count_if(F.abs("s") >= F.abs("observed")).alias("n_ge"))
-    return out.select("observed", "n_ge", ((F.col("n_ge") + 1) / (n_perm + 1)).alias("p"))
+    return _two_sided(*signed_medians(rows, n_perm, seed), n_perm)
 
 
 def ols_permutation(df: DataFrame, y: Column, flag: Column, x: Column, n_perm: int = 5_000, seed: int = 0) -> DataFrame:
