@@ -1,7 +1,8 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Sixty-four bits of a fingerprint can't tell that similarity: such texts differ in about ten of them.  So banded minima
-of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.  Equal texts are one.
+of hashes (30 bands of 6) make candidates: a pair at 0.8 shares a band with probability 0.9999.  Equal texts are one,
+named by 128 bits of their SHA-256.
 Candidates are verified on the whole sets of shingles, in two steps.  First the members of each band meet its first
 member only, a large band's dealt over several tasks.  Only bands of three or more whose members aren't connected by
 then have their other members compared, in blocks of bounded size, without pairs that are connected already.
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
@@ -33,6 +34,11 @@ STAR = 4096
 BLOCK = 1 << 20
 
 
+def name(text: Column) -> Column:
+    """What a text goes by: 128 bits, so that different texts don't share a name at any number of documents."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
@@ -61,9 +67,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def verified(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def verified(roots: list, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect all similar pairs among ``sets``, by position; those of one root are connected already."""
-    together: dict[int, list[int]] = {}
+    together: dict[object, list[int]] = {}
     for x, root in enumerate(roots):
         together.setdefault(root, []).append(x)
     out: list[tuple[int, int]] = []
@@ -103,7 +109,7 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif similar(first, h):
                 a.append(x)
                 b.append(y)
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +118,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> pa.RecordBatch:
         found = verified(roots, sets)
-        return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+        return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"])
 
     for b in batches:
         columns = (b.column(c).to_pylist() for c in ("key", "i", "j", "node", "root"))
@@ -129,12 +135,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``a, b``: links that connect similar texts of ``docs`` (text), by the names that ``names`` (node, fp) has for hashes of texts.
+    """``a, b``: links that connect similar texts of ``docs`` (text), by the fp that ``names`` (node, fp) has for each ``name`` of a text.
 
     Null and wordless texts have no links; a text of fewer than five words is one shingle.
     """
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
-    keyed = materialize(texts.mapInArrow(_keys, "node long, size long, keys array<long>").dropDuplicates(["node"]), "bands")
+    texts = docs.where("text is not null").select(name(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text"))
+    keyed = materialize(texts.mapInArrow(_keys, "node binary, size long, keys array<long>").dropDuplicates(["node"]), "bands")
     one = keyed.select("node", "size", F.explode("keys").alias("key"))
     sizes = one.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialize(one.join(sizes.hint("merge"), "key"), "band-members")
@@ -148,9 +154,9 @@ def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     theirs = theirs.select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "text")
     firsts = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
     mine = whole.withColumnRenamed("node", "a").join(firsts.hint("merge"), "a")
-    mine = mine.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    mine = mine.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
     dealt = theirs.unionByName(mine).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    star = materialize(dealt.select("a", "b", "text").mapInArrow(_star, "a long, b long"), "band-links")
+    star = materialize(dealt.select("a", "b", "text").mapInArrow(_star, "a binary, b binary"), "band-links")
 
     roots = connected_components(star)
     loose = others.where("n > 2").join(roots.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -164,7 +170,7 @@ def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or mine <> other")
     rest = rest.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
     rest = whole.join(rest.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = rest.select("key", "i", "j", "node", "root", "text").mapInArrow(_blocks, "a long, b long").unionByName(star)
+    found = rest.select("key", "i", "j", "node", "root", "text").mapInArrow(_blocks, "a binary, b binary").unionByName(star)
 
     a, b = (names.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")).hint("merge") for c in "ab")
     return found.join(a, "a").join(b, "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")

@@ -198,9 +198,9 @@ def near_duplicates(docs: DataFrame, resembling: bool = False) -> DataFrame:
     With ``resembling``, texts whose five-word shingles have a Jaccard similarity of 0.8 or more link as well.
     """
     if resembling:
-        # the fingerprint of each text, by a hash of the text
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("node"))
-        every = materialize(texts.mapInArrow(_named, "doc_id long, fp long, node long"), "simhash")
+        # the fingerprint of each text, by its name
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), resemblance.name(F.col("text")).alias("node"))
+        every = materialize(texts.mapInArrow(_named, "doc_id long, fp long, node binary"), "simhash")
         fps = every.select("doc_id", "fp")
         more = resemblance.links(docs, every.select("node", "fp").dropDuplicates(["node"]))
     else:

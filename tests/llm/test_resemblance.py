@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import resemblance as R
 from graphloom.llm import simhash as S
@@ -44,7 +45,7 @@ def test_chains_of_similar_texts(spark, monkeypatch, star, block):
     rng.shuffle(texts)
     similar = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    names = df.selectExpr("xxhash64(text) node", "node fp")
+    names = df.select(R.name(F.col("text")).alias("node"), F.col("node").alias("fp"))
     found = [(r.a, r.b) for r in R.links(df, names).collect()]
     assert set(found) <= {*similar, *((j, i) for i, j in similar)}
     assert components(len(texts), found) == components(len(texts), similar)
