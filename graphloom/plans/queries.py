@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from ..functions import labels
 from ..functions.ordered import average_rank, draw, global_rank, portable_draw, portable_hash
 from ..operators import catalogue, enrichment, graph, jobs, matching, nulls, ranges, selection, stats, traverse
 from ..sources import synthetic, tables
+from ..storage import shared_dir
+from ..streaming import adoption
 from ..streaming import events as streams
 from . import derive
 from .derive import table
@@ -960,6 +963,23 @@ def adopt_antijoin(s, d):
     return jobs.adoption(checked, checked.where("null_id % 4 = 0").select("null_id"), 1000)
 
 
+@query("""SELECT o_custkey - 10 AS null_id, o_orderkey, CASE WHEN o_custkey < 10 THEN 'bad_id' WHEN NOT coalesce(o_totalprice >= 100000, false) THEN 'reject'
+ WHEN row_number() OVER (PARTITION BY o_custkey, o_totalprice >= 100000 ORDER BY o_orderdate, o_orderkey) = 1 THEN 'adopt' ELSE 'skip' END AS verdict FROM orders""")
+def adoption_stream(s, d):
+    """Orders as records of their customers that arrive on a stream: the verdict on each, with what was adopted as state."""
+    folder = f"{shared_dir(s)}/adoption-{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key, None)
+    records = s.readStream.schema(s.read.parquet(f"{d}/orders.parquet").schema).parquet(f"{d}/orders.parquet*")
+    records = records.select((F.col("o_custkey") - 10).cast("long").alias("null_id"), "o_orderkey", "o_orderdate", (F.col("o_totalprice") >= 100_000).alias("ok"))
+    s.conf.set(key, adoption.PROVIDER)
+    try:
+        adoption.adopt(records, f"{folder}/out", f"{folder}/checkpoint", 1 << 40, ["o_orderdate", "o_orderkey"]).awaitTermination()
+    finally:
+        s.conf.set(key, before) if before else s.conf.unset(key)
+    return s.read.parquet(f"{folder}/out").select("null_id", "o_orderkey", "verdict")
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS src, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS v FROM customer")
 def last_wins_merge(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("first").alias("src"), F.col("c_acctbal").alias("v"))
