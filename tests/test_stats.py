@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,17 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     table = events.tumbling(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     assert spark.table("tumbled").agg(F.sum("n")).first() == table.agg(F.sum("n")).first()
+
+
+@pytest.mark.parametrize("block", [7, 25, 1000])
+def test_ols_permutation_in_blocks(spark, block):
+    """Blocks change neither the coefficient nor, but for chance, the p of all shuffles (before: a row for each replicate and row)."""
+    rng = np.random.default_rng(5)
+    f, x = rng.integers(0, 2, 60), rng.normal(size=60)
+    y = 0.25 * f + 0.5 * x + rng.normal(size=60)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(y, f, x)], "y double, f int, x double")
+    got = stats.ols_permutation(df, F.col("y"), F.col("f"), F.col("x"), 2000, block=block).first()
+    row = np.linalg.pinv(np.stack([np.ones(60), f, x], 1))[1]
+    assert got.observed == pytest.approx(row @ y)
+    want = np.mean([row @ rng.permutation(y) >= row @ y for _ in range(20_000)])
+    assert abs(got.p - want) < 5 * np.sqrt(want * (1 - want) / 2000)
