@@ -36,3 +36,25 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and 'pipeline' not in e.queries(); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["bfs_distances", "k_ring_2", "neighbourhood_subgraph", "neighbourhood_composition"])
+def test_edges_are_derived_once(spark, name, monkeypatch):
+    """Only one plan collapses the lines to pairs (before: two), and the pairs go to storage once as such."""
+    from graphloom.plans import derive, queries
+
+    made, stored = [], []
+    own, keep = derive.pairs, queries.selection.materialize
+    monkeypatch.setattr(derive, "pairs", lambda *a: made.append(a) or own(*a))
+    monkeypatch.setattr(queries.selection, "materialize", lambda df, tag: stored.append(tag) or keep(df, tag))
+    catalog.QUERIES[name](spark, SF)
+    assert len(made) == 1 and stored.count("pairs") <= 1
+
+
+@pytest.mark.parametrize("name", ["label_hot_p90", "background_hash", "neighbourhood_subgraph"])
+def test_no_pagerank_where_none_is_asked_for(spark, name, monkeypatch):
+    from graphloom.operators import graph
+
+    monkeypatch.setattr(graph, "pagerank", None)
+    ours, theirs = both(spark, catalog.QUERIES[name], catalog.ORACLES[name])
+    assert ours == theirs
