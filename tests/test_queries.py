@@ -58,3 +58,14 @@ def test_no_pagerank_where_none_is_asked_for(spark, name, monkeypatch):
     monkeypatch.setattr(graph, "pagerank", None)
     ours, theirs = both(spark, catalog.QUERIES[name], catalog.ORACLES[name])
     assert ours == theirs
+
+
+def test_distances_rank_no_nodes(spark, monkeypatch):
+    """The sources of ``bfs_distances`` are drawn from the nodes; neither PageRank nor targets are made for them."""
+    from graphloom.operators import graph
+    from graphloom.plans import queries
+
+    monkeypatch.setattr(graph, "pagerank", None)
+    monkeypatch.setattr(queries, "_chosen", None)
+    ours, theirs = both(spark, catalog.QUERIES["bfs_distances"], catalog.ORACLES["bfs_distances"])
+    assert ours == theirs
