@@ -60,8 +60,13 @@ def triggers(text: bytes, gap: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+_EMPTY = {kind: hashlib.blake2b(digest_size=DIGEST, person=kind) for kind in (b"window", b"windows", b"passage", b"passages")}
+
+
 def digest(data: bytes, kind: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=DIGEST, person=kind).digest()
+    h = _EMPTY[kind].copy()
+    h.update(data)
+    return h.digest()
 
 
 class Parse:
@@ -75,8 +80,12 @@ class Parse:
 
     def told(self, once: np.ndarray, common: np.ndarray) -> None:
         """Which phrases occur once, and which are very frequent."""
-        self.common, self.n_once = common, np.concatenate([[0], np.cumsum(once)])
-        self.order = np.lexsort((self.keys, common))  # of equal phrases the first is least
+        self.common, self.n_once = common, np.append(0, once.cumsum())
+        self.least: list[np.ndarray] = []
+        self.own = self.n_once[-1] == len(once)  # no phrase occurs twice
+
+    def _rank(self) -> None:
+        self.order = np.lexsort((self.keys, self.common))  # of equal phrases the first is least
         rank = np.empty(len(self.order), np.int64)
         rank[self.order] = np.arange(len(rank))
         self.least = [rank]  # of 1, 2, 4, ... phrases
@@ -87,6 +96,8 @@ class Parse:
         out = np.where(last < first, BARE, UNIQUE)
         ask = np.flatnonzero((last >= first) & (self.n_once[np.maximum(last, -1) + 1] == self.n_once[first]))
         if len(ask):
+            if not self.least:
+                self._rank()
             first, last = first[ask], last[ask]
             level = np.frexp(last - first + 1)[1] - 1
             while len(self.least) <= level.max():
@@ -108,7 +119,7 @@ class Parse:
 
     def windows(self) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Candidates by their first and last starts: those to compare one by one, and pieces with their leading phrases."""
-        if self.last < 0:
+        if self.last < 0 or (self.own and not self._bare()):
             return [], []
         # what a window holds changes behind the start of a phrase and where one's end comes in
         change = np.unique(np.concatenate([[0], self.at + 1, self.ends - self.length]))
@@ -118,9 +129,17 @@ class Parse:
         low, high = change[a], np.append(change[1:], self.last + 1)[b] - 1
         return list(zip(low[single].tolist(), high[single].tolist())), list(zip(low[~single].tolist(), high[~single].tolist(), lead[a][~single].tolist()))
 
+    def _bare(self) -> bool:
+        """Whether some window holds no whole phrase: where one start is passed, the next phrase must still fit."""
+        start = np.append(0, self.at + 1)
+        end = np.append(self.ends, start[-1] + self.length + 1)
+        return bool(((end - start > self.length) & (start <= self.last)).any())
+
     def passages(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Starts and ends of all strings of ``words`` words, and the candidates by number, as in ``windows``."""
         start, end = word_windows(self.text, self.words)
+        if not len(start) or (self.own and (self.ends.searchsorted(end, "right") > self.at.searchsorted(start)).all()):
+            return start, end, [], []
         lead = self.leading(start, end)
         a, b, single = self._split(lead)
         return start, end, list(zip(a[single].tolist(), b[single].tolist())), list(zip(a[~single].tolist(), b[~single].tolist(), lead[a][~single].tolist()))

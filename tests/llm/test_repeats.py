@@ -102,3 +102,30 @@ def test_awkward_input(spark, awkward, nothing):
     assert got[7].n_removed == 0  # shorter than a window
     assert R.remove_repeats(nothing).count() == 0
     assert R.remove_repeats(awkward, with_text=True).where("doc_id = 4").first().kept == b"one"
+
+
+def test_texts_of_own_phrases_are_not_searched(monkeypatch):
+    """Where no phrase occurs twice, only windows without a whole phrase are candidates; texts without such ones are left at once."""
+    import random
+
+    import numpy as np
+
+    from graphloom.llm.repeats import Parse
+
+    rng, left = random.Random(3), 0
+    own = Parse.leading
+    for k in range(300):
+        text = b" ".join(bytes(rng.choices(b"abcdefgh", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60)))
+        if k % 3 == 0:
+            text += b"x" * rng.randint(50, 90) + text[:40]
+        p = Parse(text, 150, 28, 6)
+        none = np.zeros(len(p.keys), bool)
+        p.told(~none, none)
+        monkeypatch.setattr(Parse, "leading", lambda *a: asked.append(1) or own(*a))
+        asked = []
+        quick = p.windows(), [list(map(tuple, x)) if k > 1 else x.tolist() for k, x in enumerate(p.passages())]
+        left += not asked
+        p.own = False
+        whole = p.windows(), [list(map(tuple, x)) if k > 1 else x.tolist() for k, x in enumerate(p.passages())]
+        assert quick == whole
+    assert left > 50
