@@ -216,3 +216,16 @@ def test_node_order_needs_no_sort(spark):
     assert {tuple(r) for r in out.select("node", "post_only", "first_pre").collect()} == {(5, 0, 5), (3, 0, 3), (1, 0, 1), (4, 0, 4), (9, 0, 9)}
     only = graph.node_index(pairs.where("pre in (5, 3)")).where("node = 1").first()
     assert (only.post_only, only.first_pre) == (1, 3)
+
+
+def test_records_of_large_graphs_pass_no_task_whole(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("a whole graph goes to a task")
+
+    monkeypatch.setattr(nulls, "RECORD_EDGES", 100)
+    rng = np.random.default_rng(8)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (400, 2)) if a != b})
+    g = spark.createDataFrame(edges, "pre long, post long")
+    monkeypatch.setattr("graphloom.operators.dominance.losses", whole)
+    got = nulls.null_records(g, spark.createDataFrame([(0, 7)], "null_id long, seed long"), [1, 2, 3], [4, 5], [6, 7], "v").first()
+    assert got.status == "done" and got.n_edges_null == len(edges) and len(got.gaba_cis) == 3 and len(got.ctrl_cis) == 2
