@@ -69,3 +69,14 @@ def test_distances_rank_no_nodes(spark, monkeypatch):
     monkeypatch.setattr(queries, "_chosen", None)
     ours, theirs = both(spark, catalog.QUERIES["bfs_distances"], catalog.ORACLES["bfs_distances"])
     assert ours == theirs
+
+
+def test_links_and_ends_hold_all_pairs(spark, monkeypatch):
+    from graphloom.operators import graph
+    from graphloom.plans import derive
+
+    pairs = derive.pairs(spark, SF).select("pre", "post", "syn_count_total").collect()
+    assert sorted(pairs) == sorted(derive.links(spark, SF).collect())
+    monkeypatch.setattr(graph, "ENDS", 3)
+    ends = graph.adjacency(derive.links(spark, SF)).collect()
+    assert max(len(r.to) for r in ends) == 3 and sorted((r.node, x) for r in ends for x in r.to) == sorted(r[:2] for r in pairs)
