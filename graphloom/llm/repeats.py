@@ -63,6 +63,16 @@ def triggers(text: bytes, gap: int) -> np.ndarray:
 _EMPTY = {kind: hashlib.blake2b(digest_size=DIGEST, person=kind) for kind in (b"window", b"windows", b"passage", b"passages")}
 
 
+def digests(text: bytes, spans: Iterable[tuple[int, int]], kind: bytes) -> list[bytes]:
+    """The digest of each span of a text."""
+    blank, out = _EMPTY[kind].copy, []
+    for a, b in spans:
+        h = blank()
+        h.update(text[a:b])
+        out.append(h.digest())
+    return out
+
+
 def digest(data: bytes, kind: bytes) -> bytes:
     h = _EMPTY[kind].copy()
     h.update(data)
@@ -103,7 +113,7 @@ class Parse:
             while len(self.least) <= level.max():
                 half = 1 << (len(self.least) - 1)
                 self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
-            for k in np.unique(level).tolist():
+            for k in np.flatnonzero(np.bincount(level)).tolist():
                 m = level == k
                 out[ask[m]] = self.order[np.minimum(self.least[k][first[m]], self.least[k][last[m] - (1 << k) + 1])]
         return out
@@ -122,8 +132,8 @@ class Parse:
         if self.last < 0 or (self.own and not self._bare()):
             return [], []
         # what a window holds changes behind the start of a phrase and where one's end comes in
-        change = np.unique(np.concatenate([[0], self.at + 1, self.ends - self.length]))
-        change = change[(change >= 0) & (change <= self.last)]
+        change = np.sort(np.concatenate([[0], self.at + 1, self.ends - self.length]))
+        change = change[(change >= 0) & (change <= self.last) & (np.diff(change, prepend=-self.length - 1) > 0)]
         lead = self.leading(change, change + self.length)
         a, b, single = self._split(lead)
         low, high = change[a], np.append(change[1:], self.last + 1)[b] - 1
@@ -138,11 +148,15 @@ class Parse:
     def passages(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Starts and ends of all strings of ``words`` words, and the candidates by number, as in ``windows``."""
         start, end = word_windows(self.text, self.words)
-        if not len(start) or (self.own and (self.ends.searchsorted(end, "right") > self.at.searchsorted(start)).all()):
+        first, last = self.at.searchsorted(start), self.ends.searchsorted(end, "right")
+        if not len(start) or (self.own and (last > first).all()):
             return start, end, [], []
-        lead = self.leading(start, end)
+        # strings that hold the same phrases are asked for once
+        change = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])]))
+        lead = self.leading(start[change], end[change])
         a, b, single = self._split(lead)
-        return start, end, list(zip(a[single].tolist(), b[single].tolist())), list(zip(a[~single].tolist(), b[~single].tolist(), lead[a][~single].tolist()))
+        low, high = change[a], np.append(change[1:], len(start))[b] - 1
+        return start, end, list(zip(low[single].tolist(), high[single].tolist())), list(zip(low[~single].tolist(), high[~single].tolist(), lead[a][~single].tolist()))
 
 
 BARE, UNIQUE = -1, -2
@@ -254,6 +268,10 @@ def _sorted_windows(kind: int, group: dict[bytes, list[int]], length: int, words
     def windows(t: bytes) -> list[tuple[int, int]]:
         return list(zip(*(x.tolist() for x in word_windows(t, words)))) if kind == PASSAGES else [(k, k + length) for k in range(len(t) - length + 1)]
 
+    if len(group) == 1:  # a piece by itself, sent once, repeats nothing: its windows aren't looked at
+        t, (n, doc) = next(iter(group.items()))
+        twice = doc == SEVERAL if kind == PASSAGES else n > 1
+        return {t: np.full(len(windows(t)), True) if twice else np.zeros(0, bool)}
     places = {t: windows(t) for t in group}
     masks = {t: np.full(len(places[t]), doc == SEVERAL if kind == PASSAGES else n > 1) for t, (n, doc) in group.items()}
     if len(group) > 1:
@@ -390,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, ga
             p = Parse(t, length, words, gap)
             p.told(*known.of(p.keys))
             single, pieces = p.windows()
-            sent.digests.update(digest(t[s : s + length], b"window") for a, b in single for s in range(a, b + 1))
+            sent.digests.update(digests(t, ((s, s + length) for a, b in single for s in range(a, b + 1)), b"window"))
             for a, b, k in pieces:
                 sent.piece(WINDOWS, int(p.keys[k]), doc, t[a : b + length])
             start, end, single, pieces = p.passages()

@@ -129,3 +129,20 @@ def test_texts_of_own_phrases_are_not_searched(monkeypatch):
         whole = p.windows(), [list(map(tuple, x)) if k > 1 else x.tolist() for k, x in enumerate(p.passages())]
         assert quick == whole
     assert left > 50
+
+
+def test_passages_ask_once_for_the_same_phrases(monkeypatch):
+    """Strings of words are asked for by the phrases that they hold, not one by one; a piece by itself isn't looked at."""
+    import numpy as np
+
+    rng, asked, own = random.Random(5), [], R.Parse.leading
+    monkeypatch.setattr(R.Parse, "leading", lambda p, a, b: asked.append(len(a)) or own(p, a, b))
+    text = b" ".join(bytes(rng.choices(b"abcdefgh", k=rng.randint(1, 3))) for _ in range(4000))
+    p = R.Parse(text, 150, 28, 40)
+    none = np.zeros(len(p.keys), bool)
+    p.told(none, none)
+    start, end, single, pieces = p.passages()
+    assert sum(asked) <= 2 * len(p.keys) + 1 < len(start) / 2
+    lead = own(p, start, end)
+    assert {i: int(k) for a, b, k in pieces for i in range(a, b + 1)} | {i: R.BARE for a, b in single for i in range(a, b + 1)} == dict(enumerate(lead.tolist()))
+    assert not R._sorted_windows(R.PASSAGES, {text: [1, 3]}, 150, 28)[text].any() and R._sorted_windows(R.PASSAGES, {text: [2, R.SEVERAL]}, 150, 28)[text].all()
